@@ -49,7 +49,7 @@ class Config:
     balance_sensor: str = BALANCE_SENSOR
     outliers: str | None = "row_zscore"     # "row_zscore", "abs_limit" or None
     value_limit: float = 1000.0             # used by "abs_limit", in the unit of the readings
-    duplicates: str = "avg"                 # how readings of one slot combine: avg, sum, min, max
+    duplicates: str | None = "avg"          # readings of one slot: avg, sum, min, max; None: unique
     block_rows: int = 16384                 # longest run of grid rows one task sorts for an entity
     years: bool = field(default=True)       # shift each household by its delta_year
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterload.config import Config
 from meterload.functions.time import grid_time, slot_index
-from meterload.operators.clean import clean_grid
+from meterload.operators.clean import clean_slots
 from meterload.operators.grid import expose_gaps
 from meterload.operators.hierarchy import assign_communities
 
@@ -34,8 +34,19 @@ ORDERS = Config(
 )
 
 
+# Declared so that opening a table starts no schema job.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def slot_readings(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +91,7 @@ def appliance_table(spark: SparkSession, folder: str, homes: DataFrame | None =
     work = HOURLY.with_(sensors=HOURLY.appliances)
     readings = slot_readings(spark, folder).drop(HOURLY.balance_sensor)
     users = table(spark, folder, "events").select(F.col("user_id").alias("dataid")) if homes is None else homes
-    return clean_grid(expose_gaps(readings, users, work), work)
+    return clean_slots(readings, users, work)
 
 
 def daily_grid(spark: SparkSession, folder: str) -> DataFrame:

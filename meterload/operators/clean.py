@@ -12,7 +12,7 @@ from meterload.config import Config
 from meterload.functions.features import add_calendar
 from meterload.functions.rows import row_statistics, row_std, smallest_row_for
 from meterload.functions.time import grid_time
-from meterload.operators.grid import align_readings, expose_gaps
+from meterload.operators.grid import align_readings, one_per_slot
 
 
 def mask_row_zscore(df: DataFrame, sensors: Sequence[str], z_limit: float) -> DataFrame:
@@ -75,10 +75,61 @@ def bounded_fill(df: DataFrame, sensors: Sequence[str], cfg: Config) -> DataFram
     return filled
 
 
-def clean_grid(grid: DataFrame, cfg: Config, sensors: Sequence[str] | None = None) -> DataFrame:
-    """Outliers removed and gaps filled on an exposed grid."""
+def fill_grid(slots: DataFrame, households: DataFrame, sensors: Sequence[str], cfg: Config) -> DataFrame:
+    """Gap exposure and bounded fill in one pass: (dataid, index, sensors) for every grid index.
+
+    Equal to `bounded_fill(expose_gaps(...))` for slots without duplicates, but only present rows
+    are shuffled and sorted. Each row finds, per sensor, the last value of the past
+    `cfg.fill_rows` indexes and where it was read; the missing rows up to the next present one
+    are then generated in place. One marker row per household and block opens the block, so
+    leading gaps and households without readings are generated too.
+    """
+    blocks = -(-cfg.n_steps // cfg.block_rows)
+    rows, reach = cfg.block_rows, cfg.fill_rows
+    if blocks > 1 and reach >= rows:
+        raise ValueError("fill_rows must be smaller than block_rows")
+    known = households.select("dataid").distinct()
+    marker = known.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    marker = marker.select(
+        "dataid", (F.col("_block") * rows).alias("index"), "_block", F.lit(True).alias("_open"),
+        *[F.lit(None).cast("double").alias(s) for s in sensors],
+    )
+    present = slots.select("dataid", "index", F.lit(False).alias("_open"), *sensors)
+    if blocks > 1:
+        ends = F.array_distinct(F.array(_block(F.col("index"), rows), _block(F.col("index") + reach, rows)))
+        present = present.withColumn("_block", F.explode(F.filter(ends, lambda b: b < blocks)))
+    else:
+        present = present.withColumn("_block", F.lit(0))
+    run = Window.partitionBy("dataid", "_block").orderBy("index")
+    recent = run.rangeBetween(-reach, 0)
+    first = F.col("_block") * rows + 1
+    end = F.least((F.col("_block") + 1) * rows, F.lit(cfg.n_steps))
+    seen = {s: F.when(F.col(s).isNotNull(), F.struct(F.col("index").alias("i"), F.col(s).alias("v"))) for s in sensors}
+    placed = marker.unionByName(present).select(
+        "dataid", first.alias("_first"), F.col("index").alias("_at"),
+        F.max("_open").over(Window.partitionBy("dataid", "_block")).alias("_known"),
+        F.lead("index", 1).over(run).alias("_next"), end.alias("_end"),
+        *[F.last(v, ignorenulls=True).over(recent).alias(s) for s, v in seen.items()],
+    )
+    begin = F.greatest("_at", "_first")
+    stop = F.coalesce(F.col("_next") - 1, F.col("_end"))
+    # Rows of one index share their frame, so any one of them may carry the gap that follows.
+    wanted = placed.where((stop >= begin) & F.col("_known"))
+    grid = wanted.select("dataid", *sensors, F.explode(F.sequence(begin, stop)).alias("index"))
+    filled = [
+        F.when(F.col("index") - F.col(f"{s}.i") <= reach, F.col(f"{s}.v")).otherwise(F.lit(0.0)).alias(s)
+        for s in sensors
+    ]
+    return grid.select("dataid", "index", *filled)
+
+
+def clean_slots(
+    readings: DataFrame, households: DataFrame, cfg: Config, sensors: Sequence[str] | None = None
+) -> DataFrame:
+    """Gap-free, filled grid of aligned readings: duplicates combined, outliers removed."""
     sensors = list(cfg.appliances if sensors is None else sensors)
-    return bounded_fill(mask_outliers(grid, sensors, cfg), sensors, cfg)
+    slots = one_per_slot(readings.select("dataid", "index", *sensors), cfg)
+    return fill_grid(mask_outliers(slots, sensors, cfg), households, sensors, cfg)
 
 
 def add_time(df: DataFrame, cfg: Config) -> DataFrame:
@@ -94,6 +145,4 @@ def process_readings(readings: DataFrame, metadata: DataFrame, cfg: Config) -> D
     """
     work = cfg.with_(sensors=cfg.appliances)
     aligned = align_readings(readings, metadata, work)
-    grid = expose_gaps(aligned, metadata, work)
-    table = add_time(clean_grid(grid, work), work)
-    return table
+    return add_time(clean_slots(aligned, metadata, work), work)

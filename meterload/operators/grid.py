@@ -46,22 +46,22 @@ def align_readings(readings: DataFrame, metadata: DataFrame, cfg: Config) -> Dat
     return indexed.where(F.col("index").isNotNull())
 
 
-def expose_gaps(readings: DataFrame, households: DataFrame, cfg: Config) -> DataFrame:
-    """One row per household and grid index, NULL where there is no reading.
+def one_per_slot(readings: DataFrame, cfg: Config) -> DataFrame:
+    """Combine readings of one (dataid, index) slot by `cfg.duplicates`; None trusts the source.
 
-    The left join of the grid with the readings, written as one grouped union: grid rows bring no
-    values, a slot read more than once combines by `cfg.duplicates`, and map-side combine shrinks
-    a household with many copies of a slot before the shuffle. Keys are (dataid, index), so no
-    household decides the size of a task.
+    Keys are (dataid, index) and map-side combine applies, so a household with many copies of its
+    slots arrives as at most one row per slot and task.
     """
+    if cfg.duplicates is None:
+        return readings
     if cfg.duplicates not in ("avg", "sum", "min", "max"):
         raise ValueError(f"unknown rule for duplicates: {cfg.duplicates!r}")
     combine = getattr(F, cfg.duplicates)
     sensors = [c for c in readings.columns if c not in ("dataid", "index")]
-    marked = readings.select("dataid", "index", *sensors, F.lit(False).alias("_grid"))
-    empty = [F.lit(None).cast("double").alias(s) for s in sensors]
-    grid = household_grid(households, cfg).select("dataid", "index", *empty, F.lit(True).alias("_grid"))
-    merged = marked.unionByName(grid).groupBy("dataid", "index").agg(
-        *[combine(s).alias(s) for s in sensors], F.max("_grid").alias("_grid")
-    )
-    return merged.where("_grid").drop("_grid")
+    return readings.groupBy("dataid", "index").agg(*[combine(s).alias(s) for s in sensors])
+
+
+def expose_gaps(readings: DataFrame, households: DataFrame, cfg: Config) -> DataFrame:
+    """One row per household and grid index, NULL where there is no reading: the left join of the
+    grid with the readings of each slot, for all households at once."""
+    return household_grid(households, cfg).join(one_per_slot(readings, cfg), ["dataid", "index"], "left")

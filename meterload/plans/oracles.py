@@ -258,6 +258,7 @@ SELECT dataid, count(*) AS n_rows, count(*) FILTER (WHERE coalesce(air1, kitchen
 
     "spine_fill": f'WITH {HOURLY} SELECT dataid, idx AS "index", {SCALARS} FROM filled',
     "spine_fill_blocks": f'WITH {HOURLY} SELECT dataid, idx AS "index", {SCALARS} FROM filled',
+    "spine_join_fill": f'WITH {HOURLY} SELECT dataid, idx AS "index", {SCALARS} FROM filled',
 
     "household_profile": f"""
 WITH {HOURLY}

@@ -16,7 +16,7 @@ from meterload.config import FEATURES
 from meterload.functions.features import calendar_columns, scale_calendar
 from meterload.functions.time import grid_time
 from meterload.operators import bottomup, evaluate, hierarchy, report, splits, windows
-from meterload.operators.clean import add_time, bounded_fill, mask_limit, mask_row_zscore
+from meterload.operators.clean import add_time, bounded_fill, clean_slots, mask_limit, mask_row_zscore
 from meterload.operators.forecast import (
     LagRegression,
     SeasonalNaive,
@@ -124,6 +124,14 @@ def spine_fill_blocks(spark, folder):
     """The same fill with the grid cut into blocks, as for very long grids."""
     work = CFG.with_(sensors=CFG.appliances, block_rows=100)
     readings = fx.slot_readings(spark, folder).drop("grid")
+    filled = clean_slots(readings, readings, work)
+    return filled.select("dataid", "index", *[_r(s) for s in CFG.appliances])
+
+
+def spine_join_fill(spark, folder):
+    """The same in two steps: left join with the grid, then a fill over the joined rows."""
+    work = CFG.with_(sensors=CFG.appliances)
+    readings = fx.slot_readings(spark, folder).drop("grid")
     filled = bounded_fill(expose_gaps(readings, readings, work), list(work.sensors), work)
     return filled.select("dataid", "index", *[_r(s) for s in CFG.appliances])
 
@@ -602,7 +610,7 @@ def matrix_roundtrip(spark, folder):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        city_load_flagship, time_spine_hours, grid_rows, spine_fill, spine_fill_blocks, household_profile,
+        city_load_flagship, time_spine_hours, grid_rows, spine_fill, spine_fill_blocks, spine_join_fill, household_profile,
         year_alignment, year_aligned_readings, community_assignment, community_assignment_runs,
         sensor_presence, hierarchy_edges, hierarchy_tree, entity_lists, entity_counts,
         row_zscore_outliers, abs_limit_outliers, calendar_features, calendar_features_scaled,

@@ -54,7 +54,7 @@ def read_matrix(
     A file holds the windows of one entity in order, so its size is bounded by the test period
     and it is read whole to keep the line numbers.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     location = F.col("_metadata.file_path")
     key_columns = [
         F.url_decode(F.regexp_extract(location, f"{key}=([^/]+)", 1)).alias(key) for key in keys
