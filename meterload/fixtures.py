@@ -52,9 +52,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def slot_readings(spark: SparkSession, folder: str) -> DataFrame:
     """(dataid, index, sensors): one row per event, its value in the column of its sensor."""
     events = table(spark, folder, "events")
-    sensors = [F.when(F.col("event_type") == e, F.col("value")).alias(s) for e, s in SENSOR_OF.items()]
-    slots = events.select(F.col("user_id").alias("dataid"), slot_index(F.col("ts"), HOURLY).alias("index"), *sensors)
-    return slots.where(F.col("index").isNotNull())
+    slots = events.withColumn("index", slot_index(F.col("ts"), HOURLY)).where("index IS NOT NULL")
+    sensors = [f"CASE WHEN event_type = '{e}' THEN value END AS {s}" for e, s in SENSOR_OF.items()]
+    return slots.selectExpr("user_id AS dataid", "index", *sensors)
 
 
 def hourly_readings(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,11 +67,11 @@ def hourly_readings(spark: SparkSession, folder: str) -> DataFrame:
 def households(spark: SparkSession, folder: str) -> DataFrame:
     """(dataid, city, state) of every user with events."""
     users = table(spark, folder, "events").select(F.col("user_id").alias("dataid")).distinct()
-    customer = table(spark, folder, "customer").select(F.col("c_custkey").alias("dataid"), "c_nationkey")
-    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    located = users.join(customer, "dataid").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    located = located.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return located.select("dataid", F.col("r_name").alias("city"), F.col("n_name").alias("state"))
+    customer = table(spark, folder, "customer").selectExpr("c_custkey AS dataid", "c_nationkey AS nation")
+    nation = table(spark, folder, "nation").selectExpr("n_nationkey AS nation", "n_name AS state", "n_regionkey AS region")
+    region = table(spark, folder, "region").selectExpr("r_regionkey AS region", "r_name AS city")
+    located = users.join(customer, "dataid").join(nation, "nation").join(region, "region")
+    return located.select("dataid", "city", "state")
 
 
 def placed_households(spark: SparkSession, folder: str) -> DataFrame:

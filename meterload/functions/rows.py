@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +13,7 @@ from meterload.config import Config
 
 def row_sum(columns: Sequence[str]) -> Column:
     """Sum that skips NULLs; 0 for an empty or all-NULL row."""
-    terms = [F.coalesce(F.col(c), F.lit(0.0)) for c in columns]
-    return reduce(add, terms) if terms else F.lit(0.0)
+    return F.expr(" + ".join(f"coalesce({c}, 0D)" for c in columns) or "0D")
 
 
 def signed_total(cfg: Config) -> Column:

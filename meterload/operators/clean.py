@@ -89,38 +89,42 @@ def fill_grid(slots: DataFrame, households: DataFrame, sensors: Sequence[str], c
     if blocks > 1 and reach >= rows:
         raise ValueError("fill_rows must be smaller than block_rows")
     known = households.select("dataid").distinct()
-    marker = known.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    marker = marker.select(
-        "dataid", (F.col("_block") * rows).alias("index"), "_block", F.lit(True).alias("_open"),
-        *[F.lit(None).cast("double").alias(s) for s in sensors],
+    marker = known.selectExpr("dataid", f"explode(sequence(0, {blocks - 1})) AS _block").selectExpr(
+        "dataid", f"_block * {rows} AS index", "_block", "true AS _open",
+        *[f"CAST(NULL AS DOUBLE) AS {s}" for s in sensors],
     )
-    present = slots.select("dataid", "index", F.lit(False).alias("_open"), *sensors)
+    # A row also opens the next block if that block's first rows may still carry its values.
+    here, next_ = f"(index - 1) div {rows}", f"(index - 1 + {reach}) div {rows}"
     if blocks > 1:
-        ends = F.array_distinct(F.array(_block(F.col("index"), rows), _block(F.col("index") + reach, rows)))
-        present = present.withColumn("_block", F.explode(F.filter(ends, lambda b: b < blocks)))
+        homes = f"filter(array_distinct(array({here}, {next_})), b -> b < {blocks})"
+        block = f"explode(transform({homes}, b -> CAST(b AS INT)))"
     else:
-        present = present.withColumn("_block", F.lit(0))
-    run = Window.partitionBy("dataid", "_block").orderBy("index")
+        block = "0"
+    present = slots.selectExpr("dataid", "index", f"{block} AS _block", "false AS _open", *sensors)
+    keys = ["dataid", "_block"] if blocks > 1 else ["dataid"]
+    entity = Window.partitionBy(*keys)
+    run = entity.orderBy("index")
     recent = run.rangeBetween(-reach, 0)
-    first = F.col("_block") * rows + 1
-    end = F.least((F.col("_block") + 1) * rows, F.lit(cfg.n_steps))
-    seen = {s: F.when(F.col(s).isNotNull(), F.struct(F.col("index").alias("i"), F.col(s).alias("v"))) for s in sensors}
     placed = marker.unionByName(present).select(
-        "dataid", first.alias("_first"), F.col("index").alias("_at"),
-        F.max("_open").over(Window.partitionBy("dataid", "_block")).alias("_known"),
-        F.lead("index", 1).over(run).alias("_next"), end.alias("_end"),
-        *[F.last(v, ignorenulls=True).over(recent).alias(s) for s, v in seen.items()],
+        "dataid", "index",
+        F.max("_open").over(entity).alias("_known"),
+        F.expr(f"_block * {rows} + 1").alias("_first"),
+        F.expr(f"least((_block + 1) * {rows}, {cfg.n_steps})").alias("_last"),
+        F.lead("index", 1).over(run).alias("_next"),
+        *[
+            F.last(F.expr(f"CASE WHEN {s} IS NOT NULL THEN struct(index AS i, {s} AS v) END"), True)
+            .over(recent).alias(s)
+            for s in sensors
+        ],
     )
-    begin = F.greatest("_at", "_first")
-    stop = F.coalesce(F.col("_next") - 1, F.col("_end"))
     # Rows of one index share their frame, so any one of them may carry the gap that follows.
-    wanted = placed.where((stop >= begin) & F.col("_known"))
-    grid = wanted.select("dataid", *sensors, F.explode(F.sequence(begin, stop)).alias("index"))
-    filled = [
-        F.when(F.col("index") - F.col(f"{s}.i") <= reach, F.col(f"{s}.v")).otherwise(F.lit(0.0)).alias(s)
-        for s in sensors
-    ]
-    return grid.select("dataid", "index", *filled)
+    gaps = placed.selectExpr(
+        "dataid", "_known", "greatest(index, _first) AS _begin", "coalesce(_next - 1, _last) AS _end", *sensors
+    ).where("_known AND _end >= _begin")
+    grid = gaps.selectExpr("dataid", *sensors, "explode(sequence(_begin, _end)) AS index")
+    return grid.selectExpr(
+        "dataid", "index", *[f"CASE WHEN index - {s}.i <= {reach} THEN {s}.v ELSE 0D END AS {s}" for s in sensors]
+    )
 
 
 def clean_slots(

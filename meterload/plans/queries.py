@@ -41,7 +41,7 @@ from meterload.operators.search import best_candidates, forecast_with_best, scor
 from meterload.session import scratch_path
 from meterload.sources.csv import read_profile_csv, read_readings, read_source_metadata
 from meterload.sources.forecasts import long_form, read_forecasts, read_matrix, write_forecasts, write_matrix
-from meterload.sources.tables import read_entity, read_table, write_table
+from meterload.sources.tables import read_entity, read_table, stored, write_table
 
 CFG = fx.HOURLY
 FIRST, LAST = CFG.test_start, CFG.last_window
@@ -60,33 +60,37 @@ def _r(name: str, digits: int = 4) -> Column:
 
 # --- levels over the test tables -----------------------------------------------------------------
 
-def _household(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals of placed households with their place."""
+def _levels(spark: SparkSession, folder: str, store: bool = False) -> dict[str, DataFrame]:
+    """Totals of placed households, their communities and cities. `store` keeps the household
+    totals in a file, for queries that branch into several levels."""
     homes = fx.placed_households(spark, folder)
     totals = household_totals(fx.appliance_table(spark, folder, homes), CFG)
-    return totals.join(homes.select("dataid", "city", "community"), "dataid")
+    household = totals.join(homes.select("dataid", "city", "community"), "dataid")
+    household = stored(household, "household") if store else household
+    community = household.groupBy("city", "community", "index").agg(F.sum("total").alias("total"))
+    return {"household": household, "community": community, "city": city_totals(community)}
+
+
+def _household(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder)["household"]
 
 
 def _community(spark: SparkSession, folder: str) -> DataFrame:
-    return _household(spark, folder).groupBy("city", "community", "index").agg(F.sum("total").alias("total"))
+    return _levels(spark, folder)["community"]
 
 
 def _city(spark: SparkSession, folder: str) -> DataFrame:
-    return city_totals(_community(spark, folder))
+    return _levels(spark, folder)["city"]
 
 
-def _level(spark: SparkSession, folder: str, level: str) -> DataFrame:
-    return {"household": _household, "community": _community, "city": _city}[level](spark, folder)
+def _cut(series: DataFrame, level: str, first: int = FIRST, last: int = LAST, keep=None) -> DataFrame:
+    """(path keys, win, x, y) of a level above appliances."""
+    return windows.value_windows(series, bottomup.PATH_KEYS[level], "total", CFG, first, last, keep=keep)
 
 
-def _windows(spark: SparkSession, folder: str, level: str, first: int = FIRST, last: int = LAST, keep=None) -> DataFrame:
-    """(path keys, win, x, y) of a level."""
-    if level == "appliance":
-        meta = fx.metadata(spark, folder)
-        table = fx.appliance_table(spark, folder, meta)
-        return windows.appliance_windows(table, hierarchy.household_map(meta, CFG), CFG, first, last, keep=keep)
-    keys = bottomup.PATH_KEYS[level]
-    return windows.value_windows(_level(spark, folder, level), keys, "total", CFG, first, last, keep=keep)
+def _appliance_cut(appliance: DataFrame, meta: DataFrame) -> DataFrame:
+    homes = hierarchy.household_map(meta, CFG)
+    return windows.appliance_windows(appliance, homes, CFG, FIRST, LAST)
 
 
 # --- flagship, grid, profile ---------------------------------------------------------------------
@@ -273,9 +277,9 @@ def zscore_sensors(spark, folder):
 
 
 def zscore_levels(spark, folder):
-    rows = None
+    rows, levels = None, _levels(spark, folder, store=True)
     for level in ("household", "community", "city"):
-        scored = normalize_level(_level(spark, folder, level), level, CFG)
+        scored = normalize_level(levels[level], level, CFG)
         key = bottomup.ENTITY_KEYS[level][0]
         part = scored.select(F.lit(level).alias("level"), F.col(key).cast("string").alias("entity"), "index", _r("total"))
         rows = part if rows is None else rows.unionByName(part)
@@ -345,7 +349,7 @@ def training_pairs(spark, folder):
 
 def actual_windows(spark, folder):
     """Expected outputs of every appliance over the test windows."""
-    meta = fx.metadata(spark, folder)
+    meta = stored(fx.metadata(spark, folder), "metadata")
     cut = windows.appliance_windows(
         fx.appliance_table(spark, folder, meta), hierarchy.household_map(meta, CFG), CFG, FIRST, LAST,
         with_input=False)
@@ -359,11 +363,11 @@ def _long(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def seasonal_naive(spark, folder):
-    return _long(forecast(_windows(spark, folder, "city"), ["city"], SeasonalNaive(24), CFG), ["city"])
+    return _long(forecast(_cut(_city(spark, folder), "city"), ["city"], SeasonalNaive(24), CFG), ["city"])
 
 
 def window_mean(spark, folder):
-    return _long(forecast(_windows(spark, folder, "city"), ["city"], WindowMean(), CFG), ["city"])
+    return _long(forecast(_cut(_city(spark, folder), "city"), ["city"], WindowMean(), CFG), ["city"])
 
 
 def lag_regression_entity(spark, folder):
@@ -372,9 +376,9 @@ def lag_regression_entity(spark, folder):
 
 
 def lag_regression_forecast(spark, folder):
-    city = _city(spark, folder)
+    city = stored(_city(spark, folder), "city")
     fits = fit_lag_regression(city, ["city"], "total", 24, CFG)
-    cut = windows.value_windows(city, ["city"], "total", CFG, FIRST, LAST).join(fits, "city")
+    cut = _cut(city, "city").join(fits, "city")
     return _long(forecast(cut, ["city"], LagRegression(24), CFG), ["city"])
 
 
@@ -390,7 +394,7 @@ def _validation(win: Column) -> Column:
 
 
 def candidate_search(spark, folder):
-    cut = _windows(spark, folder, "community", 1, CFG.last_train_window, keep=_validation)
+    cut = _cut(_community(spark, folder), "community", 1, CFG.last_train_window, _validation)
     scores = score_candidates(cut, ["community"], CANDIDATES, CFG)
     return best_candidates(scores, ["community"]).select("community", "candidate", _r("val_mae", 7))
 
@@ -398,10 +402,10 @@ def candidate_search(spark, folder):
 def candidate_forecast(spark, folder):
     """Test-period error of each community under its winning candidate."""
     keys = ["city", "community"]
-    series = _community(spark, folder)
-    validation = windows.value_windows(series, keys, "total", CFG, 1, CFG.last_train_window, keep=_validation)
+    series = stored(_community(spark, folder), "community")
+    validation = _cut(series, "community", 1, CFG.last_train_window, _validation)
     best = best_candidates(score_candidates(validation, keys, CANDIDATES, CFG), keys)
-    test = windows.value_windows(series, keys, "total", CFG, FIRST, LAST)
+    test = _cut(series, "community")
     errors = evaluate.window_errors(forecast_with_best(test, keys, best, CANDIDATES, CFG), CFG)
     return errors.groupBy("community", "candidate").agg(F.round(F.avg("mae"), 7).alias("mae"))
 
@@ -422,19 +426,26 @@ def user_model_hook(spark, folder):
 
 # --- bottom-up and evaluation --------------------------------------------------------------------
 
-def _evaluated(spark, folder, base: str) -> DataFrame:
-    """Window errors of one base level at its own and all higher levels.
+def _evaluated(spark: SparkSession, folder: str, *bases: str) -> DataFrame:
+    """Window errors of base levels at their own and all higher levels.
 
-    Actuals travel up beside the forecasts: both are sums of the same children, so the pairing
-    needs no join.
+    The base windows' forecasts are stored once and summed upwards from there. Actuals travel up
+    beside the forecasts: both are sums of the same children, so the pairing needs no join.
     """
-    keys = bottomup.PATH_KEYS[base]
-    predicted = forecast(_windows(spark, folder, base), keys, MODELS[base], CFG)
-    levels = bottomup.bottom_up_pairs(predicted, base, CFG)
+    cuts = {}
+    if "appliance" in bases:
+        meta = stored(fx.metadata(spark, folder), "metadata")
+        cuts["appliance"] = _appliance_cut(fx.appliance_table(spark, folder, meta), meta)
+    if set(bases) - {"appliance"}:
+        levels = _levels(spark, folder, store=len(bases) > 1)
+        cuts |= {base: _cut(levels[base], base) for base in bases if base != "appliance"}
     rows = None
-    for level, df in levels.items():
-        errors = bottomup.tag(evaluate.window_errors(df, CFG), base, level)
-        rows = errors if rows is None else rows.unionByName(errors)
+    for base in bases:
+        predicted = forecast(cuts[base], bottomup.PATH_KEYS[base], MODELS[base], CFG)
+        predicted = predicted if base == "city" else stored(predicted, f"forecast-{base}")
+        for level, df in bottomup.bottom_up_pairs(predicted, base, CFG).items():
+            errors = bottomup.tag(evaluate.window_errors(df, CFG), base, level)
+            rows = errors if rows is None else rows.unionByName(errors)
     return rows
 
 
@@ -451,31 +462,30 @@ def _bottomup(base: str) -> Query:
 
 def bottomup_from_store(spark, folder):
     """Household forecasts written to the store, read back, summed and joined with actuals."""
-    household = _household(spark, folder)
-    cut = windows.value_windows(household, bottomup.PATH_KEYS["household"], "total", CFG, FIRST, LAST)
+    levels = _levels(spark, folder, store=True)
     path = scratch_path(spark, "forecasts")
-    predicted = forecast(cut.drop("y"), bottomup.PATH_KEYS["household"], MODELS["household"], CFG)
+    cut = _cut(levels["household"], "household").drop("y")
+    predicted = forecast(cut, bottomup.PATH_KEYS["household"], MODELS["household"], CFG)
     write_forecasts(bottomup.tag(predicted, "household", "household"), path)
-    stored = read_forecasts(spark, path, "household", "household")
+    kept = read_forecasts(spark, path, "household", "household")
     actuals = {
-        level: windows.output_windows(_level(spark, folder, level), bottomup.PATH_KEYS[level], "total", CFG, FIRST, LAST)
-        for level in ("household", "community", "city")
+        level: windows.output_windows(df, bottomup.PATH_KEYS[level], "total", CFG, FIRST, LAST)
+        for level, df in levels.items()
     }
-    errors = evaluate.evaluate_base(stored, "household", actuals, CFG)
-    table = evaluate.evaluation_table(errors, CFG)
+    table = evaluate.evaluation_table(evaluate.evaluate_base(kept, "household", actuals, CFG), CFG)
     return table.select("level", _entity(), "win", _r("mae"), _r("rmse"))
 
 
 def window_mae(spark, folder):
     keys = bottomup.PATH_KEYS["community"]
-    predicted = forecast(_windows(spark, folder, "community"), keys, WindowMean(), CFG)
+    predicted = forecast(_cut(_community(spark, folder), "community"), keys, WindowMean(), CFG)
     errors = evaluate.window_errors(predicted, CFG)
     return errors.select("community", "win", _r("mae", 7), _r("rmse_window"))
 
 
 def entity_rmse(spark, folder):
     keys = bottomup.PATH_KEYS["household"]
-    predicted = forecast(_windows(spark, folder, "household"), keys, WindowMean(), CFG)
+    predicted = forecast(_cut(_household(spark, folder), "household"), keys, WindowMean(), CFG)
     table = evaluate.with_entity_rmse(evaluate.window_errors(predicted, CFG), keys, CFG)
     return table.select("dataid", "win", _r("mae", 7), _r("rmse"))
 
@@ -489,10 +499,7 @@ def evaluation_summary(spark, folder):
 
 def level_report(spark, folder):
     """All ten (base level, level) rows: every aggregation path beside the direct forecasts."""
-    errors = None
-    for base in MODELS:
-        part = _evaluated(spark, folder, base)
-        errors = part if errors is None else errors.unionByName(part)
+    errors = _evaluated(spark, folder, *MODELS)
     rows = evaluate.level_report(evaluate.summarize(errors, CFG))
     return rows.select("base_level", "level", *[_r(c) for c in ("mae_mean", "rmse_mean", "mae_std", "rmse_std")])
 
@@ -528,16 +535,16 @@ def mean_load(spark, folder):
 
 
 def std_load(spark, folder):
-    rows = None
+    rows, levels = None, _levels(spark, folder, store=True)
     for level in ("household", "community", "city"):
         key = bottomup.ENTITY_KEYS[level][0]
-        part = report.std_of_totals(_level(spark, folder, level), key, CFG).select(F.lit(level).alias("level"), _r("std"))
+        part = report.std_of_totals(levels[level], key, CFG).select(F.lit(level).alias("level"), _r("std"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
 def std_load_appliance(spark, folder):
-    meta = fx.metadata(spark, folder)
+    meta = stored(fx.metadata(spark, folder), "metadata")
     return report.std_of_appliances(fx.appliance_table(spark, folder, meta), meta, CFG).select(_r("std"))
 
 
@@ -602,7 +609,7 @@ def csv_profile_roundtrip(spark, folder):
 def matrix_roundtrip(spark, folder):
     """City forecasts through text matrices, one file per city, windows recovered from line order."""
     path = scratch_path(spark, "matrix")
-    predicted = forecast(_windows(spark, folder, "city"), ["city"], SeasonalNaive(24), CFG)
+    predicted = forecast(_cut(_city(spark, folder), "city"), ["city"], SeasonalNaive(24), CFG)
     write_matrix(predicted, path, ["city"])
     return _long(read_matrix(spark, f"{path}/city=*", ["city"], FIRST), ["city"])
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterload.session import scratch_path
+
 BUCKET = "entity_bucket"
 
 
@@ -63,6 +65,14 @@ def read_table(
     return df.drop(BUCKET) if BUCKET in df.columns else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from the file: its lineage ends
+    there, it survives lost executors, and branches that use it do not repeat the work."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_entity(
     spark: SparkSession, path: str, key: str, value, columns: Sequence[str] | None = None,
     buckets: int = 256,
