@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterload.config import Config
-from meterload.functions.time import grid_time, slot_index
+from meterload.functions.time import grid_time, in_window, slot_index
 from meterload.operators.clean import clean_slots
 from meterload.operators.grid import expose_gaps
 from meterload.operators.hierarchy import assign_communities
+from meterload.sources.tables import stored
 
 # Hourly meters: event types of a user stand for the sensors of a household.
 SENSOR_OF = {"view": "air1", "click": "kitchen1", "signup": "car1", "purchase": "solar", "error": "grid"}
@@ -52,7 +53,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def slot_readings(spark: SparkSession, folder: str) -> DataFrame:
     """(dataid, index, sensors): one row per event, its value in the column of its sensor."""
     events = table(spark, folder, "events")
-    slots = events.withColumn("index", slot_index(F.col("ts"), HOURLY)).where("index IS NOT NULL")
+    inside = events.where(in_window(F.col("ts"), HOURLY))
+    slots = inside.withColumn("index", slot_index(F.col("ts"), HOURLY))
     sensors = [f"CASE WHEN event_type = '{e}' THEN value END AS {s}" for e, s in SENSOR_OF.items()]
     return slots.selectExpr("user_id AS dataid", "index", *sensors)
 
@@ -75,8 +77,9 @@ def households(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def placed_households(spark: SparkSession, folder: str) -> DataFrame:
-    """Households in complete communities."""
-    return assign_communities(households(spark, folder), HOURLY.community_size)
+    """Households in complete communities, stored: jobs read the hierarchy several times."""
+    homes = stored(households(spark, folder), "households")
+    return stored(assign_communities(homes, HOURLY.community_size), "placed")
 
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,8 +103,9 @@ def daily_grid(spark: SparkSession, folder: str) -> DataFrame:
     sensor = F.col("user_id") % 20
     dataid = F.floor(F.col("user_id") / 20)
     columns = [F.when(sensor == i, F.col("value")).alias(s) for i, s in enumerate(DAILY.sensors)]
-    rows = events.select(dataid.alias("dataid"), slot_index(F.col("ts"), DAILY).alias("index"), *columns)
-    return expose_gaps(rows.where(F.col("index").isNotNull()), rows, DAILY)
+    inside = events.where(in_window(F.col("ts"), DAILY))
+    rows = inside.select(dataid.alias("dataid"), slot_index(F.col("ts"), DAILY).alias("index"), *columns)
+    return expose_gaps(rows, events.select(dataid.alias("dataid")), DAILY)
 
 
 def order_readings(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@ session time zone."""
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,24 +39,30 @@ def add_years(ts: Column, years: Column) -> Column:
     return ts + F.make_ym_interval(years, F.lit(0))
 
 
-def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds with fraction as DOUBLE, from calendar fields (no zone conversion)."""
 
+    def of_day(ts: Column) -> Column:
+        return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts).cast("double")
 
-def grid_index(ts: Column, cfg: Config) -> Column:
-    """1-based grid index of a timestamp that lies exactly on the grid, else NULL."""
-    step = F.lit(cfg.step_seconds * 1_000_000)
-    offset = micros_between(ntz(cfg.from_time), ts)
-    inside = (offset >= 0) & (ts <= ntz(cfg.end_time)) & (offset % step == 0)
-    return F.when(inside, (F.floor(offset / step) + 1).cast("int"))
+    return F.date_diff(F.to_date(end), F.to_date(start)) * F.lit(86400.0) + of_day(end) - of_day(start)
+
+
+def in_window(ts: Column, cfg: Config) -> Column:
+    """Plain range predicate that a columnar scan can use to skip row groups."""
+    return (ts >= ntz(cfg.from_time)) & (ts < ntz(cfg.end_time + timedelta(seconds=cfg.step_seconds)))
 
 
 def slot_index(ts: Column, cfg: Config) -> Column:
     """1-based index of the grid slot a timestamp falls into (for data finer than the grid)."""
-    step = F.lit(cfg.step_seconds * 1_000_000)
-    offset = micros_between(ntz(cfg.from_time), ts)
-    index = (F.floor(offset / step) + 1).cast("int")
-    return F.when(index.between(1, cfg.n_steps), index)
+    offset = seconds_between(ntz(cfg.from_time), ts)
+    return F.when(in_window(ts, cfg), (F.floor(offset / cfg.step_seconds) + 1).cast("int"))
+
+
+def grid_index(ts: Column, cfg: Config) -> Column:
+    """1-based grid index of a timestamp that lies exactly on the grid, else NULL."""
+    offset = seconds_between(ntz(cfg.from_time), ts)
+    return F.when(offset % cfg.step_seconds == 0, slot_index(ts, cfg))
 
 
 def grid_time(index: Column, cfg: Config) -> Column:

@@ -102,12 +102,12 @@ def fill_grid(slots: DataFrame, households: DataFrame, sensors: Sequence[str], c
         block = "0"
     present = slots.selectExpr("dataid", "index", f"{block} AS _block", "false AS _open", *sensors)
     keys = ["dataid", "_block"] if blocks > 1 else ["dataid"]
-    entity = Window.partitionBy(*keys)
-    run = entity.orderBy("index")
+    run = Window.partitionBy(*keys).orderBy("index")
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     recent = run.rangeBetween(-reach, 0)
     placed = marker.unionByName(present).select(
         "dataid", "index",
-        F.max("_open").over(entity).alias("_known"),
+        F.max("_open").over(whole).alias("_known"),
         F.expr(f"_block * {rows} + 1").alias("_first"),
         F.expr(f"least((_block + 1) * {rows}, {cfg.n_steps})").alias("_last"),
         F.lead("index", 1).over(run).alias("_next"),

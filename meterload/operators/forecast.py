@@ -22,10 +22,9 @@ def _check_lag(lag: int, cfg: Config) -> None:
         )
 
 
-def _lagged(x: Column, lag: int, cfg: Config) -> Column:
-    """The input values `lag` steps before each output step."""
-    _check_lag(lag, cfg)
-    return F.slice(x, cfg.input_size - lag + 1, cfg.output_size)
+def _lagged(x: Column, lag: int, cfg: Config, start: int) -> Column:
+    """The input values `lag` steps before each output step, of an input cut at `start`."""
+    return F.slice(x, cfg.input_size - lag - start + 1, cfg.output_size)
 
 
 @dataclass(frozen=True)
@@ -38,8 +37,12 @@ class SeasonalNaive:
     def name(self) -> str:
         return f"naive_{self.lag}"
 
-    def predict(self, x: Column, cfg: Config) -> Column:
-        return _lagged(x, self.lag, cfg)
+    def reads(self, cfg: Config) -> tuple[int, int]:
+        _check_lag(self.lag, cfg)
+        return cfg.input_size - self.lag, cfg.output_size
+
+    def predict(self, x: Column, cfg: Config, start: int = 0) -> Column:
+        return _lagged(x, self.lag, cfg, start)
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,10 @@ class WindowMean:
     def name(self) -> str:
         return "window_mean"
 
-    def predict(self, x: Column, cfg: Config) -> Column:
+    def reads(self, cfg: Config) -> tuple[int, int]:
+        return 0, cfg.input_size
+
+    def predict(self, x: Column, cfg: Config, start: int = 0) -> Column:
         return F.array_repeat(array_mean(x, cfg.input_size), cfg.output_size)
 
 
@@ -64,18 +70,32 @@ class LagRegression:
     def name(self) -> str:
         return f"regression_{self.lag}"
 
-    def predict(self, x: Column, cfg: Config) -> Column:
+    def reads(self, cfg: Config) -> tuple[int, int]:
+        _check_lag(self.lag, cfg)
+        return cfg.input_size - self.lag, cfg.output_size
+
+    def predict(self, x: Column, cfg: Config, start: int = 0) -> Column:
         line = lambda v: F.col("intercept") + F.col("slope") * v
-        return F.transform(_lagged(x, self.lag, cfg), line)
+        return F.transform(_lagged(x, self.lag, cfg, start), line)
 
 
 Forecaster = SeasonalNaive | WindowMean | LagRegression
 
 
-def forecast(windows: DataFrame, keys: Sequence[str], model: Forecaster, cfg: Config) -> DataFrame:
-    """(keys, win, y_hat[, y]) from windows with an input array `x`."""
+def input_part(models: Sequence[Forecaster], cfg: Config) -> tuple[int, int]:
+    """(offset, length) of the input window that the models read together; windows cut for them
+    need not hold more."""
+    reads = [m.reads(cfg) for m in models]
+    start = min(offset for offset, _ in reads)
+    return start, max(offset + length for offset, length in reads) - start
+
+
+def forecast(
+    windows: DataFrame, keys: Sequence[str], model: Forecaster, cfg: Config, start: int = 0
+) -> DataFrame:
+    """(keys, win, y_hat[, y]) from windows with an input array `x` that begins at `start`."""
     carried = ["y"] if "y" in windows.columns else []
-    return windows.select(*keys, "win", model.predict(F.col("x"), cfg).alias("y_hat"), *carried)
+    return windows.select(*keys, "win", model.predict(F.col("x"), cfg, start).alias("y_hat"), *carried)
 
 
 def lag_pairs(
@@ -161,9 +181,11 @@ def lagged_table(
     return table.where(F.col("index").between(first, last)).dropna(subset=names), names
 
 
-def apply_global_regression(windows: DataFrame, keys: Sequence[str], model, lags: Sequence[int], cfg: Config) -> DataFrame:
+def apply_global_regression(
+    windows: DataFrame, keys: Sequence[str], model, lags: Sequence[int], cfg: Config
+) -> DataFrame:
     """Forecasts of a fitted global model: its few coefficients become literals of a projection."""
-    parts = [_lagged(F.col("x"), lag, cfg) for lag in lags]
+    parts = [_lagged(F.col("x"), lag, cfg, 0) for lag in lags]
     y_hat = F.array_repeat(F.lit(float(model.intercept)), cfg.output_size)
     for part, weight in zip(parts, model.coefficients):
         w = float(weight)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterload.config import Config
 from meterload.functions.rows import balance_error
-from meterload.functions.time import add_years, micros_between, ntz
+from meterload.functions.time import add_years, ntz, seconds_between
 
 
 def profile_readings(readings: DataFrame, cfg: Config) -> DataFrame:
@@ -28,8 +28,8 @@ def profile_readings(readings: DataFrame, cfg: Config) -> DataFrame:
         F.avg("_error").alias("aggregation_abs_error_mean"),
         *[F.bool_or(F.col(s).isNotNull()).alias(s) for s in cfg.sensors],
     )
-    micros = F.lit(cfg.step_seconds * 1_000_000.0)
-    expected = (micros_between(F.col("min_time"), F.col("max_time")) + micros) / micros
+    step = F.lit(float(cfg.step_seconds))
+    expected = (seconds_between(F.col("min_time"), F.col("max_time")) + step) / step
     return grouped.select(
         "dataid", "min_time", "max_time", "n_readings",
         F.try_divide(F.col("n_readings").cast("double"), expected).alias("data_availability"),

@@ -13,12 +13,13 @@ from meterload.operators.forecast import Forecaster
 
 
 def score_candidates(
-    windows: DataFrame, keys: Sequence[str], candidates: Sequence[Forecaster], cfg: Config
+    windows: DataFrame, keys: Sequence[str], candidates: Sequence[Forecaster], cfg: Config,
+    start: int = 0,
 ) -> DataFrame:
     """(keys, candidate, val_mae). All candidates are scored in one pass over the validation
     windows (keys, win, x, y); a group keeps one running mean per candidate."""
     errors = {
-        m.name: absolute_error_sum(F.col("y"), m.predict(F.col("x"), cfg)) / F.lit(float(cfg.output_size))
+        m.name: absolute_error_sum(F.col("y"), m.predict(F.col("x"), cfg, start)) / F.lit(float(cfg.output_size))
         for m in candidates
     }
     names = list(errors)
@@ -35,12 +36,13 @@ def best_candidates(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def forecast_with_best(
-    windows: DataFrame, keys: Sequence[str], best: DataFrame, candidates: Sequence[Forecaster], cfg: Config
+    windows: DataFrame, keys: Sequence[str], best: DataFrame, candidates: Sequence[Forecaster],
+    cfg: Config, start: int = 0,
 ) -> DataFrame:
     """(keys, win, candidate, y_hat[, y]) where each entity uses its winner."""
     chosen = windows.join(best.select(*keys, "candidate"), list(keys))
     y_hat = F.lit(None).cast("array<double>")
     for m in candidates:
-        y_hat = F.when(F.col("candidate") == m.name, m.predict(F.col("x"), cfg)).otherwise(y_hat)
+        y_hat = F.when(F.col("candidate") == m.name, m.predict(F.col("x"), cfg, start)).otherwise(y_hat)
     carried = ["y"] if "y" in windows.columns else []
     return chosen.select(*keys, "win", "candidate", y_hat.alias("y_hat"), *carried)

@@ -95,13 +95,17 @@ def output_windows(
 def value_windows(
     series: DataFrame, keys: Sequence[str], target: str, cfg: Config, first: int, last: int,
     block: int | None = None, keep: Callable[[Column], Column] | None = None,
+    part: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """(keys, win, x, y): raw input and output values of each window, cut from the same array."""
+    """(keys, win, x, y): raw input and output values of each window, cut from the same array.
+
+    `part` (offset, length) narrows x to the input values a model reads.
+    """
     blocks = series_blocks(series, keys, [target], cfg.span, first, last, block)
     values = F.col(f"rows.{target}")
-    return cut_windows(blocks, keys, {
-        "x": (values, 0, cfg.input_size), "y": (values, cfg.input_size, cfg.output_size),
-    }, keep)
+    offset, length = part or (0, cfg.input_size)
+    columns = {"x": (values, offset, length), "y": (values, cfg.input_size, cfg.output_size)}
+    return cut_windows(blocks, keys, columns, keep)
 
 
 def training_pairs(
@@ -123,7 +127,7 @@ def training_pairs(
 def appliance_windows(
     appliance: DataFrame, households: DataFrame, cfg: Config, first: int, last: int,
     with_input: bool = True, block: int | None = None,
-    keep: Callable[[Column], Column] | None = None,
+    keep: Callable[[Column], Column] | None = None, part: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(city, community, dataid, sensor, win[, x], y) for the sensors each household has.
 
@@ -143,7 +147,7 @@ def appliance_windows(
     keys = ["city", "community", "dataid", "sensor"]
     columns = {}
     if with_input:
-        columns["x"] = (F.col("values"), 0, cfg.input_size)
+        columns["x"] = (F.col("values"), *(part or (0, cfg.input_size)))
     columns["y"] = (F.col("values"), cfg.input_size - shift, cfg.output_size)
     cut = cut_windows(long, keys, columns, keep)
     return cut if with_input else cut.withColumn("win", F.col("win") - shift)

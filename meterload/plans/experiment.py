@@ -16,6 +16,7 @@ from meterload.operators.forecast import (
     fit_appliance_regression,
     fit_lag_regression,
     forecast,
+    input_part,
 )
 from meterload.operators.hierarchy import entity_counts, household_map
 from meterload.operators.report import mean_load, std_load
@@ -39,13 +40,13 @@ def place(df: DataFrame, level: str, metadata: DataFrame) -> DataFrame:
 
 def level_windows(
     tables: dict[str, DataFrame], metadata: DataFrame, level: str, cfg: Config, first: int, last: int,
-    keep=None,
+    keep=None, part: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(path keys, win, x, y) of a level's entities, raw values."""
     if level == "appliance":
         homes = household_map(metadata, cfg)
-        return appliance_windows(tables[level], homes, cfg, first, last, keep=keep)
-    cut = value_windows(tables[level], ENTITY_KEYS[level], "total", cfg, first, last, keep=keep)
+        return appliance_windows(tables[level], homes, cfg, first, last, keep=keep, part=part)
+    cut = value_windows(tables[level], ENTITY_KEYS[level], "total", cfg, first, last, keep=keep, part=part)
     return place(cut, level, metadata).select(*PATH_KEYS[level], "win", "x", "y")
 
 
@@ -74,7 +75,8 @@ def store_actuals(
 def _predict(
     tables: dict[str, DataFrame], metadata: DataFrame, level: str, model: Forecaster, cfg: Config
 ) -> DataFrame:
-    windows = level_windows(tables, metadata, level, cfg, cfg.test_start, cfg.last_window).drop("y")
+    start, length = part = input_part([model], cfg)
+    windows = level_windows(tables, metadata, level, cfg, cfg.test_start, cfg.last_window, part=part).drop("y")
     keys = PATH_KEYS[level]
     if isinstance(model, LagRegression):
         if level == "appliance":
@@ -82,7 +84,7 @@ def _predict(
         else:
             fits = fit_lag_regression(tables[level], ENTITY_KEYS[level], "total", model.lag, cfg)
         windows = windows.join(fits, ENTITY_KEYS[level])
-    return forecast(windows, keys, model, cfg)
+    return forecast(windows, keys, model, cfg, start)
 
 
 def _search(
@@ -93,10 +95,12 @@ def _search(
         return holdout(win, cfg)
 
     keys = PATH_KEYS[level]
-    validation = level_windows(tables, metadata, level, cfg, 1, cfg.last_train_window, keep=held_out)
-    best = best_candidates(score_candidates(validation, keys, candidates, cfg), keys)
-    test = level_windows(tables, metadata, level, cfg, cfg.test_start, cfg.last_window).drop("y")
-    return forecast_with_best(test, keys, best, candidates, cfg).drop("candidate"), best
+    start, length = part = input_part(candidates, cfg)
+    last = cfg.last_train_window
+    validation = level_windows(tables, metadata, level, cfg, 1, last, keep=held_out, part=part)
+    best = best_candidates(score_candidates(validation, keys, candidates, cfg, start), keys)
+    test = level_windows(tables, metadata, level, cfg, cfg.test_start, cfg.last_window, part=part).drop("y")
+    return forecast_with_best(test, keys, best, candidates, cfg, start).drop("candidate"), best
 
 
 def run_level(

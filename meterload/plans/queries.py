@@ -24,6 +24,7 @@ from meterload.operators.forecast import (
     fit_global_regression,
     fit_lag_regression,
     forecast,
+    input_part,
     user_model,
 )
 from meterload.operators.grid import align_readings, expose_gaps, time_spine
@@ -83,14 +84,16 @@ def _city(spark: SparkSession, folder: str) -> DataFrame:
     return _levels(spark, folder)["city"]
 
 
-def _cut(series: DataFrame, level: str, first: int = FIRST, last: int = LAST, keep=None) -> DataFrame:
+def _cut(series: DataFrame, level: str, first: int = FIRST, last: int = LAST, keep=None, part=None) -> DataFrame:
     """(path keys, win, x, y) of a level above appliances."""
-    return windows.value_windows(series, bottomup.PATH_KEYS[level], "total", CFG, first, last, keep=keep)
+    keys = bottomup.PATH_KEYS[level]
+    return windows.value_windows(series, keys, "total", CFG, first, last, keep=keep, part=part)
 
 
-def _appliance_cut(appliance: DataFrame, meta: DataFrame) -> DataFrame:
-    homes = hierarchy.household_map(meta, CFG)
-    return windows.appliance_windows(appliance, homes, CFG, FIRST, LAST)
+def _predict(series: DataFrame, level: str, model) -> DataFrame:
+    """(path keys, win, y_hat, y) over the test windows."""
+    start, length = part = input_part([model], CFG)
+    return forecast(_cut(series, level, part=part), bottomup.PATH_KEYS[level], model, CFG, start)
 
 
 # --- flagship, grid, profile ---------------------------------------------------------------------
@@ -287,7 +290,7 @@ def zscore_levels(spark, folder):
 
 
 def zscore_fit_on_train(spark, folder):
-    scored = zscore(_city(spark, folder), ["total"], fit_until=CFG.boundary)
+    scored = zscore(stored(_city(spark, folder), "city"), ["total"], fit_until=CFG.boundary)
     return scored.select("city", "index", _r("total"))
 
 
@@ -317,7 +320,7 @@ def validation_holdout(spark, folder):
 
 def _feature_series(spark, folder) -> DataFrame:
     """City series with the raw total, its z-score and scaled features."""
-    city = with_features(_city(spark, folder), CFG)
+    city = with_features(stored(_city(spark, folder), "city"), CFG)
     scaled = normalize_level(city.withColumn("raw", F.col("total")), "city", CFG)
     return scaled.withColumnsRenamed({"total": "scaled", "raw": "total"})
 
@@ -363,11 +366,11 @@ def _long(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def seasonal_naive(spark, folder):
-    return _long(forecast(_cut(_city(spark, folder), "city"), ["city"], SeasonalNaive(24), CFG), ["city"])
+    return _long(_predict(_city(spark, folder), "city", SeasonalNaive(24)), ["city"])
 
 
 def window_mean(spark, folder):
-    return _long(forecast(_cut(_city(spark, folder), "city"), ["city"], WindowMean(), CFG), ["city"])
+    return _long(_predict(_city(spark, folder), "city", WindowMean()), ["city"])
 
 
 def lag_regression_entity(spark, folder):
@@ -426,22 +429,27 @@ def user_model_hook(spark, folder):
 
 # --- bottom-up and evaluation --------------------------------------------------------------------
 
+def _predict_appliances(spark: SparkSession, folder: str, model) -> DataFrame:
+    meta = stored(fx.metadata(spark, folder), "metadata")
+    start, length = part = input_part([model], CFG)
+    table, homes = fx.appliance_table(spark, folder, meta), hierarchy.household_map(meta, CFG)
+    cut = windows.appliance_windows(table, homes, CFG, FIRST, LAST, part=part)
+    return forecast(cut, bottomup.PATH_KEYS["appliance"], model, CFG, start)
+
+
 def _evaluated(spark: SparkSession, folder: str, *bases: str) -> DataFrame:
     """Window errors of base levels at their own and all higher levels.
 
     The base windows' forecasts are stored once and summed upwards from there. Actuals travel up
     beside the forecasts: both are sums of the same children, so the pairing needs no join.
     """
-    cuts = {}
-    if "appliance" in bases:
-        meta = stored(fx.metadata(spark, folder), "metadata")
-        cuts["appliance"] = _appliance_cut(fx.appliance_table(spark, folder, meta), meta)
-    if set(bases) - {"appliance"}:
-        levels = _levels(spark, folder, store=len(bases) > 1)
-        cuts |= {base: _cut(levels[base], base) for base in bases if base != "appliance"}
+    levels = _levels(spark, folder, store=len(bases) > 1) if set(bases) - {"appliance"} else {}
     rows = None
     for base in bases:
-        predicted = forecast(cuts[base], bottomup.PATH_KEYS[base], MODELS[base], CFG)
+        if base == "appliance":
+            predicted = _predict_appliances(spark, folder, MODELS[base])
+        else:
+            predicted = _predict(levels[base], base, MODELS[base])
         predicted = predicted if base == "city" else stored(predicted, f"forecast-{base}")
         for level, df in bottomup.bottom_up_pairs(predicted, base, CFG).items():
             errors = bottomup.tag(evaluate.window_errors(df, CFG), base, level)
@@ -464,8 +472,7 @@ def bottomup_from_store(spark, folder):
     """Household forecasts written to the store, read back, summed and joined with actuals."""
     levels = _levels(spark, folder, store=True)
     path = scratch_path(spark, "forecasts")
-    cut = _cut(levels["household"], "household").drop("y")
-    predicted = forecast(cut, bottomup.PATH_KEYS["household"], MODELS["household"], CFG)
+    predicted = _predict(levels["household"], "household", MODELS["household"]).drop("y")
     write_forecasts(bottomup.tag(predicted, "household", "household"), path)
     kept = read_forecasts(spark, path, "household", "household")
     actuals = {
@@ -477,15 +484,14 @@ def bottomup_from_store(spark, folder):
 
 
 def window_mae(spark, folder):
-    keys = bottomup.PATH_KEYS["community"]
-    predicted = forecast(_cut(_community(spark, folder), "community"), keys, WindowMean(), CFG)
+    predicted = _predict(_community(spark, folder), "community", WindowMean())
     errors = evaluate.window_errors(predicted, CFG)
     return errors.select("community", "win", _r("mae", 7), _r("rmse_window"))
 
 
 def entity_rmse(spark, folder):
     keys = bottomup.PATH_KEYS["household"]
-    predicted = forecast(_cut(_household(spark, folder), "household"), keys, WindowMean(), CFG)
+    predicted = _predict(_household(spark, folder), "household", WindowMean())
     table = evaluate.with_entity_rmse(evaluate.window_errors(predicted, CFG), keys, CFG)
     return table.select("dataid", "win", _r("mae", 7), _r("rmse"))
 
@@ -609,7 +615,7 @@ def csv_profile_roundtrip(spark, folder):
 def matrix_roundtrip(spark, folder):
     """City forecasts through text matrices, one file per city, windows recovered from line order."""
     path = scratch_path(spark, "matrix")
-    predicted = forecast(_cut(_city(spark, folder), "city"), ["city"], SeasonalNaive(24), CFG)
+    predicted = _predict(_city(spark, folder), "city", SeasonalNaive(24))
     write_matrix(predicted, path, ["city"])
     return _long(read_matrix(spark, f"{path}/city=*", ["city"], FIRST), ["city"])
 
