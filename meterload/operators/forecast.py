@@ -181,6 +181,10 @@ def lagged_table(
     return table.where(F.col("index").between(first, last)).dropna(subset=names), names
 
 
+def _add_scaled(total: Column, part: Column, weight: float) -> Column:
+    return F.zip_with(total, part, lambda acc, v: acc + v * F.lit(weight))
+
+
 def apply_global_regression(
     windows: DataFrame, keys: Sequence[str], model, lags: Sequence[int], cfg: Config
 ) -> DataFrame:
@@ -188,8 +192,7 @@ def apply_global_regression(
     parts = [_lagged(F.col("x"), lag, cfg, 0) for lag in lags]
     y_hat = F.array_repeat(F.lit(float(model.intercept)), cfg.output_size)
     for part, weight in zip(parts, model.coefficients):
-        w = float(weight)
-        y_hat = F.zip_with(y_hat, part, lambda acc, v, w=w: acc + v * F.lit(w))
+        y_hat = _add_scaled(y_hat, part, float(weight))
     carried = ["y"] if "y" in windows.columns else []
     return windows.select(*keys, "win", y_hat.alias("y_hat"), *carried)
 
