@@ -142,8 +142,8 @@ def evaluate_stored(
     for part in parts[1:]:
         errors = errors.unionByName(part)
     path = store.run(run, "evaluation")
-    (spread(evaluation_table(errors, cfg), "base_level", "level").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("base_level", "level").parquet(path))
+    table = spread(evaluation_table(errors, cfg), "base_level", "level")
+    table.write.mode("overwrite").partitionBy("base_level", "level").parquet(path)
     summary = summarize(errors, cfg)
     summary.write.mode("overwrite").parquet(store.run(run, "summary"))
     summary = spark.read.parquet(store.run(run, "summary"))

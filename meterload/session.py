@@ -19,7 +19,6 @@ SQL_DEFAULTS = {
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     # 75 sensors with two-field average buffers exceed the default of 100.
     "spark.sql.codegen.maxFields": "400",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

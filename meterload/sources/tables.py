@@ -38,7 +38,8 @@ def write_table(
     df: DataFrame, path: str, key: str | None = None, layout: str = "entity",
     mode: str = "overwrite", buckets: int = 256, order: Sequence[str] = ("index",),
 ) -> None:
-    """Write a table by entity. A rerun replaces the partitions it writes (dynamic overwrite)."""
+    """Write a table by entity. "overwrite" replaces the whole table, "overwrite_partitions" only
+    the partitions that get rows, "append" adds files."""
     if key is None:
         writer = spread(df).write
     elif layout == "entity":
@@ -48,7 +49,9 @@ def write_table(
         writer = spread(out, BUCKET).sortWithinPartitions(BUCKET, key, *order).write.partitionBy(BUCKET)
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    writer.mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
+    overwrite = "dynamic" if mode == "overwrite_partitions" else "static"
+    writer = writer.option("partitionOverwriteMode", overwrite)
+    writer.mode("append" if mode == "append" else "overwrite").parquet(path)
 
 
 def read_table(
