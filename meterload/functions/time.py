@@ -50,7 +50,8 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 def in_window(ts: Column, cfg: Config) -> Column:
     """Plain range predicate that a columnar scan can use to skip row groups."""
-    return (ts >= ntz(cfg.from_time)) & (ts < ntz(cfg.end_time + timedelta(seconds=cfg.step_seconds)))
+    end = cfg.from_time + timedelta(seconds=cfg.n_steps * cfg.step_seconds)
+    return (ts >= ntz(cfg.from_time)) & (ts < ntz(end))
 
 
 def slot_index(ts: Column, cfg: Config) -> Column:

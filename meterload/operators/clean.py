@@ -148,5 +148,6 @@ def process_readings(readings: DataFrame, metadata: DataFrame, cfg: Config) -> D
     sensor is dropped first, so it is neither shuffled nor part of the row statistics.
     """
     work = cfg.with_(sensors=cfg.appliances)
-    aligned = align_readings(readings, metadata, work)
-    return add_time(clean_slots(aligned, metadata, work), work)
+    slots = align_readings(readings, metadata, work)
+    masked = mask_outliers(slots, work.sensors, work)
+    return add_time(fill_grid(masked, metadata, work.sensors, work), work)

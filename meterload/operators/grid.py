@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterload.config import Config
-from meterload.functions.time import add_years, grid_index, grid_time
+from meterload.functions.time import add_years, grid_index, grid_time, in_window
 
 # Grid rows are generated in runs of this length, so that no generated array grows with the window.
 _RUN = 4096
@@ -31,34 +31,55 @@ def household_grid(households: DataFrame, cfg: Config) -> DataFrame:
     return _explode_index(households.select("dataid").distinct(), cfg)
 
 
-def align_readings(readings: DataFrame, metadata: DataFrame, cfg: Config) -> DataFrame:
-    """Readings of known households, moved to the calendar window: (dataid, index, sensors).
+def calendar_slots(readings: DataFrame, cfg: Config) -> DataFrame:
+    """(dataid, shift, index, sensors): the grid slot of each reading under every whole-year shift
+    that moves it into the calendar window; readings that no shift moves there drop out.
 
-    The grid index replaces the timestamp before any shuffle; readings off the grid or outside
-    the window drop out here, as they would in a join with the spine.
+    A window shorter than a year leaves one shift per reading, so this is a filter that needs no
+    metadata and runs before any shuffle.
     """
-    columns = ["dataid", "delta_year"] if cfg.years else ["dataid"]
-    joined = readings.join(metadata.select(*columns), "dataid", "inner")
     ts = F.col(cfg.time_column)
-    if cfg.years:
-        ts = add_years(ts, F.col("delta_year"))
-    indexed = joined.select("dataid", grid_index(ts, cfg).alias("index"), *cfg.sensors)
-    return indexed.where(F.col("index").isNotNull())
+    if not cfg.years:
+        slots = readings.where(in_window(ts, cfg)).withColumn("index", grid_index(ts, cfg))
+        return slots.where("index IS NOT NULL").select("dataid", F.lit(0).alias("shift"), "index", *cfg.sensors)
+    years = range(cfg.from_time.year, cfg.end_time.year + 1)
+    shifts = [F.lit(y) - F.year(ts) for y in years]
+    slots = [F.struct(k.alias("shift"), grid_index(add_years(ts, k), cfg).alias("index")) for k in shifts]
+    landed = F.filter(F.array(*slots), lambda slot: slot["index"].isNotNull())
+    return readings.select("dataid", *cfg.sensors, F.inline(landed)).select(
+        "dataid", "shift", "index", *cfg.sensors
+    )
+
+
+def align_readings(readings: DataFrame, metadata: DataFrame, cfg: Config) -> DataFrame:
+    """Readings of known households on the grid, one row per slot: (dataid, index, sensors).
+
+    Slots are combined before households are looked up: the lookup then sees at most one row per
+    slot, whatever share of the raw rows one household holds, and if the metadata is too large to
+    broadcast, the shuffle by `dataid` of this join also serves the fill that follows. The shift
+    is compared by difference, so that it does not become part of the join key.
+    """
+    slots = one_per_slot(calendar_slots(readings, cfg), cfg)
+    if not cfg.years:
+        return slots.drop("shift").join(metadata.select("dataid").distinct(), "dataid", "left_semi")
+    known = metadata.select("dataid", "delta_year")
+    joined = slots.join(known, "dataid").where(F.col("shift") - F.col("delta_year") == 0)
+    return joined.select("dataid", "index", *cfg.sensors)
 
 
 def one_per_slot(readings: DataFrame, cfg: Config) -> DataFrame:
-    """Combine readings of one (dataid, index) slot by `cfg.duplicates`; None trusts the source.
+    """Combine readings of one slot by `cfg.duplicates`; None trusts the source to have no copies.
 
-    Keys are (dataid, index) and map-side combine applies, so a household with many copies of its
-    slots arrives as at most one row per slot and task.
+    Keys are the household and the slot, and map-side combine applies, so a household with many
+    copies of its slots arrives as at most one row per slot and task.
     """
     if cfg.duplicates is None:
         return readings
     if cfg.duplicates not in ("avg", "sum", "min", "max"):
         raise ValueError(f"unknown rule for duplicates: {cfg.duplicates!r}")
-    combine = getattr(F, cfg.duplicates)
-    sensors = [c for c in readings.columns if c not in ("dataid", "index")]
-    return readings.groupBy("dataid", "index").agg(*[combine(s).alias(s) for s in sensors])
+    keys = [c for c in ("dataid", "shift", "index") if c in readings.columns]
+    sensors = [c for c in readings.columns if c not in keys]
+    return readings.groupBy(*keys).agg(*[F.expr(f"{cfg.duplicates}({s})").alias(s) for s in sensors])
 
 
 def expose_gaps(readings: DataFrame, households: DataFrame, cfg: Config) -> DataFrame:

@@ -271,7 +271,7 @@ FROM ({PROFILE})""",
 
     "year_aligned_readings": f"""
 WITH {ORDER_SPANS}
-SELECT dataid, CAST(date_diff('day', TIMESTAMP '2000-07-01', ts) + 1 AS INTEGER) AS "index", count(*) AS n, round(sum(price), 2) AS price
+SELECT dataid, CAST(date_diff('day', TIMESTAMP '2000-07-01', ts) + 1 AS INTEGER) AS "index", round(sum(price), 2) AS price
 FROM (SELECT o.o_custkey AS dataid, o.o_orderdate + to_years(k.delta_year) AS ts, o.o_totalprice AS price
       FROM orders o JOIN kept k ON k.dataid = o.o_custkey)
 WHERE ts BETWEEN TIMESTAMP '2000-07-01' AND TIMESTAMP '2000-09-30' AND ts = date_trunc('day', ts) GROUP BY 1, 2""",

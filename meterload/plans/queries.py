@@ -160,8 +160,7 @@ def year_aligned_readings(spark, folder):
     readings = fx.order_readings(spark, folder)
     metadata = align_years(profile_readings(readings, fx.ORDERS), fx.ORDERS)
     aligned = align_readings(readings, metadata, fx.ORDERS)
-    return aligned.groupBy("dataid", "index").agg(
-        F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
+    return aligned.select("dataid", "index", _r("price", 2))
 
 
 # --- hierarchy -----------------------------------------------------------------------------------

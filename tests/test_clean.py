@@ -6,7 +6,7 @@ import pytest
 from meterload.config import Config
 from meterload.functions.rows import balance_error, signed_total, smallest_row_for
 from meterload.operators.clean import bounded_fill, clean_slots, fill_grid, mask_limit, mask_row_zscore
-from meterload.operators.grid import expose_gaps, one_per_slot
+from meterload.operators.grid import align_readings, expose_gaps, one_per_slot
 from meterload.operators.normalize import zscore
 from meterload.operators.profile import display_profile, profile_readings
 
@@ -129,3 +129,43 @@ def test_profile_and_its_display(spark):
     shown = display_profile(profile, cfg).orderBy("dataid").collect()
     assert shown[0].egauge_1min_data_availability == "50.0%" and shown[0].solar == ""
     assert shown[0].aggregation_abs_error_max == "1.0" and shown[1].solar == "yes"
+
+
+def test_alignment_shifts_whole_years(spark):
+    cfg = Config(from_time=datetime(2018, 2, 27), end_time=datetime(2018, 3, 1, 23), step_seconds=86400, sensors=("a",),
+                 balance_sensor="grid", generators=(), time_column="ts")
+    rows = spark.createDataFrame(
+        [(1, "2016-02-28 00:00:00", 1.0), (1, "2016-02-29 00:00:00", 3.0), (1, "2016-03-01 00:00:00", 5.0),
+         (1, "2017-02-28 00:00:00", 90.0), (2, "2018-02-27 00:00:00", 7.0), (2, "2018-02-27 12:00:00", 8.0),
+         (3, "2018-02-27 00:00:00", 9.0), (2, "2018-03-02 00:00:00", 10.0)],
+        "dataid int, t string, a double").selectExpr("dataid", "CAST(t AS TIMESTAMP_NTZ) AS ts", "a")
+    meta = spark.createDataFrame([(1, 2), (2, 0), (4, 0)], "dataid int, delta_year int")
+    got = align_readings(rows, meta, cfg).collect()
+    # 28 and 29 February 2016 share a slot in 2018; year 2017 belongs to no shift of household 1.
+    assert {tuple(r) for r in got} == {(1, 2, 2.0), (1, 3, 5.0), (2, 1, 7.0)}
+
+
+def test_alignment_over_new_year(spark):
+    cfg = Config(from_time=datetime(2017, 12, 31), end_time=datetime(2018, 1, 2), step_seconds=86400, sensors=("a",),
+                 balance_sensor="grid", generators=(), time_column="ts")
+    rows = spark.createDataFrame(
+        [(1, "2015-12-31 00:00:00", 1.0), (1, "2016-01-01 00:00:00", 2.0), (1, "2016-01-03 00:00:00", 3.0)],
+        "dataid int, t string, a double").selectExpr("dataid", "CAST(t AS TIMESTAMP_NTZ) AS ts", "a")
+    meta = spark.createDataFrame([(1, 2)], "dataid int, delta_year int")
+    assert {tuple(r) for r in align_readings(rows, meta, cfg).collect()} == {(1, 1, 1.0), (1, 2, 2.0)}
+
+
+def test_large_metadata_shares_the_shuffle_of_the_fill(spark):
+    """Without broadcast, readings are shuffled twice: by slot, then by household for join and fill."""
+    cfg = config(50, ("a",), years=True)
+    rows = spark.range(100).selectExpr("CAST(id % 5 AS INT) AS dataid", "TIMESTAMP_NTZ'2018-06-01 00:15:00' AS local_15min", "1D AS a")
+    meta = spark.range(5).selectExpr("CAST(id AS INT) AS dataid", "0 AS delta_year")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = align_readings(rows, meta, cfg)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32MB")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 3          # slots, slots by household, metadata
+    assert "SortMergeJoin [dataid" in plan and "shift" not in plan.split("SortMergeJoin")[1].split(",")[0]
