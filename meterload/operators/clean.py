@@ -79,9 +79,9 @@ def fill_grid(slots: DataFrame, households: DataFrame, sensors: Sequence[str], c
     """Gap exposure and bounded fill in one pass: (dataid, index, sensors) for every grid index.
 
     Equal to `bounded_fill(expose_gaps(...))` for slots without duplicates, but only present rows
-    are shuffled and sorted. Each row finds, per sensor, the last value of the past
-    `cfg.fill_rows` indexes and where it was read; the missing rows up to the next present one
-    are then generated in place. One marker row per household and block opens the block, so
+    are shuffled and sorted. Each row finds, per sensor, the last value so far and where it was
+    read (a running frame: one update per row); the missing rows up to the next present one are
+    then generated in place and use the value while it is at most `cfg.fill_rows` old. One marker row per household and block opens the block, so
     leading gaps and households without readings are generated too.
     """
     blocks = -(-cfg.n_steps // cfg.block_rows)
@@ -104,26 +104,25 @@ def fill_grid(slots: DataFrame, households: DataFrame, sensors: Sequence[str], c
     keys = ["dataid", "_block"] if blocks > 1 else ["dataid"]
     run = Window.partitionBy(*keys).orderBy("index")
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    recent = run.rangeBetween(-reach, 0)
+    so_far = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = marker.unionByName(present).select(
         "dataid", "index",
         F.max("_open").over(whole).alias("_known"),
         F.expr(f"_block * {rows} + 1").alias("_first"),
         F.expr(f"least((_block + 1) * {rows}, {cfg.n_steps})").alias("_last"),
         F.lead("index", 1).over(run).alias("_next"),
-        *[
-            F.last(F.expr(f"CASE WHEN {s} IS NOT NULL THEN struct(index AS i, {s} AS v) END"), True)
-            .over(recent).alias(s)
-            for s in sensors
-        ],
+        *[F.last(s, True).over(so_far).alias(s) for s in sensors],
+        *[F.last(F.expr(f"CASE WHEN {s} IS NOT NULL THEN index END"), True).over(so_far).alias(f"_at_{s}") for s in sensors],
     )
-    # Rows of one index share their frame, so any one of them may carry the gap that follows.
+    # The last row of an index has seen the others, so it carries the gap that follows.
+    seen_at = [f"_at_{s}" for s in sensors]
     gaps = placed.selectExpr(
-        "dataid", "_known", "greatest(index, _first) AS _begin", "coalesce(_next - 1, _last) AS _end", *sensors
+        "dataid", "_known", "greatest(index, _first) AS _begin", "coalesce(_next - 1, _last) AS _end",
+        *sensors, *seen_at,
     ).where("_known AND _end >= _begin")
-    grid = gaps.selectExpr("dataid", *sensors, "explode(sequence(_begin, _end)) AS index")
+    grid = gaps.selectExpr("dataid", *sensors, *seen_at, "explode(sequence(_begin, _end)) AS index")
     return grid.selectExpr(
-        "dataid", "index", *[f"CASE WHEN index - {s}.i <= {reach} THEN {s}.v ELSE 0D END AS {s}" for s in sensors]
+        "dataid", "index", *[f"CASE WHEN index - _at_{s} <= {reach} THEN {s} ELSE 0D END AS {s}" for s in sensors]
     )
 
 

@@ -43,6 +43,10 @@ def calendar_slots(readings: DataFrame, cfg: Config) -> DataFrame:
         slots = readings.where(in_window(ts, cfg)).withColumn("index", grid_index(ts, cfg))
         return slots.where("index IS NOT NULL").select("dataid", F.lit(0).alias("shift"), "index", *cfg.sensors)
     years = range(cfg.from_time.year, cfg.end_time.year + 1)
+    if len(years) == 1:
+        placed = readings.withColumn("shift", F.lit(years[0]) - F.year(ts))
+        slots = placed.withColumn("index", grid_index(add_years(ts, F.col("shift")), cfg))
+        return slots.where("index IS NOT NULL").select("dataid", "shift", "index", *cfg.sensors)
     shifts = [F.lit(y) - F.year(ts) for y in years]
     slots = [F.struct(k.alias("shift"), grid_index(add_years(ts, k), cfg).alias("index")) for k in shifts]
     landed = F.filter(F.array(*slots), lambda slot: slot["index"].isNotNull())
