@@ -328,7 +328,7 @@ FROM city c JOIN spine s ON s.idx = c.idx""",
     "levels_grouping_sets": f"""
 WITH {BASE}
 SELECT 'community' AS level, city, community, idx AS "index", round(total, 4) AS total FROM community UNION ALL
-SELECT 'city', city, NULL, idx, round(total, 4) FROM city""",
+SELECT 'city', city, 0, idx, round(total, 4) FROM city""",
 
     "zscore_sensors": f"""
 WITH {HOURLY} SELECT dataid, idx AS "index", {', '.join(f'{_zscore(s)} AS {s}' for s in SENSORS)} FROM filled""",

@@ -267,7 +267,8 @@ def levels_grouping_sets(spark, folder):
     homes = fx.placed_households(spark, folder)
     household = household_totals(fx.appliance_table(spark, folder, homes), CFG)
     both = totals_by_grouping_sets(household, homes)
-    return both.select("level", "city", "community", "index", _r("total"))
+    community = F.coalesce("community", F.lit(0)).alias("community")
+    return both.select("level", "city", community, "index", _r("total"))
 
 
 # --- normalisation -------------------------------------------------------------------------------
@@ -535,7 +536,7 @@ def training_curve_levels(spark, folder):
 
 
 def mean_load(spark, folder):
-    counts = hierarchy.entity_counts(fx.metadata(spark, folder), CFG)
+    counts = hierarchy.entity_counts(stored(fx.metadata(spark, folder), "metadata"), CFG)
     return report.mean_load(_city(spark, folder), counts, CFG).select("level", _r("mean", 7))
 
 
