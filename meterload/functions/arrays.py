@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def absolute_error_sum(y: Column, y_hat: Column) -> Column:
-    errors = F.zip_with(y, y_hat, lambda a, b: F.abs(a - b))
-    return F.aggregate(errors, F.lit(0.0), lambda acc, e: acc + e)
+def errors_of(y: Column, y_hat: Column) -> Column:
+    return F.zip_with(y, y_hat, lambda a, b: a - b)
 
 
-def squared_error_sum(y: Column, y_hat: Column) -> Column:
-    errors = F.zip_with(y, y_hat, lambda a, b: (a - b) * (a - b))
-    return F.aggregate(errors, F.lit(0.0), lambda acc, e: acc + e)
+def absolute_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.abs(v))
+
+
+def square_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
 
 
 def array_mean(values: Column, length: int) -> Column:
@@ -26,4 +28,4 @@ def elementwise_sum(column: str, length: int) -> Column:
     One `sum` per position keeps the map-side combine: a task ships one array per group however
     many children it holds.
     """
-    return F.array(*[F.sum(F.col(column)[i]) for i in range(length)])
+    return F.expr("array(" + ", ".join(f"sum({column}[{i}])" for i in range(length)) + ")")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterload.config import Config
-from meterload.functions.arrays import absolute_error_sum, squared_error_sum
+from meterload.functions.arrays import absolute_sum, errors_of, square_sum
 from meterload.operators.bottomup import ENTITY_KEYS, bottom_up, tag
 
 ENTITY = ["base_level", "level", "city", "community", "dataid", "sensor"]
@@ -24,11 +24,9 @@ def pair_actuals(forecasts: DataFrame, actuals: DataFrame, level: str) -> DataFr
 def window_errors(paired: DataFrame, cfg: Config) -> DataFrame:
     """Replaces y and y_hat by `mae`, `rmse_window` and the sum of squares `sse` of each window."""
     n = F.lit(float(cfg.output_size))
-    y, y_hat = F.col("y"), F.col("y_hat")
     kept = [c for c in paired.columns if c not in ("y", "y_hat")]
-    sums = paired.select(
-        *kept, absolute_error_sum(y, y_hat).alias("_sae"), squared_error_sum(y, y_hat).alias("sse")
-    )
+    errors = paired.select(*kept, errors_of(F.col("y"), F.col("y_hat")).alias("_e"))
+    sums = errors.select(*kept, absolute_sum(F.col("_e")).alias("_sae"), square_sum(F.col("_e")).alias("sse"))
     return sums.select(*kept, (F.col("_sae") / n).alias("mae"), F.sqrt(F.col("sse") / n).alias("rmse_window"), "sse")
 
 

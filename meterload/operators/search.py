@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterload.config import Config
-from meterload.functions.arrays import absolute_error_sum
+from meterload.functions.arrays import absolute_sum, errors_of
 from meterload.operators.forecast import Forecaster
 
 
@@ -19,7 +19,7 @@ def score_candidates(
     """(keys, candidate, val_mae). All candidates are scored in one pass over the validation
     windows (keys, win, x, y); a group keeps one running mean per candidate."""
     errors = {
-        m.name: absolute_error_sum(F.col("y"), m.predict(F.col("x"), cfg, start)) / F.lit(float(cfg.output_size))
+        m.name: absolute_sum(errors_of(F.col("y"), m.predict(F.col("x"), cfg, start))) / F.lit(float(cfg.output_size))
         for m in candidates
     }
     names = list(errors)
