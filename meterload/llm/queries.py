@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterload.llm import langid, mixing, simhash
+from meterload.llm import decontaminate, langid, mixing, pseudonyms, simhash
 from meterload.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs))
@@ -25,12 +29,20 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, count="n_replaced")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_classes": op2_simhash_classes,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
     "op7_language": op7_language,
     "op8_source_mix": op8_source_mix,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_benchmark_leaks": decontaminate.ORACLE,
     "op8_source_mix": mixing.ORACLE,
 }

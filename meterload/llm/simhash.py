@@ -31,7 +31,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterload.llm.common import as_bytes, map_arrow, words_of
@@ -68,12 +68,17 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(doc_id, tag, fp) of every row; tag is a hash of the whole row, fp the fingerprint as a signed long."""
     def one(batch: pa.RecordBatch) -> dict[str, list]:
         found = np.array([fingerprint(t, shingle) for t in as_bytes(batch, "text")], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": found.view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "fp": found.view(np.int64)}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_tag(docs).alias("tag"), "text")
+    return map_arrow(rows, one, "doc_id long, tag long, fp long")
+
+
+def row_tag(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bit_products(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -249,12 +254,28 @@ def links(prints: DataFrame, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4)
 
 
 def classes(docs: DataFrame, shingle: int = 4, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4)) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: its fingerprint and the smallest doc_id of its class."""
+    """(doc_id, tag, fp, root, component_id) of every row: its fingerprint, the fingerprint that stands for its
+    class, and the smallest doc_id of the class."""
     rows = stored(fingerprints(docs, shingle), "simhash")
     first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(links(first, max_bits, parts))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = named.join(least, "root").select("fp", "component_id")
-    names = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    linked = named.join(least, "root").select("fp", "root", "component_id")
+    names = first.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(names, "fp").select("doc_id", "tag", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, **rule) -> DataFrame:
+    """The rows of `docs` without near duplicates: of each class the row with the smallest doc_id (null last; of
+    rows that share it the one with the smallest hash of all columns, and of equal rows one)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    winners = stored(
+        classes(docs, **rule).groupBy("root").agg(F.min(order).alias("w")).select(
+            F.col("w.doc_id").alias("_class_id"), F.col("w.tag").alias("_class_tag")), "simhash-winners")
+    tagged = docs.withColumn("_row_tag", row_tag(docs))
+    same = F.col("_row_tag") == F.col("_class_tag")
+    kept = tagged.join(winners, same & F.col("doc_id").cast("long").eqNullSafe(F.col("_class_id")), "left_semi")
+    return kept.dropDuplicates(["_row_tag"]).drop("_row_tag")
