@@ -21,6 +21,11 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """The words of an UTF-8 text: bytes.split() cuts at exactly the characters that WORD leaves out."""
     return text.split() if text else []

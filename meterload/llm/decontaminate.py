@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterload.llm.common import let
 from meterload.sources.tables import stored
 
 SHINGLE = 5
@@ -36,19 +37,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _shingles(words_: Column, make) -> Column:
+def _shingles(text: Column, make) -> Column:
     """`make` of each run of SHINGLE words, or of all words if there are fewer; null without words."""
-    n = F.size(words_)
-    runs = F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: make(F.slice(words_, i, SHINGLE)))
-    return F.when(n >= SHINGLE, runs).when(n > 0, F.array(make(words_)))
+    def body(found: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(found) - SHINGLE + 1), lambda i: make(F.slice(found, i, SHINGLE)))
+        return F.when(F.size(found) >= SHINGLE, runs).when(F.size(found) > 0, F.array(make(found)))
 
+    return let(words(text), body)
 
-def shingle_hashes(words_: Column) -> Column:
-    return _shingles(words_, F.xxhash64)
 
+def shingle_hashes(text: Column) -> Column:
+    return _shingles(text, F.xxhash64)
 
-def shingle_texts(words_: Column) -> Column:
-    return F.array_distinct(_shingles(words_, lambda run: F.array_join(run, " ")))
+
+def shingle_texts(text: Column) -> Column:
+    return F.array_distinct(_shingles(text, lambda run: F.array_join(run, " ")))
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -56,8 +59,7 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hashes = F.array_sort(F.array_distinct(F.col("hashes")))
     largest = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("hashes"))))
     k = F.floor(F.lit(1 - threshold + 1e-9) * largest).cast("int") + 1
-    return (items.select("item_id", words(F.col("text")).alias("words"))
-            .select("item_id", shingle_hashes(F.col("words")).alias("hashes")).where("hashes is not null")
+    return (items.select("item_id", shingle_hashes(F.col("text")).alias("hashes")).where("hashes is not null")
             .select("item_id", hashes.alias("hashes"))
             .select("item_id", F.explode(F.slice("hashes", F.lit(1), k)).alias("hash")).distinct())
 
@@ -66,8 +68,7 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     """(doc_id, item_id) of documents with at least one sketch shingle of the item, stored."""
     keys = stored(sketches(items, threshold), "sketches")
     small = keys.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    hashed = (docs.select("doc_id", words(F.col("text")).alias("words"))
-              .select("doc_id", F.explode(shingle_hashes(F.col("words"))).alias("hash")))
+    hashed = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("hash"))
     found = hashed.join(F.broadcast(keys) if small else keys, "hash")
     return stored(found.select("doc_id", "item_id").distinct(), "leak-candidates")
 
@@ -75,11 +76,11 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of pairs with a containment of `threshold` or more."""
     pairs = candidates(docs.select("doc_id", "text"), items.select("item_id", "text"), threshold)
-    texts = items.select("item_id", shingle_texts(words(F.col("text"))).alias("item")).where("item is not null")
+    texts = items.select("item_id", shingle_texts(F.col("text")).alias("item")).where("item is not null")
     wanted = pairs.join(texts, "item_id").groupBy("doc_id").agg(
         F.collect_list(F.struct("item_id", "item")).alias("items")).withColumnRenamed("doc_id", "_leak_id")
     held = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_leak_id"))).select(
-        "doc_id", shingle_texts(words(F.col("text"))).alias("shingles"), "items")
+        "doc_id", shingle_texts(F.col("text")).alias("shingles"), "items")
     counted = held.select("doc_id", F.explode(F.transform("items", lambda one: F.struct(
         one["item_id"].alias("item_id"), F.size(F.array_intersect("shingles", one["item"])).alias("n_shared"),
         F.size(one["item"]).alias("n_item")))).alias("pair"))

@@ -23,11 +23,11 @@ and repeated rows get equal results. Other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterload.llm.common import let
+
 ROUNDS = 8
 #: For tests and demonstrations. Pass a secret key in production: pseudonyms can be reversed with it.
 DEMO_KEY = "demonstration key"
@@ -50,11 +50,6 @@ _DIGITS, _SMALL, _CAPITAL, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "A
 _DAYS_1600, _CYCLE, _A, _B = 135140, 146097, 189, 773
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _digest(key: str, kind: str, turn: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string")), 256)
 
@@ -103,7 +98,7 @@ def feistel_text(text: Column, key: str, kind: str, *alphabets: str) -> Column:
     half = (F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"),
                      F.substring(text, half + 1, F.length(text)).alias("r"))
-    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn), lambda p: F.concat(p["l"], p["r"]))
+    return let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn), lambda p: F.concat(p["l"], p["r"]))
 
 
 def _digits(text: Column) -> Column:
@@ -141,19 +136,19 @@ def _card(m: Column, key: str) -> Column:
             check = (10 - _luhn(new, F.length(new) % 2) % 10) % 10
             return F.concat(new, check.cast("string"))
 
-        return F.when(valid, _let(_let(front, checked), lambda new: _filled(m, new))).otherwise(m)
+        return F.when(valid, let(let(front, checked), lambda new: _filled(m, new))).otherwise(m)
 
-    return _let(_digits(m), body)
+    return let(_digits(m), body)
 
 
 def _plain_digits(m: Column, key: str, kind: str) -> Column:
-    return _let(feistel_text(_digits(m), key, kind, _DIGITS), lambda new: _filled(m, new))
+    return let(feistel_text(_digits(m), key, kind, _DIGITS), lambda new: _filled(m, new))
 
 
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(\-])", 0)
-    return _let(country, lambda c: F.concat(
-        c, _let(F.substring(m, F.length(c) + 1, F.length(m)), lambda rest: _plain_digits(rest, key, "phone"))))
+    return let(country, lambda c: F.concat(
+        c, let(F.substring(m, F.length(c) + 1, F.length(m)), lambda rest: _plain_digits(rest, key, "phone"))))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -161,10 +156,10 @@ def _ip(m: Column, key: str) -> Column:
 
     def body(o: Column) -> Column:
         new = feistel_numbers(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
-        return _let(new, lambda p: F.concat_ws(".", *[
+        return let(new, lambda p: F.concat_ws(".", *[
             part.cast("string") for half in (p["l"], p["r"]) for part in (F.floor(half / 256), half % 256)]))
 
-    return _let(octets, body)
+    return let(octets, body)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -172,7 +167,7 @@ def _date(m: Column, key: str) -> Column:
         number = F.unix_date(day) + _DAYS_1600
         within = number % _CYCLE
         new = feistel_numbers(F.floor(within / _B), within % _B, _A, _B, key, "date")
-        return _let(new, lambda p: F.date_from_unix_date(
+        return let(new, lambda p: F.date_from_unix_date(
             (number - within + p["l"] * _B + p["r"] - _DAYS_1600).cast("int")))
 
     out = m
@@ -203,7 +198,7 @@ def _secret(m: Column, key: str) -> Column:
         return F.when(value.rlike("^[0-9a-f]+$"), feistel_text(value, key, "hex", _HEX)).otherwise(
             feistel_text(value, key, "secret", _DIGITS, _SMALL, _CAPITAL))
 
-    return _let(name, lambda n: F.concat(n, _let(F.substring(m, F.length(n) + 1, F.length(m)), body)))
+    return let(name, lambda n: F.concat(n, let(F.substring(m, F.length(n) + 1, F.length(m)), body)))
 
 
 def pseudonym(m: Column, key: str) -> Column:
