@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterload.llm import decontaminate, html, langid, licenses, mixing, pseudonyms, simhash, substring
+from meterload.llm import decontaminate, html, langid, licenses, mixing, pseudonyms, simhash, substring, tokens
 from meterload.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_classes": op2_simhash_classes,
     "op4_repeated_spans": op4_repeated_spans,
     "op5_benchmark_leaks": op5_benchmark_leaks,
+    "op6_section_tokens": op6_section_tokens,
     "op7_language": op7_language,
     "op8_source_mix": op8_source_mix,
     "op9_licenses": op9_licenses,
