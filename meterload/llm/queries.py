@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterload.llm import decontaminate, html, langid, licenses, mixing, pseudonyms, simhash, substring, tokens
+from meterload.llm import ann, decontaminate, html, langid, licenses, mixing, pseudonyms, simhash, substring, tokens
 from meterload.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -54,6 +58,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_simhash_classes": op2_simhash_classes,
+    "op3_neighbours": op3_neighbours,
     "op4_repeated_spans": op4_repeated_spans,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_section_tokens": op6_section_tokens,
