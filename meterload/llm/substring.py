@@ -169,15 +169,20 @@ def branch_windows(docs: DataFrame, places: DataFrame) -> DataFrame:
 def repeated_places(docs: DataFrame) -> DataFrame:
     """(doc, place) of windows, in runs, whose words also start in a smaller document."""
     rows = stored(graph_paths(docs), "paths")
-    many = rows.groupBy("kmer").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("kmer")
+    # Each aggregate is written before it is joined: a side that comes straight from its aggregation keeps that
+    # partitioning, and Spark could not split the partition of a minimiser that very many documents share.
+    many = stored(rows.groupBy("kmer").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+                  .select("kmer"), "shared-kmers")
     rows = stored(rows.join(many, "kmer"), "shared-paths")
     firsts = stored(rows.groupBy("kmer", "path").agg(F.min("doc").alias("first")), "first-paths")
-    branches = firsts.groupBy("kmer").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
+    branches = stored(firsts.groupBy("kmer").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
+                      .where("lo < hi").select("kmer"), "branching-kmers")
     marked = rows.join(firsts, ["kmer", "path"])
     whole = stored(marked.where("first < doc").select("doc", "place"), "repeated-paths")
-    open_ = marked.where("first = doc").join(branches.select("kmer"), "kmer").select("doc", "place")
+    open_ = marked.where("first = doc").join(branches, "kmer").select("doc", "place")
     windows = stored(branch_windows(docs, open_), "branch-windows")
-    shared = windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    shared = stored(windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                    .where("first < last").select("window", "first"), "shared-windows")
     single = windows.join(shared, "window").where("first < doc").select("doc", "place")
     return whole.unionByName(single)
 
