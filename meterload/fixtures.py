@@ -78,8 +78,7 @@ def households(spark: SparkSession, folder: str) -> DataFrame:
 
 def placed_households(spark: SparkSession, folder: str) -> DataFrame:
     """Households in complete communities, stored: jobs read the hierarchy several times."""
-    homes = stored(households(spark, folder), "households")
-    return stored(assign_communities(homes, HOURLY.community_size), "placed")
+    return stored(assign_communities(households(spark, folder), HOURLY.community_size), "placed")
 
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:

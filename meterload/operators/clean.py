@@ -15,11 +15,17 @@ from meterload.functions.time import grid_time
 from meterload.operators.grid import align_readings, one_per_slot
 
 
+def without_nan(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
+    """NaN means a missing reading, as NULL does."""
+    return df.withColumns({s: F.nanvl(s, F.lit(None).cast("double")) for s in sensors})
+
+
 def mask_row_zscore(df: DataFrame, sensors: Sequence[str], z_limit: float) -> DataFrame:
     """Null values further than `z_limit` sample deviations from the mean of their row.
 
     Rows too short to hold such a value skip the second pass.
     """
+    df = without_nan(df, sensors)
     stats = df.withColumn("_row", row_statistics(sensors))
     std = F.when(F.col("_row.n") >= smallest_row_for(z_limit), row_std(F.col("_row")))
     scored = stats.withColumn("_std", std).withColumn("_mean", F.col("_row.mean"))
@@ -131,7 +137,7 @@ def clean_slots(
 ) -> DataFrame:
     """Gap-free, filled grid of aligned readings: duplicates combined, outliers removed."""
     sensors = list(cfg.appliances if sensors is None else sensors)
-    slots = one_per_slot(readings.select("dataid", "index", *sensors), cfg)
+    slots = one_per_slot(without_nan(readings.select("dataid", "index", *sensors), sensors), cfg)
     return fill_grid(mask_outliers(slots, sensors, cfg), households, sensors, cfg)
 
 
@@ -147,6 +153,6 @@ def process_readings(readings: DataFrame, metadata: DataFrame, cfg: Config) -> D
     sensor is dropped first, so it is neither shuffled nor part of the row statistics.
     """
     work = cfg.with_(sensors=cfg.appliances)
-    slots = align_readings(readings, metadata, work)
+    slots = align_readings(without_nan(readings, work.sensors), metadata, work)
     masked = mask_outliers(slots, work.sensors, work)
     return add_time(fill_grid(masked, metadata, work.sensors, work), work)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,88 +9,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterload.config import Config
+from meterload.sources.tables import stored
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-# Households one task ranks; more are ranked in runs of ids.
-RANK_ROWS = 250_000
-_MAX_CUTS = 999
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Adds `name`: the sum of `value` over all rows that sort before, in one total order.
 
-
-def _id_cuts(households: DataFrame, run_rows: int) -> list:
-    """Ids that cut the households into runs of about `run_rows`; none if they fit one run.
-
-    One aggregate, at most 999 values reach the driver.
-    """
-    accuracy = 10 * (_MAX_CUTS + 1)
-    shares = ", ".join(f"{i / (_MAX_CUTS + 1)}D" for i in range(1, _MAX_CUTS + 1))
-    row = households.selectExpr(
-        "count(*) AS n", f"percentile_approx(dataid, array({shares}), {accuracy}) AS cuts"
-    ).first()
-    if row["n"] <= run_rows:
-        return []
-    runs = min(math.ceil(row["n"] / run_rows), _MAX_CUTS + 1)
-    wanted = {row["cuts"][(_MAX_CUTS + 1) * i // runs - 1] for i in range(1, runs)}
-    return sorted(wanted)
-
-
-def rank_in_city(households: DataFrame, run_rows: int = RANK_ROWS) -> DataFrame:
-    """Adds `rank` (0-based, by dataid, within the city) and `city_size`.
-
-    A city may hold a large share of all households. Beyond `run_rows` households the ids are cut
-    into runs: rank = households in the city's earlier runs + position inside the run. Only the
-    counts per (city, run) are accumulated. The result does not depend on where the cuts lie.
-    Pass a stored table: finding the cuts reads it once.
+    Rows are dealt out in ranges of the order, `ranges` of them or as many as Spark's shuffles have, and
+    written, so that ranges stay what they are. A running sum inside each range meets the sums of earlier
+    ranges, one row per range. No task sees more than its range, and the result does not depend on the cuts.
     """
-    cuts = _id_cuts(households, run_rows)
-    if not cuts:
-        city = Window.partitionBy("city")
-        position = F.row_number().over(city.orderBy("dataid")) - 1
-        return households.withColumns({"rank": position.cast("int"), "city_size": F.count("*").over(city)})
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    marked = households.withColumn("_run", F.size(F.filter(bounds, lambda c: F.col("dataid") > c)))
-    counts = marked.groupBy("city", "_run").agg(F.count("*").alias("_n"))
-    city = Window.partitionBy("city")
-    before = F.coalesce(F.sum("_n").over(city.orderBy("_run").rowsBetween(*_BEFORE)), F.lit(0))
-    offsets = counts.select("city", "_run", before.alias("_before"), F.sum("_n").over(city).alias("city_size"))
-    position = F.row_number().over(Window.partitionBy("city", "_run").orderBy("dataid")) - 1
-    ranked = marked.withColumn("_position", position).join(offsets, ["city", "_run"])
-    rank = (F.col("_before") + F.col("_position")).cast("int")
-    return ranked.withColumn("rank", rank).drop("_run", "_position", "_before")
-
-
-def _community_offsets(cities: DataFrame) -> DataFrame:
-    """Communities in all cities that sort earlier, for (city, _chunks) rows.
-
-    Cities are summed by the first letters of their names first: the total order runs over the
-    prefixes only, and within a prefix over its cities.
-    """
-    keyed = cities.withColumn("_prefix", F.substring("city", 1, 3))
-    prefixes = keyed.groupBy("_prefix").agg(F.sum("_chunks").alias("_sum"))
-    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_prefix").rowsBetween(*_BEFORE)), F.lit(0))
-    prefixes = prefixes.select("_prefix", earlier.alias("_earlier"))
-    inside = Window.partitionBy("_prefix").orderBy("city").rowsBetween(*_BEFORE)
-    local = keyed.withColumn("_local", F.coalesce(F.sum("_chunks").over(inside), F.lit(0)))
-    offset = F.col("_earlier") + F.col("_local")
-    return local.join(prefixes, "_prefix").select("city", offset.alias("_offset"))
-
-
-def assign_communities(households: DataFrame, size: int = 5, run_rows: int = RANK_ROWS) -> DataFrame:
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    marked = stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = marked.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(*_BEFORE)), F.lit(0))
+    sums = sums.select("_range", earlier.alias("_earlier"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(*_BEFORE)
+    local = marked.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(sums, "_range").withColumn(name, F.col("_earlier") + F.col("_local")).drop(
+        "_range", "_local", "_earlier")
+
+
+def assign_communities(households: DataFrame, size: int = 5, ranges: int | None = None) -> DataFrame:
     """Adds `community`: runs of `size` households by id within a city, numbered across cities.
 
-    Ids count every run, complete or not; a household in a short last run of its city is dropped,
-    so ids can have gaps. Households without a city are dropped.
+    Ids count every run, complete or not; a household in a short last run of its city is dropped, so ids can
+    have gaps. Households without a city are dropped. A household's rank in its city is its place in the order
+    (city, dataid) less the households of earlier cities, so a city of any size is ranked by many tasks.
     """
-    located = households.where(F.col("city").isNotNull())
-    ranked = rank_in_city(located, run_rows)
-    chunk = F.floor(F.col("rank") / size).cast("int")
-    complete = (chunk + 1) * size <= F.col("city_size")
-    chunks = F.ceil(F.count("*") / F.lit(float(size))).cast("bigint")
-    offsets = _community_offsets(located.groupBy("city").agg(chunks.alias("_chunks")))
-    numbered = ranked.where(complete).withColumn("_chunk", chunk).join(offsets, "city")
+    located = households.where(F.col("city").isNotNull()).withColumn("_one", F.lit(1))
+    placed = running_total(located, ["city", "dataid"], "_one", "_place", ranges).drop("_one")
+    cities = placed.groupBy("city").agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
+    chunks = cities.withColumn("_chunks", F.ceil(F.col("_size") / F.lit(float(size))).cast("bigint"))
+    cities = running_total(chunks, ["city"], "_chunks", "_offset", ranges)
+    numbered = placed.join(cities, "city").withColumn(
+        "_chunk", F.floor((F.col("_place") - F.col("_first")) / size).cast("bigint"))
+    complete = numbered.where((F.col("_chunk") + 1) * size <= F.col("_size"))
     community = (F.col("_offset") + F.col("_chunk") + 1).cast("int")
-    return numbered.withColumn("community", community).drop("rank", "city_size", "_chunk", "_offset")
+    return complete.withColumn("community", community).select(*households.columns, "community")
 
 
 def presence(profile: DataFrame, cfg: Config) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterload.config import Config
 from meterload.functions.rows import balance_error
 from meterload.functions.time import add_years, ntz, seconds_between
+from meterload.operators.clean import without_nan
 
 
 def profile_readings(readings: DataFrame, cfg: Config) -> DataFrame:
@@ -19,7 +20,7 @@ def profile_readings(readings: DataFrame, cfg: Config) -> DataFrame:
     per task before the shuffle.
     """
     ts = F.col(cfg.time_column)
-    error = readings.withColumn("_error", balance_error(cfg))
+    error = without_nan(readings, cfg.sensors).withColumn("_error", balance_error(cfg))
     grouped = error.groupBy("dataid").agg(
         F.min(ts).alias("min_time"),
         F.max(ts).alias("max_time"),

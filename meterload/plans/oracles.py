@@ -453,10 +453,13 @@ WITH {FULL} SELECT round(sum(sd) / count(*), 4) AS std FROM (
     "roundtrip_partitioned": f"""
 WITH {BASE} SELECT city, idx AS "index", round(total, 4) AS total FROM city WHERE city = 'ASIA' AND idx > 600""",
     "roundtrip_bucketed": f"""
-WITH {BASE} SELECT dataid, count(*) AS n, round(sum(total), 4) AS total FROM household WHERE city = 'EUROPE' GROUP BY 1""",
-    "roundtrip_append": f"""
-WITH {BASE} SELECT dataid, idx AS "index", round(total, 4) AS total FROM household
-WHERE dataid = (SELECT min(dataid) FROM household)""",
+WITH {HOURLY} SELECT dataid, idx AS "index", round(air1 + kitchen1 + car1 - solar, 4) AS total FROM filled
+WHERE dataid IN (3, 7, 11, 12, 14)""",
+    "read_entity_bucketed": f"""
+WITH {HOURLY} SELECT dataid, idx AS "index", round(air1 + kitchen1 + car1 - solar, 4) AS total FROM filled WHERE dataid = 7""",
+    "roundtrip_append": f'WITH {BASE} SELECT dataid, idx AS "index", round(total, 4) AS total FROM household',
+    "roundtrip_overwritten_partitions": f"""
+WITH {BASE} SELECT city, idx AS "index", round(CASE WHEN city = 'ASIA' THEN 2 * total ELSE total END, 4) AS total FROM city""",
     "csv_profile_roundtrip": f"""
 WITH {HOURLY}, {HOMES}
 SELECT CAST(p.dataid AS INTEGER) AS dataid, h.city, min_time, floor(data_availability * 10000) / 100 AS availability,

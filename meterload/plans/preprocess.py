@@ -20,7 +20,7 @@ from meterload.operators.profile import (
 )
 from meterload.operators.rollup import level_tables
 from meterload.sources.csv import read_readings, read_source_metadata, write_report
-from meterload.sources.tables import pick_layout, read_table, write_table
+from meterload.sources.tables import read_table, write_table
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,10 @@ class Store:
 
     root: str
 
+    @property
+    def readings(self) -> str:
+        return f"{self.root}/readings"
+
     @property
     def profile(self) -> str:
         return f"{self.root}/profile"
@@ -67,22 +71,26 @@ def generate_metadata(
 def preprocess(
     spark: SparkSession, readings_path: str | Sequence[str], metadata_path: str | Sequence[str],
     store: Store, cfg: Config, extra: Sequence[str] = (), prefix: str = "egauge_1min_",
-    normalize_until: int | None = None,
+    normalize_until: int | None = None, layout: str = "bucket",
 ) -> dict[str, DataFrame]:
-    """Profile, clean, roll up and normalise; returns the stored tables by name."""
-    readings = read_readings(spark, readings_path, cfg)
+    """Profile, clean, roll up and normalise; returns the stored tables by name.
+
+    The CSV files are parsed once, into Parquet; profile and levels read that.
+    """
+    write_table(read_readings(spark, readings_path, cfg), store.readings)
+    readings = read_table(spark, store.readings)
     source = read_source_metadata(spark, metadata_path, extra)
     metadata = generate_metadata(spark, readings, source, store, cfg, extra)
     write_report(display_profile(metadata, cfg, prefix).orderBy("city", "dataid"), f"{store.root}/metadata_csv")
-    return build_levels(spark, readings, metadata, store, cfg, normalize_until)
+    return build_levels(spark, readings, metadata, store, cfg, normalize_until, layout)
 
 
 def build_levels(
     spark: SparkSession, readings: DataFrame, metadata: DataFrame, store: Store, cfg: Config,
-    normalize_until: int | None = None,
+    normalize_until: int | None = None, layout: str = "bucket",
 ) -> dict[str, DataFrame]:
-    """Clean, roll up and normalise readings of known households into stored tables."""
-    layout = pick_layout(metadata, "dataid")
+    """Clean, roll up and normalise readings of known households into stored tables. `layout` is that of the
+    tables below cities; cities get a directory each."""
     layouts = {"appliance": layout, "household": layout, "community": layout, "city": "entity"}
     keys = {level: ENTITY_KEYS[level][0] for level in LEVELS}
     tables = {}

@@ -42,7 +42,7 @@ from meterload.operators.search import best_candidates, forecast_with_best, scor
 from meterload.session import scratch_path
 from meterload.sources.csv import read_profile_csv, read_readings, read_source_metadata
 from meterload.sources.forecasts import long_form, read_forecasts, read_matrix, write_forecasts, write_matrix
-from meterload.sources.tables import read_entity, read_table, stored, write_table
+from meterload.sources.tables import read_entities, read_entity, read_table, stored, write_table
 
 CFG = fx.HOURLY
 FIRST, LAST = CFG.test_start, CFG.last_window
@@ -170,9 +170,9 @@ def community_assignment(spark, folder):
 
 
 def community_assignment_runs(spark, folder):
-    """The same numbering with ids ranked in runs, as for very large cities."""
+    """The same numbering with the households cut into more ranges than there are cities."""
     homes = fx.households(spark, folder)
-    runs = hierarchy.assign_communities(homes, CFG.community_size, run_rows=20)
+    runs = hierarchy.assign_communities(homes, CFG.community_size, ranges=7)
     return runs.select("dataid", "city", "state", "community")
 
 
@@ -559,32 +559,48 @@ def std_load_appliance(spark, folder):
 def roundtrip_partitioned(spark, folder):
     """City tables written by entity, read back through partition pruning and a pushed filter."""
     path = scratch_path(spark, "city")
-    write_table(_city(spark, folder), path, key="city")
+    write_table(_city(spark, folder), path, key="city", layout="entity")
     kept = read_table(spark, path, ["city", "index", "total"], (F.col("city") == "ASIA") & (F.col("index") > 600))
     return kept.select("city", "index", _r("total"))
 
 
+def _active_totals(spark, folder) -> DataFrame:
+    """(dataid, index, total) of all active users."""
+    return household_totals(fx.appliance_table(spark, folder), CFG).select("dataid", "index", "total")
+
+
 def roundtrip_bucketed(spark, folder):
-    """Household tables written in buckets; the entities of one city read back by a filter."""
+    """Household totals written in buckets; a few households read back through bucket pruning."""
+    path = scratch_path(spark, "household")
+    write_table(_active_totals(spark, folder), path, key="dataid", buckets=8)
+    return read_entities(spark, path, "dataid", [3, 7, 11, 12, 14]).select("dataid", "index", _r("total"))
+
+
+def read_entity_bucketed(spark, folder):
+    """One household of a table in the default number of buckets."""
     path = scratch_path(spark, "household")
-    write_table(_household(spark, folder), path, key="dataid", layout="bucket", buckets=8)
-    whole = read_table(spark, path, ["dataid", "index", "total", "city"], F.col("city") == "EUROPE")
-    last = whole.groupBy("dataid").agg(F.count("*").alias("n"), F.round(F.sum("total"), 4).alias("total"))
-    return last.select("dataid", "n", "total")
+    write_table(_active_totals(spark, folder), path, key="dataid")
+    return read_entity(spark, path, "dataid", 7, ["dataid", "index", "total"]).select("dataid", "index", _r("total"))
 
 
 def roundtrip_append(spark, folder):
-    """Two appended writes into one table, then one household through the bucket path."""
+    """Two appended writes into one table of buckets, all of it read back."""
     path = scratch_path(spark, "append")
-    household = _household(spark, folder).select("dataid", "index", "total")
+    household = stored(_household(spark, folder).select("dataid", "index", "total"), "household")
     half = F.col("index") <= CFG.boundary
-    write_table(household.where(half), path, key="dataid", layout="bucket", buckets=8)
-    write_table(household.where(~half), path, key="dataid", layout="bucket", buckets=8, mode="append")
-    smallest = spark.read.parquet(path).agg(F.min("dataid").alias("id")).first()["id"]
-    if smallest is None:
-        return read_table(spark, path, ["dataid", "index", "total"])
-    return read_entity(spark, path, "dataid", smallest, ["dataid", "index", "total"], buckets=8).select(
-        "dataid", "index", _r("total"))
+    write_table(household.where(half), path, key="dataid", buckets=8)
+    write_table(household.where(~half), path, key="dataid", buckets=8, mode="append")
+    return read_table(spark, path).select("dataid", "index", _r("total"))
+
+
+def roundtrip_overwritten_partitions(spark, folder):
+    """City tables of which one city is written anew; the others stay."""
+    path = scratch_path(spark, "city")
+    city = stored(_city(spark, folder).select("city", "index", "total"), "city")
+    write_table(city, path, key="city", layout="entity")
+    anew = city.where("city = 'ASIA'").withColumn("total", F.col("total") * 2)
+    write_table(anew, path, key="city", layout="entity", mode="overwrite_partitions")
+    return read_table(spark, path).select("city", "index", _r("total"))
 
 
 def csv_profile_roundtrip(spark, folder):
@@ -635,6 +651,7 @@ QUERIES: dict[str, Query] = {
         bottomup_from_store, window_mae, entity_rmse, evaluation_summary, level_report,
         training_curve_by_appliance, training_curve, training_curve_levels, mean_load, std_load,
         std_load_appliance, roundtrip_partitioned, roundtrip_bucketed, roundtrip_append,
+        read_entity_bucketed, roundtrip_overwritten_partitions,
         csv_profile_roundtrip, matrix_roundtrip,
     )
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,26 +21,65 @@ from meterload.sources.schema import (
 )
 
 
-def _by_header(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Read CSV columns by header name, whatever their order or number in the file.
+#: Texts that mean a missing value (fixed values of the delivered files and of common writers).
+NULL_TEXTS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null")
+#: Headers that are read at a time.
+_READERS = 16
 
-    Spark's CSV reader matches a given schema by position; reading the header line alone (no
-    inference pass over the data) and casting the wanted columns gives by-name semantics while
-    column pruning still keeps the rest from being parsed.
+
+def _literal(file: str) -> str:
+    """A path that is not read as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
+
+
+def _by_header(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, headers: str = "folder",
+) -> DataFrame:
+    """Read CSV columns by header name, whatever their order or number in the files.
+
+    Spark's CSV reader takes the names of one file for all. So headers are read first (a small job for each, no
+    pass over the data), and files with the same header are read together. The files of a folder share a
+    header; one that differs in a wanted column fails the read. `headers="file"` looks at each file instead.
     """
-    raw = spark.read.option("header", True).csv(path)
-    missing = [f.name for f in schema if f.name not in raw.columns]
-    if missing:
-        raise ValueError(f"CSV at {path} lacks columns {missing}")
-    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    if headers not in ("folder", "file"):
+        raise ValueError("headers is folder or file")
+    listed = spark.read.format("binaryFile").load([path] if isinstance(path, str) else list(path)).select("path")
+    units: dict[str, list[str]] = {}
+    for file in sorted(r.path for r in listed.collect()):  # names only, as the reader's own listing
+        units.setdefault(file.rpartition("/")[0] if headers == "folder" else file, []).append(_literal(file))
+    with ThreadPoolExecutor(_READERS) as pool:
+        found = list(pool.map(lambda files: tuple(spark.read.option("header", True).csv(files[0]).columns), units.values()))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for columns, files in zip(found, units.values()):
+        missing = [f.name for f in schema if f.name not in columns]
+        if missing:
+            raise ValueError(f"CSV at {files[0]} lacks columns {missing}")
+        groups.setdefault(columns, []).extend(files)
+    if not groups:
+        raise ValueError(f"no CSV file at {path}")
+    rows = None
+    for columns, files in groups.items():
+        raw = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        part = spark.read.option("header", True).option("enforceSchema", False).schema(raw).csv(files)
+        part = part.select(*[_value(f).alias(f.name) for f in schema])
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _value(field: T.StructField) -> "F.Column":
+    text = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType):
+        return text
+    return F.when(~F.trim(text).isin(list(NULL_TEXTS)), text).cast(field.dataType)
 
 
 def read_readings(
-    spark: SparkSession, path: str | Sequence[str], cfg: Config, sensors: Sequence[str] | None = None
+    spark: SparkSession, path: str | Sequence[str], cfg: Config, sensors: Sequence[str] | None = None,
+    headers: str = "folder",
 ) -> DataFrame:
-    """Raw readings with the time parsed to UTC. `sensors` restricts the sensor columns."""
+    """Raw readings with the time parsed to UTC. `sensors` restricts the sensor columns; NULL_TEXTS are NULL."""
     sensors = cfg.sensors if sensors is None else tuple(sensors)
-    df = _by_header(spark, path, readings_schema(cfg.with_(sensors=sensors)))
+    df = _by_header(spark, path, readings_schema(cfg.with_(sensors=sensors)), headers)
     return df.withColumn(cfg.time_column, parse_utc(F.col(cfg.time_column)))
 
 
@@ -71,10 +112,9 @@ def read_profile_csv(
     return df.select(*columns) if columns else df
 
 
-def write_report(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """CSV report. Up to `max_rows` rows go to one file; a larger result keeps its partitions."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    (df.coalesce(1) if small else df).write.mode("overwrite").option("header", True).csv(path)
+def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """CSV report. `single_file` is for results that are small by their nature, such as one row per level."""
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_training_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

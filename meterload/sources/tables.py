@@ -1,22 +1,25 @@
 """Level tables at rest: Parquet, pruned by entity.
 
-Two layouts hold the same rows. "entity" gives each entity its own directory, as a reader of
-single-entity folders expects; it is used while the number of entities stays below a limit.
-"bucket" hashes entities into a fixed number of directories and sorts files by entity, so that
-min/max statistics prune row groups; it works for any number of entities.
+Two layouts hold the same rows. "bucket" (the default for entities) hashes entities into a fixed number
+of directories and sorts files by entity, so that min/max statistics prune row groups; it works for any
+number of entities. The number of buckets is part of the name of the partition column, so it stays with
+the table. "entity" gives each entity its own directory, as a reader of single-entity folders expects;
+the caller asks for it where entities are few, such as cities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterload.session import scratch_path
 
-BUCKET = "entity_bucket"
+#: Prefix of the partition column of bucketed tables; the number of buckets follows.
+BUCKET = "entity_bucket_of_"
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -28,14 +31,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.hint("rebalance", *keys)
 
 
-def pick_layout(entities: DataFrame, key: str, max_directories: int = 2000) -> str:
-    """"entity" for few entities, else "bucket"; looks at no more than the limit + 1 keys."""
-    few = entities.select(key).distinct().limit(max_directories + 1).count() <= max_directories
-    return "entity" if few else "bucket"
+def _bucket_columns(columns: Sequence[str]) -> list[str]:
+    return [c for c in columns if c.startswith(BUCKET)]
+
+
+def _check_layout(spark: SparkSession, path: str, column: str) -> None:
+    """Refuse to add rows of another layout, or of another number of buckets, to a table."""
+    try:
+        columns = spark.read.parquet(path).columns
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return
+        raise
+    have = _bucket_columns(columns)
+    if (have or [column]) != [column] or (column.startswith(BUCKET) and not have):
+        raise ValueError(f"the table at {path} is laid out by {have or 'entity'}, not by {column}")
 
 
 def write_table(
-    df: DataFrame, path: str, key: str | None = None, layout: str = "entity",
+    df: DataFrame, path: str, key: str | None = None, layout: str = "bucket",
     mode: str = "overwrite", buckets: int = 256, order: Sequence[str] = ("index",),
 ) -> None:
     """Write a table by entity. "overwrite" replaces the whole table, "overwrite_partitions" only
@@ -45,10 +59,13 @@ def write_table(
     elif layout == "entity":
         writer = spread(df, key).sortWithinPartitions(key, *order).write.partitionBy(key)
     elif layout == "bucket":
-        out = df.withColumn(BUCKET, bucket_of(F.col(key), buckets))
-        writer = spread(out, BUCKET).sortWithinPartitions(BUCKET, key, *order).write.partitionBy(BUCKET)
+        name = f"{BUCKET}{buckets}"
+        out = df.withColumn(name, bucket_of(F.col(key), buckets))
+        writer = spread(out, name).sortWithinPartitions(name, key, *order).write.partitionBy(name)
     else:
         raise ValueError(f"unknown layout {layout!r}")
+    if key is not None and mode != "overwrite":
+        _check_layout(df.sparkSession, path, key if layout == "entity" else f"{BUCKET}{buckets}")
     overwrite = "dynamic" if mode == "overwrite_partitions" else "static"
     writer = writer.option("partitionOverwriteMode", overwrite)
     writer.mode("append" if mode == "append" else "overwrite").parquet(path)
@@ -65,7 +82,7 @@ def read_table(
         df = df.where(where)
     if columns is not None:
         return df.select(*columns)
-    return df.drop(BUCKET) if BUCKET in df.columns else df
+    return df.drop(*_bucket_columns(df.columns))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -76,17 +93,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_entity(
-    spark: SparkSession, path: str, key: str, value, columns: Sequence[str] | None = None,
-    buckets: int = 256,
+def read_entities(
+    spark: SparkSession, path: str, key: str, values: Sequence, columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows of one entity: partition pruning in either layout."""
+    """Rows of a few entities: partition pruning in either layout. The bucket numbers are constants that
+    follow from the values and from the number of buckets in the table."""
     df = spark.read.parquet(path)
-    predicate = F.col(key) == F.lit(value)
-    if BUCKET in df.columns:
-        bucket = spark.range(1).select(bucket_of(F.lit(value), buckets).alias("b")).first()["b"]
-        predicate = predicate & (F.col(BUCKET) == bucket)
-        df = df.where(predicate).drop(BUCKET)
-    else:
-        df = df.where(predicate)
+    predicate = F.col(key).isin(list(values))
+    for name in _bucket_columns(df.columns):
+        buckets = int(name.removeprefix(BUCKET))
+        predicate = predicate & F.col(name).isin([bucket_of(F.lit(v), buckets) for v in values])
+    df = df.where(predicate).drop(*_bucket_columns(df.columns))
     return df.select(*columns) if columns is not None else df
+
+
+def read_entity(
+    spark: SparkSession, path: str, key: str, value, columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Rows of one entity."""
+    return read_entities(spark, path, key, [value], columns)

@@ -169,3 +169,12 @@ def test_large_metadata_shares_the_shuffle_of_the_fill(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning") == 3          # slots, slots by household, metadata
     assert "SortMergeJoin [dataid" in plan and "shift" not in plan.split("SortMergeJoin")[1].split(",")[0]
+
+
+def test_nan_is_a_missing_reading(spark):
+    names = [f"s{i:02d}" for i in range(12)]
+    schema = "dataid int, index int, " + ", ".join(f"{n} double" for n in names)
+    rows = [(1, 1, *([1.0, 2.0] * 5), float("nan"), None), (1, 2, *([0.0] * 11), 100.0)]
+    got = {r["index"]: r for r in mask_row_zscore(spark.createDataFrame(rows, schema), names, 3.0).collect()}
+    assert [got[1][n] for n in names] == [1.0, 2.0] * 5 + [None, None]
+    assert got[2]["s11"] is None and got[2]["s00"] == 0.0

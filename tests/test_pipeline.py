@@ -66,14 +66,17 @@ def run(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("pipeline")
     raw = raw_readings()
     (root / "in").mkdir()
-    for part, rows in raw.groupby(raw.dataid % 2):
-        rows.assign(unused=1)[["unused", "grid", "solar", "air1", "dataid", "car1", "local_15min"]].to_csv(
-            root / "in" / f"minutes_{part}.csv", index=False)
+    orders = (["unused", "grid", "solar", "air1", "dataid", "car1", "local_15min"],
+              ["dataid", "local_15min", "air1", "car1", "grid", "solar"])
+    for part, rows in raw.groupby(raw.dataid % 2):  # a folder for each order of columns, as deliveries have them
+        (root / "in" / f"part_{part}").mkdir()
+        rows.assign(unused=1)[orders[part]].to_csv(
+            root / "in" / f"part_{part}" / "minutes.csv", index=False, na_rep=("", "NaN")[part])
     lines = ["dataid,extra,city,state", "unique id,note,city of home,state of home"]
     lines += [f"{h},n{h},{c},TX" for h, (c, _) in HOMES.items() if c]
     (root / "meta.csv").write_text("\n".join(lines) + "\n")
     store = Store(str(root / "out"))
-    tables = preprocess(spark, f"{root}/in/minutes_*.csv", f"{root}/meta.csv", store, CFG, extra=["extra"])
+    tables = preprocess(spark, f"{root}/in/part_*/minutes.csv", f"{root}/meta.csv", store, CFG, extra=["extra"])
     return {"root": root, "raw": raw, "store": store, "tables": tables, "want": expected(raw)}
 
 
@@ -122,14 +125,14 @@ def test_pruned_reads_of_one_household(spark, run):
     got = read_entity(spark, run["store"].level("household"), "dataid", 9, ["index", "total"])
     assert got.orderBy("index").toPandas().total.tolist() == pytest.approx(totals(run["want"])["household"][9].tolist())
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dataid" in plan
+    assert "PartitionFilters: [isnotnull(entity_bucket_of_256" in plan or "PartitionFilters: [entity_bucket_of_256" in plan, plan
     late = read_table(spark, run["store"].level("city"), ["total"], F.col("index") > 60)
     assert "GreaterThan(index,60)" in late._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rerun_is_idempotent(spark, run):
     before = run["tables"]["household"].count()
-    readings_path, meta_path = f"{run['root']}/in/minutes_*.csv", f"{run['root']}/meta.csv"
+    readings_path, meta_path = f"{run['root']}/in/part_*/minutes.csv", f"{run['root']}/meta.csv"
     again = preprocess(spark, readings_path, meta_path, run["store"], CFG, extra=["extra"])
     assert again["household"].count() == before == N * len(PLACED)
     run["tables"] = again                              # the files the old frames list are gone
@@ -213,11 +216,10 @@ def test_load_statistics(run):
         assert got[level] == pytest.approx((mean * 2 / counts[level], std))
 
 
-def test_bucket_layout_gives_the_same_levels(spark, run, tmp_path, monkeypatch):
-    monkeypatch.setattr("meterload.plans.preprocess.pick_layout", lambda *a: "bucket")
+def test_entity_layout_gives_the_same_levels(spark, run, tmp_path):
     readings = run["tables"]["appliance"].withColumn("grid", F.lit(None).cast("double"))
     cfg = CFG.with_(years=False)
-    tables = build_levels(spark, readings, run["tables"]["metadata"], Store(str(tmp_path)), cfg)
+    tables = build_levels(spark, readings, run["tables"]["metadata"], Store(str(tmp_path)), cfg, layout="entity")
     for level in LEVELS:
         columns = [c for c in run["tables"][level].columns]
         assert tables[level].select(*columns).exceptAll(run["tables"][level]).count() == 0
