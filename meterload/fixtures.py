@@ -76,6 +76,15 @@ def households(spark: SparkSession, folder: str) -> DataFrame:
     return located.select("dataid", "city", "state")
 
 
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    """(dataid, city, state, segment) of every customer."""
+    customer = table(spark, folder, "customer").selectExpr(
+        "c_custkey AS dataid", "c_nationkey AS nation", "c_mktsegment AS segment")
+    nation = table(spark, folder, "nation").selectExpr("n_nationkey AS nation", "n_name AS state", "n_regionkey AS region")
+    region = table(spark, folder, "region").selectExpr("r_regionkey AS region", "r_name AS city")
+    return customer.join(nation, "nation").join(region, "region").select("dataid", "city", "state", "segment")
+
+
 def placed_households(spark: SparkSession, folder: str) -> DataFrame:
     """Households in complete communities, stored: jobs read the hierarchy several times."""
     return stored(assign_communities(households(spark, folder), HOURLY.community_size), "placed")

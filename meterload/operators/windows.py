@@ -56,19 +56,16 @@ def cut_windows(
     """
     arrays = {f"_a{i}": source for i, (source, _, _) in enumerate(columns.values())}
     staged = blocks.select(*keys, "_first", "_last", *[a.alias(n) for n, a in arrays.items()])
-
-    def window(win: Column) -> Column:
-        start = win - F.col("_first") + 1
-        parts = [
-            F.slice(F.col(array), start + offset, F.lit(length)).alias(name)
-            for array, (name, (_, offset, length)) in zip(arrays, columns.items())
-        ]
-        return F.struct(win.alias("win"), *parts)
-
     wins = F.sequence("_first", "_last")
     if keep is not None:
         wins = F.filter(wins, keep)
-    return staged.select(*keys, F.inline(F.transform(wins, window)))
+    # Window numbers are exploded first: a row holds one window's slices, never those of its whole block.
+    numbered = staged.select(*keys, "_first", *arrays, F.explode(wins).alias("win"))
+    start = F.col("win") - F.col("_first") + 1
+    return numbered.select(*keys, "win", *[
+        F.slice(F.col(array), start + offset, F.lit(length)).alias(name)
+        for array, (name, (_, offset, length)) in zip(arrays, columns.items())
+    ])
 
 
 def input_windows(
@@ -124,6 +121,42 @@ def training_pairs(
     })
 
 
+def _per_sensor(cfg: Config, values: Callable[[str], Column]) -> Column:
+    """Array of (sensor, values) for the sensors that a household has (column `sensors`)."""
+    every = F.array(*[F.struct(F.lit(s).alias("sensor"), values(s).alias("values")) for s in cfg.appliances])
+    return F.filter(every, lambda p: F.array_contains(F.col("sensors"), p["sensor"]))
+
+
+def appliance_pairs(
+    appliance: DataFrame, normalized: DataFrame, households: DataFrame, cfg: Config, first: int, last: int,
+    block: int | None = None, with_output: bool = True,
+) -> DataFrame:
+    """(city, community, dataid, sensor, win, x[, y]): normalised input structs of each sensor, target and
+    calendar features, paired with its raw outputs.
+
+    Raw and normalised rows of a household meet once, wide; sensors are told apart afterwards as arrays.
+    """
+    sensors = list(cfg.appliances)
+    span = cfg.span if with_output else cfg.input_size
+    scaled = normalized.select("dataid", "index", *FEATURES, *[F.col(s).alias(f"{s}_z") for s in sensors])
+    table = scaled.join(appliance.select("dataid", "index", *sensors), ["dataid", "index"]) if with_output else scaled
+    columns = [*FEATURES, *[f"{s}_z" for s in sensors], *(sensors if with_output else [])]
+    blocks = series_blocks(table, ["dataid"], columns, span, first, last, block)
+    placed = blocks.join(households.select("city", "community", "dataid", "sensors"), "dataid")
+
+    def values(sensor: str) -> Column:
+        return F.transform("rows", lambda r: F.struct(
+            r[f"{sensor}_z"].alias("y"), *[r[f].alias(f) for f in FEATURES],
+            *([r[sensor].alias("raw")] if with_output else [])))
+
+    long = placed.select("city", "community", "dataid", "_first", "_last", F.inline(_per_sensor(cfg, values)))
+    inputs = F.transform("values", lambda r: F.struct(r["y"].alias("y"), *[r[f].alias(f) for f in FEATURES]))
+    parts = {"x": (inputs, 0, cfg.input_size)}
+    if with_output:
+        parts["y"] = (F.col("values.raw"), cfg.input_size, cfg.output_size)
+    return cut_windows(long, ["city", "community", "dataid", "sensor"], parts)
+
+
 def appliance_windows(
     appliance: DataFrame, households: DataFrame, cfg: Config, first: int, last: int,
     with_input: bool = True, block: int | None = None,
@@ -139,10 +172,7 @@ def appliance_windows(
     sensors = list(cfg.appliances)
     blocks = series_blocks(appliance, ["dataid"], sensors, span, first + shift, last + shift, block)
     placed = blocks.join(households.select("city", "community", "dataid", "sensors"), "dataid")
-    per_sensor = F.array(*[
-        F.struct(F.lit(s).alias("sensor"), F.col(f"rows.{s}").alias("values")) for s in cfg.appliances
-    ])
-    owned = F.filter(per_sensor, lambda p: F.array_contains(F.col("sensors"), p["sensor"]))
+    owned = _per_sensor(cfg, lambda s: F.col(f"rows.{s}"))
     long = placed.select("city", "community", "dataid", "_first", "_last", F.inline(owned))
     keys = ["city", "community", "dataid", "sensor"]
     columns = {}

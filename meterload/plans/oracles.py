@@ -180,10 +180,31 @@ logs AS (
   SELECT user_id, event_type AS appliance, CAST(day(ts) - 1 AS INTEGER) AS epoch, value / 100 AS mae, value / 50 AS rmse
   FROM events)"""
 
-FEATURE_SERIES = f"""
+# Calendar features of the grid times, scaled as the windows carry them.
+SCALED_FEATURES = f"""
+calendar AS (
+  SELECT idx, (dayofyear - 1) / 365.0::DOUBLE AS dayofyear, (season - 1) / 3.0::DOUBLE AS season, ("month" - 1) / 11.0::DOUBLE AS "month",
+         (dayofweek - 1) / 6.0::DOUBLE AS dayofweek, hourofday / 23.0::DOUBLE AS hourofday, minuteofhour / 59.0::DOUBLE AS minuteofhour,
+         typeofday::DOUBLE AS typeofday
+  FROM (SELECT idx, {CALENDAR} FROM spine))"""
+
+FEATURE_SERIES = f"""{SCALED_FEATURES},
 scaled AS (
-  SELECT city, idx, total, (total - avg(total) OVER ()) / stddev_samp(total) OVER () AS z,
-         ((idx - 1) % 24) / 23.0::DOUBLE AS hourofday FROM city)"""
+  SELECT city, idx, total, (total - avg(total) OVER ()) / stddev_samp(total) OVER () AS z, calendar.* EXCLUDE (idx)
+  FROM city JOIN calendar USING (idx))"""
+
+# Appliances of placed households with their z-scores over the whole table of each sensor.
+APPLIANCE_SERIES = f"""{SCALED_FEATURES},
+scored AS (
+  SELECT p.city, p.community, a.dataid, a.sensor, a.idx, a.v,
+         (a.v - avg(a.v) OVER (PARTITION BY a.sensor)) / stddev_samp(a.v) OVER (PARTITION BY a.sensor) AS z
+  FROM appliance a JOIN placed p ON p.dataid = a.dataid),
+scaled AS (
+  SELECT s.dataid, s.sensor, s.idx, s.v AS total, s.z, calendar.* EXCLUDE (idx)
+  FROM scored s JOIN present e ON e.dataid = s.dataid AND e.sensor = s.sensor JOIN calendar ON calendar.idx = s.idx)"""
+
+FEATURE_NAMES = ("dayofyear", "season", "month", "dayofweek", "hourofday", "minuteofhour", "typeofday")
+FIELD_SUMS = ", ".join(f'round(sum("{f}") OVER xs, 4) AS sum_{f}' for f in FEATURE_NAMES)
 
 LOAD = """
 load AS (
@@ -240,6 +261,42 @@ def _level_union(select: str) -> str:
     return " UNION ALL ".join(select.format(level=lv, key=k, series=lv) for lv, k in keys.items())
 
 
+# Customers as households: orders moved to one summer, placed, filled and summed.
+ORDER_LEVELS = f"""{ORDER_SPANS},
+located AS (
+  SELECT c.c_custkey AS dataid, r.r_name AS city, n.n_name AS state, c.c_mktsegment AS segment
+  FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+  WHERE c.c_custkey % 7 <> 0),
+homes AS (SELECT k.*, l.city, l.state, l.segment FROM kept k JOIN located l ON l.dataid = k.dataid),
+placed AS (
+  SELECT * REPLACE (CAST(community AS INTEGER) AS community) FROM (
+    SELECT *, dense_rank() OVER (ORDER BY city, rn // 5) AS community FROM (
+      SELECT *, row_number() OVER (PARTITION BY city ORDER BY dataid) - 1 AS rn FROM homes))
+  QUALIFY count(*) OVER (PARTITION BY community) = 5),
+daily AS (
+  SELECT dataid, date_diff('day', TIMESTAMP '2000-07-01', ts) + 1 AS idx, sum(price) AS price FROM (
+    SELECT o.o_custkey AS dataid, o.o_orderdate + to_years(p.delta_year) AS ts, o.o_totalprice AS price
+    FROM orders o JOIN placed p ON p.dataid = o.o_custkey)
+  WHERE ts BETWEEN TIMESTAMP '2000-07-01' AND TIMESTAMP '2000-09-30' AND ts = date_trunc('day', ts) GROUP BY 1, 2),
+household AS (
+  SELECT p.city, p.community, p.dataid, CAST(s.i AS INTEGER) AS idx,
+         coalesce(last_value(d.price IGNORE NULLS) OVER (
+           PARTITION BY p.dataid ORDER BY s.i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 0) AS v
+  FROM placed p CROSS JOIN range(1, 93) s(i) LEFT JOIN daily d ON d.dataid = p.dataid AND d.idx = s.i),
+levels AS (
+  SELECT 'appliance' AS name, CAST(dataid AS VARCHAR) AS entity, idx, v FROM household UNION ALL
+  SELECT 'household', CAST(dataid AS VARCHAR), idx, v FROM household UNION ALL
+  SELECT 'community', CAST(community AS VARCHAR), idx, sum(v) FROM household GROUP BY community, idx UNION ALL
+  SELECT 'city', city, idx, sum(v) FROM household GROUP BY city, idx)"""
+
+
+def _level_report(bases: tuple[str, ...], where: str = "TRUE") -> str:
+    rows = " UNION ALL ".join(f"({_summary(b)})" for b in bases)
+    return f"""
+SELECT base_level, level, round(avg(mae_mean), 4) AS mae_mean, round(avg(rmse_mean), 4) AS rmse_mean,
+       round(avg(mae_std), 4) AS mae_std, round(avg(rmse_std), 4) AS rmse_std FROM ({rows}) WHERE {where} GROUP BY 1, 2"""
+
+
 ORACLES: dict[str, str] = {
     "city_load_flagship": f"""
 WITH {HOURLY}, {HOMES}
@@ -351,14 +408,22 @@ WITH {LOAD} SELECT CASE WHEN (win * 7919) % 100 < 20 THEN 'validation' ELSE 'tra
 
     "input_windows": f"""
 WITH {BASE}, {FEATURE_SERIES}
-SELECT * FROM (SELECT city, idx AS win, {_described('x', 'z', 'xs')}, {_described('hour', 'hourofday', 'xs')} FROM scaled {_frames('city')})
+SELECT * FROM (SELECT city, idx AS win, {_described('x', 'z', 'xs')}, {FIELD_SUMS} FROM scaled {_frames('city')})
 WHERE win <= 637""",
+    "appliance_input_windows": f"""
+WITH {FULL}, {APPLIANCE_SERIES}
+SELECT * FROM (SELECT dataid, sensor, idx AS win, {_described('x', 'z', 'xs')}, {FIELD_SUMS} FROM scaled {_frames('dataid, sensor')})
+WHERE win BETWEEN 577 AND 637""",
+    "appliance_training_pairs": f"""
+WITH {FULL}, {APPLIANCE_SERIES}
+SELECT * FROM (SELECT dataid, sensor, idx AS win, {_described('x', 'z', 'xs')}, {FIELD_SUMS}, {_described('y', 'total', 'ys')}
+  FROM scaled {_frames('dataid, sensor')}) WHERE win BETWEEN 433 AND 493""",
     "output_windows": f"""
 WITH {BASE} SELECT * FROM (SELECT community, idx AS win, {_described('y', 'total', 'ys')} FROM community {_frames('community')})
 WHERE win <= 637""",
     "training_pairs": f"""
 WITH {BASE}, {FEATURE_SERIES}
-SELECT * FROM (SELECT city, idx AS win, {_described('x', 'z', 'xs')}, {_described('y', 'total', 'ys')} FROM scaled {_frames('city')})
+SELECT * FROM (SELECT city, idx AS win, {_described('x', 'z', 'xs')}, {FIELD_SUMS}, {_described('y', 'total', 'ys')} FROM scaled {_frames('city')})
 WHERE win <= 493""",
     "actual_windows": f"""
 WITH {FULL} SELECT * FROM (
@@ -419,10 +484,12 @@ JOIN (SELECT dataid, sqrt(avg(e * e)) AS rmse FROM errors GROUP BY 1) r ON r.dat
     "evaluation_summary": f"""
 SELECT base_level, level, entity, round(mae_mean, 4) AS mae_mean, round(rmse_mean, 4) AS rmse_mean,
        round(mae_std, 4) AS mae_std, round(rmse_std, 4) AS rmse_std FROM ({_summary('household')})""",
-    "level_report": f"""
-SELECT base_level, level, round(avg(mae_mean), 4) AS mae_mean, round(avg(rmse_mean), 4) AS rmse_mean,
-       round(avg(mae_std), 4) AS mae_std, round(avg(rmse_std), 4) AS rmse_std
-FROM ({' UNION ALL '.join(f'({_summary(b)})' for b in LEVELS)}) GROUP BY 1, 2""",
+    "level_report": _level_report(LEVELS),
+    "evaluate_pipeline": _level_report(LEVELS),
+    "evaluate_without_appliances": _level_report(LEVELS[1:]),
+    "evaluate_subtree": _level_report(LEVELS[1:], "entity = 'ASIA' OR entity LIKE 'ASIA/%'"),
+    "evaluation_sink": _evaluation("household"),
+    "report_csv": _level_report(LEVELS[2:]),
 
     "training_curve_by_appliance": f"""
 WITH {LOGS} SELECT appliance, epoch, round(avg(mae), 9) AS mae, round(avg(rmse), 9) AS rmse FROM logs GROUP BY 1, 2""",
@@ -432,8 +499,11 @@ WITH {LOGS} SELECT epoch, round(avg(mae), 9) AS mae, round(avg(rmse), 9) AS rmse
     "training_curve_levels": f"""
 WITH {LOGS}, {HOMES}, household AS (
   SELECT user_id AS dataid, epoch, avg(mae) AS mae, avg(rmse) AS rmse FROM logs GROUP BY 1, 2),
-city AS (SELECT h.city, l.epoch, avg(l.mae) AS mae, avg(l.rmse) AS rmse FROM household l JOIN homes h ON h.dataid = l.dataid GROUP BY 1, 2)
+city AS (SELECT h.city, l.epoch, avg(l.mae) AS mae, avg(l.rmse) AS rmse FROM household l JOIN homes h ON h.dataid = l.dataid GROUP BY 1, 2),
+community AS (
+  SELECT p.community, l.epoch, avg(l.mae) AS mae, avg(l.rmse) AS rmse FROM household l JOIN placed p ON p.dataid = l.dataid GROUP BY 1, 2)
 SELECT 'household' AS level, epoch, round(avg(mae), 9) AS mae, round(avg(rmse), 9) AS rmse FROM household GROUP BY 2 UNION ALL
+SELECT 'community', epoch, round(avg(mae), 9), round(avg(rmse), 9) FROM community GROUP BY 2 UNION ALL
 SELECT 'city', epoch, round(avg(mae), 9), round(avg(rmse), 9) FROM city GROUP BY 2""",
 
     "mean_load": f"""
@@ -462,11 +532,32 @@ WITH {HOURLY} SELECT dataid, idx AS "index", round(air1 + kitchen1 + car1 - sola
 WITH {BASE} SELECT city, idx AS "index", round(CASE WHEN city = 'ASIA' THEN 2 * total ELSE total END, 4) AS total FROM city""",
     "csv_profile_roundtrip": f"""
 WITH {HOURLY}, {HOMES}
-SELECT CAST(p.dataid AS INTEGER) AS dataid, h.city, min_time, floor(data_availability * 10000) / 100 AS availability,
+SELECT CAST(p.dataid AS INTEGER) AS dataid, h.city, min_time, max_time, floor(data_availability * 10000) / 100 AS availability,
        floor(aggregation_abs_error_max * 100) / 100 AS aggregation_abs_error_max, air1, kitchen1, car1, solar, grid
 FROM ({PROFILE.replace('FROM hourly h', '''FROM (SELECT dataid, idx, round(air1, 2) AS air1, round(kitchen1, 2) AS kitchen1,
     round(car1, 2) AS car1, round(solar, 2) AS solar, round(grid, 2) AS grid FROM hourly) h''')}) p
-JOIN placed h ON h.dataid = p.dataid""",
+LEFT JOIN placed h ON h.dataid = p.dataid""",
+    "csv_readings_by_name": f"""
+WITH {HOURLY} SELECT h.dataid, s.ts, air1, kitchen1, car1, solar, grid FROM hourly h JOIN spine s ON s.idx = h.idx""",
+    "log_tree_curves": f"""
+WITH {LOGS} SELECT appliance, epoch, round(avg(mae), 9) AS mae, round(avg(rmse), 9) AS rmse FROM logs GROUP BY 1, 2""",
+    "evaluation_tree_summary": f"""
+WITH {LOGS} SELECT CAST(user_id AS VARCHAR) AS household, round(avg(mae), 9) AS mae_mean, round(avg(rmse), 9) AS rmse_mean,
+       round(stddev_samp(mae), 9) AS mae_std, round(stddev_samp(rmse), 9) AS rmse_std FROM logs GROUP BY 1""",
+    "preprocess_levels": f"""
+WITH {ORDER_LEVELS}
+SELECT name, entity, idx AS "index", round(v, 4) AS value FROM levels UNION ALL
+SELECT 'normalized_' || name, entity, idx,
+       round((v - avg(v) OVER (PARTITION BY name)) / stddev_samp(v) OVER (PARTITION BY name), 4) FROM levels""",
+    "generated_metadata": f"""
+WITH {ORDER_LEVELS}
+SELECT p.dataid, city, state, segment, min_time, max_time, o.n AS n_readings, CAST(delta_year AS INTEGER) AS delta_year,
+       community, TRUE AS price
+FROM placed p JOIN (SELECT o_custkey AS dataid, count(*) AS n FROM orders GROUP BY 1) o ON o.dataid = p.dataid""",
+    "profile_source_metadata": f"""
+WITH {ORDER_LEVELS}
+SELECT o.dataid, city, state, segment, n AS n_readings
+FROM (SELECT o_custkey AS dataid, count(*) AS n FROM orders GROUP BY 1) o LEFT JOIN located l ON l.dataid = o.dataid""",
     "matrix_roundtrip": f"""
 WITH {BASE}, {TARGETS} SELECT c.city, t.win, t.h, round(c.total, 7) AS y_hat FROM targets t JOIN city c ON c.idx = t.idx - 24""",
 }

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterload import fixtures as fx
-from meterload.config import FEATURES
+from meterload.config import FEATURES, LEVELS
 from meterload.functions.features import calendar_columns, scale_calendar
 from meterload.functions.time import grid_time
 from meterload.operators import bottomup, evaluate, hierarchy, report, splits, windows
@@ -29,7 +29,7 @@ from meterload.operators.forecast import (
 )
 from meterload.operators.grid import align_readings, expose_gaps, time_spine
 from meterload.operators.normalize import normalize_level, zscore
-from meterload.operators.profile import align_years, display_profile, profile_readings
+from meterload.operators.profile import add_source_metadata, align_years, display_profile, profile_readings
 from meterload.operators.rollup import (
     city_totals,
     community_totals,
@@ -39,8 +39,16 @@ from meterload.operators.rollup import (
     with_features,
 )
 from meterload.operators.search import best_candidates, forecast_with_best, score_candidates
+from meterload.plans import experiment
+from meterload.plans.preprocess import Store, build_levels, preprocess
 from meterload.session import scratch_path
-from meterload.sources.csv import read_profile_csv, read_readings, read_source_metadata
+from meterload.sources.csv import (
+    read_evaluations,
+    read_profile_csv,
+    read_readings,
+    read_source_metadata,
+    read_training_logs,
+)
 from meterload.sources.forecasts import long_form, read_forecasts, read_matrix, write_forecasts, write_matrix
 from meterload.sources.tables import read_entities, read_entity, read_table, stored, write_table
 
@@ -333,10 +341,19 @@ def _describe(name: str, values: Column) -> list[Column]:
     ]
 
 
+def _fields() -> list[Column]:
+    """All eight fields of an input array: the target by sum and ends, each feature by its sum."""
+    columns = _describe("x", F.col("x.y"))
+    for name in FEATURES:
+        total = F.aggregate(F.col(f"x.{name}"), F.lit(0.0), lambda acc, v: acc + v)
+        columns.append(F.round(total, 4).alias(f"sum_{name}"))
+    return columns
+
+
 def input_windows(spark, folder):
     series = _feature_series(spark, folder)
     cut = windows.input_windows(series, ["city"], "scaled", CFG, 1, CFG.last_window)
-    return cut.select("city", "win", *_describe("x", F.col("x.y")), *_describe("hour", F.col("x.hourofday")))
+    return cut.select("city", "win", *_fields())
 
 
 def output_windows(spark, folder):
@@ -346,8 +363,30 @@ def output_windows(spark, folder):
 
 def training_pairs(spark, folder):
     pairs = windows.training_pairs(
-        _feature_series(spark, folder), ["city"], "total", "scaled", CFG, 1, CFG.last_train_window, block=64)
-    return pairs.select("city", "win", *_describe("x", F.col("x.y")), *_describe("y", F.col("y")))
+        _feature_series(spark, folder), ["city"], "total", "scaled", CFG, 1, CFG.last_train_window)
+    return pairs.select("city", "win", *_fields(), *_describe("y", F.col("y")))
+
+
+def _appliance_tables(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw and normalised appliance tables with features, and the household map."""
+    meta = stored(fx.metadata(spark, folder), "metadata")
+    raw = stored(add_time(fx.appliance_table(spark, folder, meta), CFG), "appliance")
+    return raw, normalize_level(raw, "appliance", CFG), hierarchy.household_map(meta, CFG)
+
+
+def appliance_input_windows(spark, folder):
+    """Normalised input windows of every appliance over the test period."""
+    raw, scaled, homes = _appliance_tables(spark, folder)
+    cut = windows.appliance_pairs(raw, scaled, homes, CFG, FIRST, LAST, with_output=False)
+    return cut.select("dataid", "sensor", "win", *_fields())
+
+
+def appliance_training_pairs(spark, folder):
+    """Normalised inputs and raw outputs of every appliance over the last training windows."""
+    raw, scaled, homes = _appliance_tables(spark, folder)
+    first = CFG.last_train_window - 60
+    cut = windows.appliance_pairs(raw, scaled, homes, CFG, first, CFG.last_train_window)
+    return cut.select("dataid", "sensor", "win", *_fields(), *_describe("y", F.col("y")))
 
 
 def actual_windows(spark, folder):
@@ -524,14 +563,17 @@ def training_curve(spark, folder):
 
 
 def training_curve_levels(spark, folder):
-    """Curves of households and cities: logs of a user, and of the users of a region."""
+    """Curves of households, communities and cities: logs of a user, and of the users of each."""
     logs = report.key_from_path(fx.training_logs(spark, folder), "household")
     logs = logs.withColumn("dataid", F.col("household").cast("bigint"))
-    household = logs.groupBy("dataid", "epoch").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"))
-    placed = household.join(fx.households(spark, folder).select("dataid", "city"), "dataid")
-    city = placed.groupBy("city", "epoch").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"))
-    levels = household.select(F.lit("household").alias("level"), "epoch", "mae", "rmse").unionByName(
-        city.select(F.lit("city").alias("level"), "epoch", "mae", "rmse"))
+    means = F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse")
+    household = logs.groupBy("dataid", "epoch").agg(*means)
+    city = household.join(fx.households(spark, folder).select("dataid", "city"), "dataid")
+    community = household.join(fx.placed_households(spark, folder).select("dataid", "community"), "dataid")
+    levels = household.select(F.lit("household").alias("level"), "epoch", "mae", "rmse")
+    for level, rows in (("community", community), ("city", city)):
+        grouped = rows.groupBy(level, "epoch").agg(*means)
+        levels = levels.unionByName(grouped.select(F.lit(level).alias("level"), "epoch", "mae", "rmse"))
     return report.curve_by_level(levels).select("level", "epoch", _r("mae", 9), _r("rmse", 9))
 
 
@@ -615,7 +657,7 @@ def csv_profile_roundtrip(spark, folder):
     descriptor.unionByName(homes).write.option("header", True).csv(f"{path}/metadata")
 
     source = read_source_metadata(spark, f"{path}/metadata")
-    profile = profile_readings(read_readings(spark, f"{path}/readings", CFG), CFG).join(source, "dataid")
+    profile = add_source_metadata(profile_readings(read_readings(spark, f"{path}/readings", CFG), CFG), source)
     shown = display_profile(profile, CFG).withColumns({
         "delta_year": F.lit(0), "community": F.lit(0),
         "egauge_1min_min_time": F.col("egauge_1min_min_time").cast("string"),
@@ -624,7 +666,7 @@ def csv_profile_roundtrip(spark, folder):
     shown.write.option("header", True).csv(f"{path}/profile")
     back = read_profile_csv(spark, f"{path}/profile", CFG)
     return back.select(
-        "dataid", "city", F.col("egauge_1min_min_time").alias("min_time"),
+        "dataid", "city", F.col("egauge_1min_min_time").alias("min_time"), F.col("egauge_1min_max_time").alias("max_time"),
         F.col("egauge_1min_data_availability").alias("availability"), "aggregation_abs_error_max", *CFG.sensors)
 
 
@@ -636,6 +678,121 @@ def matrix_roundtrip(spark, folder):
     return _long(read_matrix(spark, f"{path}/city=*", ["city"], FIRST), ["city"])
 
 
+# --- files ---------------------------------------------------------------------------------------
+
+def csv_readings_by_name(spark, folder):
+    """Readings of two folders with other column orders and other texts for missing values."""
+    path = scratch_path(spark, "by-name")
+    readings = fx.hourly_readings(spark, folder).withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("+00")))
+    for part, columns, missing in (
+        (0, ["dataid", "ts", *CFG.sensors], "NaN"), (1, [*reversed(CFG.sensors), "ts", "dataid"], "NA"),
+    ):
+        rows = readings.where(F.col("dataid") % 2 == part).select(*columns)
+        rows.write.option("header", True).option("nullValue", missing).csv(f"{path}/part{part}")
+    return read_readings(spark, f"{path}/part*/*.csv", CFG).withColumn("dataid", F.col("dataid").cast("bigint"))
+
+
+def log_tree_curves(spark, folder):
+    """Training logs in a tree of one folder per household and appliance, read by a pattern."""
+    path = scratch_path(spark, "logs")
+    logs = report.key_from_path(report.key_from_path(fx.training_logs(spark, folder), "household"), "appliance")
+    rows = logs.selectExpr("household", "appliance", "epoch", "mae AS loss", "rmse AS root_mean_squared_error")
+    rows.repartition("household", "appliance").write.partitionBy("household", "appliance").option("header", True).csv(path)
+    back = report.key_from_path(read_training_logs(spark, f"{path}/household=*/appliance=*/*.csv"), "appliance")
+    return report.curve_by_appliance(back).select("appliance", "epoch", _r("mae", 9), _r("rmse", 9))
+
+
+def evaluation_tree_summary(spark, folder):
+    """Evaluation files anywhere below a folder, summarised per household."""
+    path = scratch_path(spark, "evaluations")
+    logs = report.key_from_path(fx.training_logs(spark, folder), "household")
+    rows = logs.select("household", "mae", "rmse")
+    rows.repartition("household").write.partitionBy("household").option("header", True).csv(f"{path}/deep/down")
+    back = report.key_from_path(read_evaluations(spark, path, "*.csv"), "household")
+    summary = evaluate.summarize_table(back, ["household"])
+    return summary.select("household", *[_r(c, 9) for c in ("mae_mean", "rmse_mean", "mae_std", "rmse_std")])
+
+
+# --- whole pipelines -----------------------------------------------------------------------------
+
+def _order_run(spark, folder) -> dict[str, DataFrame]:
+    """`preprocess` over CSV files of the orders; every seventh customer has no metadata."""
+    path = scratch_path(spark, "orders")
+    readings = fx.order_readings(spark, folder).withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("+00")))
+    for part, columns in ((0, ["dataid", "ts", "price"]), (1, ["price", "ts", "dataid"])):
+        readings.where(F.col("dataid") % 2 == part).select(*columns).write.option("header", True).csv(f"{path}/part{part}")
+    fx.customers(spark, folder).where("dataid % 7 <> 0").selectExpr(
+        "CAST(dataid AS STRING) AS dataid", "segment", "city", "state").write.option("header", True).csv(f"{path}/metadata")
+    return preprocess(
+        spark, f"{path}/part*/*.csv", f"{path}/metadata", Store(f"{path}/out"), fx.ORDERS, extra=["segment"])
+
+
+def preprocess_levels(spark, folder):
+    """All four level tables and their normalised copies, from CSV."""
+    tables, rows = _order_run(spark, folder), None
+    for name in [*LEVELS, *[f"normalized_{level}" for level in LEVELS]]:
+        level = name.removeprefix("normalized_")
+        key = F.col(bottomup.ENTITY_KEYS[level][0]).cast("string")
+        value = "price" if level == "appliance" else "total"
+        part = tables[name].select(F.lit(name).alias("name"), key.alias("entity"), "index", F.round(value, 4).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def generated_metadata(spark, folder):
+    """Profile, year shift, delivered metadata with an extra column, and communities, from CSV."""
+    meta = _order_run(spark, folder)["metadata"]
+    return meta.select(
+        F.col("dataid").cast("bigint").alias("dataid"), "city", "state", "segment", "min_time", "max_time", "n_readings",
+        "delta_year", "community", "price")
+
+
+def profile_source_metadata(spark, folder):
+    """Profiles beside the delivered metadata; households without any stay, with NULLs."""
+    source = fx.customers(spark, folder).where("dataid % 7 <> 0")
+    profile = profile_readings(fx.order_readings(spark, folder), fx.ORDERS)
+    return add_source_metadata(profile, source, ["segment"]).select("dataid", "city", "state", "segment", "n_readings")
+
+
+def _run(spark, folder, levels=LEVELS, city: str | None = None, **choice) -> tuple[Store, dict[str, DataFrame]]:
+    """Level tables built by the pipeline, then `evaluate` on them."""
+    store = Store(scratch_path(spark, "run"))
+    tables = build_levels(spark, fx.hourly_readings(spark, folder), stored(fx.metadata(spark, folder), "metadata"), store, CFG)
+    scope = hierarchy.subtree(tables["metadata"], city=city) if city else None
+    return store, experiment.evaluate(spark, tables, store, "run", CFG, levels=levels, scope=scope, **choice)
+
+
+def _report(rows: DataFrame) -> DataFrame:
+    return rows.select("base_level", "level", *[_r(c) for c in ("mae_mean", "rmse_mean", "mae_std", "rmse_std")])
+
+
+def evaluate_pipeline(spark, folder):
+    return _report(_run(spark, folder, models=MODELS)[1]["report"])
+
+
+def evaluate_without_appliances(spark, folder):
+    return _report(_run(spark, folder, LEVELS[1:], models=MODELS)[1]["report"])
+
+
+def evaluate_subtree(spark, folder):
+    """The same on the households of one city."""
+    return _report(_run(spark, folder, LEVELS[1:], city="ASIA", models=MODELS)[1]["report"])
+
+
+def evaluation_sink(spark, folder):
+    """Stored evaluation rows of household forecasts at every level."""
+    store, _ = _run(spark, folder, ("household",), models=MODELS)
+    table = spark.read.parquet(store.run("run", "evaluation"))
+    return table.select("level", _entity(), "win", _r("mae"), _r("rmse"))
+
+
+def report_csv(spark, folder):
+    """The level report as CSV, read back."""
+    store, _ = _run(spark, folder, ("community", "city"), models=MODELS)
+    schema = "base_level STRING, level STRING, mae_mean DOUBLE, rmse_mean DOUBLE, mae_std DOUBLE, rmse_std DOUBLE"
+    return _report(spark.read.schema(schema).option("header", True).csv(store.run("run", "level_report")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -652,7 +809,9 @@ QUERIES: dict[str, Query] = {
         training_curve_by_appliance, training_curve, training_curve_levels, mean_load, std_load,
         std_load_appliance, roundtrip_partitioned, roundtrip_bucketed, roundtrip_append,
         read_entity_bucketed, roundtrip_overwritten_partitions,
-        csv_profile_roundtrip, matrix_roundtrip,
+        csv_profile_roundtrip, matrix_roundtrip, csv_readings_by_name, log_tree_curves, evaluation_tree_summary,
+        preprocess_levels, generated_metadata, profile_source_metadata, evaluate_pipeline, evaluate_without_appliances,
+        evaluate_subtree, evaluation_sink, report_csv, appliance_input_windows, appliance_training_pairs,
     )
 }
 QUERIES.update({f"bottomup_{base}": _bottomup(base) for base in MODELS})
