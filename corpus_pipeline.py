@@ -1,7 +1,8 @@
 """From raw documents to a training mix: five stages, each written as Parquet and read again by the next.
 
 * language: documents go whose text is null, has no letter or is in none of the languages learned;
-* near_duplicates: one document of each class stays, the one with the smallest doc_id;
+* near_duplicates: of documents whose texts are equal or similar (SimHash candidates within 10 bits, verified by a
+  Jaccard similarity of at least 0.8 of their five-word shingles) the one with the smallest doc_id stays;
 * decontaminate: documents that contain a benchmark item go;
 * pseudonyms: personal data in the texts is replaced; no document goes;
 * mix: each document is emitted as often as the target weight of its source asks for.

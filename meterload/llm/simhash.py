@@ -13,7 +13,7 @@ Search for pairs within `max_bits` differing bits, over distinct fingerprints:
 3. Signatures: both sides of a pair flip up to half of T_i bits of partition i, so they meet in a bucket.
    Buckets of one are dropped by a count, large ones are cut into blocks, and pairs of blocks go to
    different tasks, each of a bounded number of rows.
-4. Every bucket is verified on whole fingerprints. What leaves it is its links if it is small, else a spanning
+4. Every bucket is verified on whole fingerprints. What leaves it is its links if they are few, else a spanning
    forest of them: the same components, but never all pairs of a dense group.
 5. Components by star contraction; a class is named by its smallest doc_id.
 
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from meterload.llm.common import as_bytes, map_arrow, words_of
 from meterload.llm.components import components
+from meterload.llm.decontaminate import shingle_hashes
 from meterload.sources.tables import stored
 
 BITS = 64
@@ -43,8 +44,8 @@ BITS = 64
 BLOCK = 4096
 #: A signature row costs about as much as verifying so many pairs.
 ROW_COST = 50.0
-#: Buckets up to this size give all their links, larger ones a spanning forest.
-SMALL = 16
+#: Buckets up to this size are compared side by side, larger ones breadth first.
+SHIFTS = 128
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -68,13 +69,16 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, tag, fp) of every row; tag is a hash of the whole row, fp the fingerprint as a signed long."""
+    """(doc_id, tag, text_hash, fp) of every row; tag is a hash of the whole row, fp the fingerprint as a signed
+    long."""
     def one(batch: pa.RecordBatch) -> dict[str, list]:
         found = np.array([fingerprint(t, shingle) for t in as_bytes(batch, "text")], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "fp": found.view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "text_hash": batch.column("text_hash"),
+                "fp": found.view(np.int64)}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_tag(docs).alias("tag"), "text")
-    return map_arrow(rows, one, "doc_id long, tag long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_tag(docs).alias("tag"),
+                       F.xxhash64("text").alias("text_hash"), "text")
+    return map_arrow(rows, one, "doc_id long, tag long, text_hash long, fp long")
 
 
 def row_tag(docs: DataFrame) -> Column:
@@ -128,7 +132,8 @@ def allocate(n: int, both: np.ndarray, groups: Sequence[Sequence[int]], max_bits
     """Least estimated cost and its thresholds, which add up to max_bits - len(groups) + 1."""
     mean = np.diag(both) / max(n, 1)
     differ = 2 * mean * (1 - mean)
-    pairs = n * (n - 1) / 2
+    rows = max(n, 1)  # signatures cost something even where there are none yet
+    pairs = rows * (rows - 1) / 2
     costs = []
     for group in groups:
         chance = np.array([1.0])  # of 0, 1, 2, ... differing bits
@@ -136,7 +141,7 @@ def allocate(n: int, both: np.ndarray, groups: Sequence[Sequence[int]], max_bits
             chance = np.convolve(chance, [1 - differ[b], differ[b]])
         within = np.cumsum(chance)
         costs.append([0.0] + [
-            pairs * within[min(t, len(group))] + ROW_COST * n * _ball(len(group), (t + 1) // 2)
+            pairs * within[min(t, len(group))] + ROW_COST * rows * _ball(len(group), (t + 1) // 2)
             for t in range(max_bits + 1)])  # position t + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:
@@ -189,25 +194,32 @@ def _forest(values: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.
 
 
 def _links(groups: np.ndarray, values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal `groups`."""
+    """Links within runs of equal `groups`: all of them where they are few, else a spanning forest."""
     starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     sizes = np.diff(np.append(starts, len(groups)))
     left = (starts + sizes).repeat(sizes) - np.arange(len(groups)) - 1  # rows of the run after this one
-    small = sizes.repeat(sizes) <= SMALL
-    a, b = [], []
-    for step in range(1, SMALL):
-        at = np.flatnonzero(small & (left >= step))
+    run = np.arange(len(starts)).repeat(sizes)
+    left[sizes[run] > SHIFTS] = 0
+    a, b, found = [], [], np.zeros(len(starts), np.int64)
+    at = np.flatnonzero(left >= 1)
+    for step in range(1, SHIFTS):
+        at = at[left[at] >= step]
         if not len(at):
             break
-        near = np.bitwise_count(values[at] ^ values[at + step]) <= max_bits
-        a.append(values[at[near]])
-        b.append(values[at[near] + step])
-    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+        near = at[np.bitwise_count(values[at] ^ values[at + step]) <= max_bits]
+        a.append(near)
+        b.append(near + step)
+        found += np.bincount(run[near], minlength=len(starts))
+    none = np.empty(0, np.int64)
+    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+    dense = (sizes > SHIFTS) | (found > 2 * sizes)
+    few = ~dense[run[a]]
+    left_ends, right_ends = [values[a[few]]], [values[b[few]]]
+    for start, size in zip(starts[dense].tolist(), sizes[dense].tolist()):
         for x, y in _forest(values[start: start + size], max_bits):
-            a.append(x)
-            b.append(y)
-    none = np.empty(0, np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+            left_ends.append(x)
+            right_ends.append(y)
+    return np.concatenate(left_ends), np.concatenate(right_ends)
 
 
 def links(prints: DataFrame, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4)) -> DataFrame:
@@ -254,28 +266,63 @@ def links(prints: DataFrame, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4)
 
 
 def classes(docs: DataFrame, shingle: int = 4, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4)) -> DataFrame:
-    """(doc_id, tag, fp, root, component_id) of every row: its fingerprint, the fingerprint that stands for its
-    class, and the smallest doc_id of the class."""
+    """(doc_id, fp, component_id) of every row: its fingerprint and the smallest doc_id of its class."""
     rows = stored(fingerprints(docs, shingle), "simhash")
     first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(links(first, max_bits, parts))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = named.join(least, "root").select("fp", "root", "component_id")
-    names = first.join(linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"),
-        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(names, "fp").select("doc_id", "tag", "fp", "root", "component_id")
+    names = first.join(linked, "fp", "left").select("fp", F.when(
+        F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Written, so that the join below has two plain shuffles and Spark can split a fingerprint of very many rows.
+    return rows.join(stored(names, "simhash-names"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **rule) -> DataFrame:
-    """The rows of `docs` without near duplicates: of each class the row with the smallest doc_id (null last; of
-    rows that share it the one with the smallest hash of all columns, and of equal rows one)."""
+def _jaccard(a: Column, b: Column) -> Column:
+    """Of two sets as arrays; two texts without words are the same."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(
+        shared / (F.size(a) + F.size(b) - shared))
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = 5, max_bits: Sequence[int] = (10, 4), similarity: float = 0.8,
+    parts: Sequence[int] = (2, 3, 4, 5),
+) -> DataFrame:
+    """The rows of `docs` without near duplicates, equal texts included.
+
+    Fingerprints find the candidates, exact Jaccard similarity of five-word shingles decides. Texts are grouped by
+    the components of fingerprints within max_bits[0]; each text is compared with the one of its group that has
+    the smallest doc_id, and goes if they are similar. Those that are not similar to it are grouped once more, by
+    the next, narrower max_bits. So every text that goes is similar to one that stays or to one that went for the
+    same reason, and a text that only shares a fingerprint stays.
+
+    Order within a group: null doc_id last, then doc_id, then the hash of all columns; of equal rows one stays.
+    """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    winners = stored(
-        classes(docs, **rule).groupBy("root").agg(F.min(order).alias("w")).select(
-            F.col("w.doc_id").alias("_class_id"), F.col("w.tag").alias("_class_tag")), "simhash-winners")
-    tagged = docs.withColumn("_row_tag", row_tag(docs))
-    same = F.col("_row_tag") == F.col("_class_tag")
-    kept = tagged.join(winners, same & F.col("doc_id").cast("long").eqNullSafe(F.col("_class_id")), "left_semi")
+    texts = stored(
+        fingerprints(docs, shingle).groupBy("text_hash", "fp").agg(F.min(order).alias("place")), "distinct-texts")
+    open_, gone, sets = texts, None, None
+    for bits in max_bits:
+        prints = stored(open_.select("fp").distinct(), "open-prints")
+        roots = stored(components(links(prints, bits, parts)), "open-roots").withColumnRenamed("node", "fp")
+        grouped = open_.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        heads = stored(grouped.groupBy("root").agg(
+            F.min_by("text_hash", "place").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+        pairs = stored(grouped.join(heads, "root").where("text_hash <> head").select("text_hash", "fp", "place", "head"), "pairs")
+        if sets is None:  # later rounds look at some of the same texts
+            wanted = pairs.select("text_hash").union(pairs.select("head")).distinct()
+            found = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi")
+            sets = stored(found.dropDuplicates(["text_hash"]).select(
+                "text_hash", F.array_distinct(shingle_hashes(F.col("text"))).alias("set")), "shingle-sets")
+        both = pairs.join(sets, "text_hash").join(
+            sets.select(F.col("text_hash").alias("head"), F.col("set").alias("head_set")), "head")
+        judged = stored(both.select(
+            "text_hash", "fp", "place", (_jaccard(F.col("set"), F.col("head_set")) >= similarity).alias("same")), "judged")
+        same = judged.where("same").select("text_hash")
+        gone = same if gone is None else gone.union(same)
+        open_ = judged.where("not same").select("text_hash", "fp", "place")
+    winners = stored(texts.join(gone, "text_hash", "left_anti").select(F.col("place.tag").alias("_row_tag")), "winners")
+    kept = docs.withColumn("_row_tag", row_tag(docs)).join(winners, "_row_tag", "left_semi")
     return kept.dropDuplicates(["_row_tag"]).drop("_row_tag")

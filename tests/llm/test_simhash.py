@@ -26,8 +26,8 @@ def slow_fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(parts))
 
 
-def slow_classes(rows, bits=4):
-    prints = [slow_fingerprint(r[1]) for r in rows]
+def slow_classes(rows, bits=4, shingle=4):
+    prints = [slow_fingerprint(r[1], shingle) for r in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -46,6 +46,30 @@ def slow_classes(rows, bits=4):
     return sorted((str(rows[i][0]), prints[i], str(ids.get(find(i)))) for i in range(len(rows)))
 
 
+def slow_one_of_each(rows, rounds=(10, 4), similarity=0.8):
+    """doc_ids that stay, for rows of distinct texts and ids: groups by all pairs, members against the smallest."""
+    import re
+
+    def shingles(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, gone, open_ = {i: shingles(t) for i, t in rows}, set(), list(rows)
+    for bits in rounds:
+        groups = {}
+        for i, _, c in slow_classes(open_, bits, 5):
+            groups.setdefault(c, []).append(int(i))
+        left = set()
+        for members in groups.values():
+            head = sets[min(members)]
+            for i in set(members) - {min(members)}:
+                union = head | sets[i]
+                same = not union or len(head & sets[i]) / len(union) >= similarity
+                (gone if same else left).add(i)
+        open_ = [r for r in rows if r[0] in left]
+    return sorted({i for i, _ in rows} - gone)
+
+
 def got(df):
     return sorted((str(r.doc_id), r.fp & (2 ** 64 - 1), str(r.component_id)) for r in df.collect())
 
@@ -97,6 +121,38 @@ def test_every_number_of_parts_finds_all_links(spark, parts, monkeypatch):
     assert {v: roots.get(v, v) for v in values} == root
 
 
+def test_one_of_each_matches_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows, n = [], 0
+    for i in range(15):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((4, 30, 150, 150, 600)))]
+        for _ in range(rng.choice((1, 2, 12))):
+            near = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, len(base) // 6))):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            n += 1
+            rows.append((n, " ".join([*near, "." * n])))  # texts differ at least in a word without letters
+    rows.append((900, "same line\n" * 200 + " ".join(rng.choice(vocabulary) for _ in range(60))))
+    rows.append((901, "same line\n" * 200 + " ".join(rng.choice(vocabulary) for _ in range(60))))
+    df = spark.createDataFrame([(i, t, "k", "clash") for i, t in rows], SCHEMA)
+    kept = simhash.one_of_each(df.union(df))
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == slow_one_of_each(rows)
+    assert {900, 901} <= set(slow_one_of_each(rows))
+
+
+def test_dense_and_large_buckets_keep_their_components():
+    rng = np.random.default_rng(1)
+    near = np.unique(np.array([7 ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (400, 2))], np.uint64))
+    far = rng.integers(0, 2 ** 63, 100).astype(np.uint64)
+    values = np.concatenate([near, far, near[:20]])
+    groups = np.repeat([1, 2, 3], [len(near), len(far), 20])
+    a, b = simhash._links(groups, values, 4)
+    assert len(a) < 2 * len(values) and (np.bitwise_count(a ^ b) <= 4).all()
+    assert len(np.unique(np.concatenate([a, b]))) == len(near)
+
+
 def test_thresholds_add_up_and_follow_the_data():
     n, both = 1000, np.full((64, 64), 250.0)
     both[:8] = both[:, :8] = 0  # eight bits that never differ
