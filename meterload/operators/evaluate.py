@@ -16,9 +16,16 @@ ENTITY = ["base_level", "level", "city", "community", "dataid", "sensor"]
 
 
 def pair_actuals(forecasts: DataFrame, actuals: DataFrame, level: str) -> DataFrame:
-    """Join forecasts with the actual outputs of the same entity and window."""
+    """Join forecasts with the actual outputs of the same entity and window. A forecast without an actual, or
+    an actual without a forecast, fails: means over the rest would look like results."""
     keys = [*ENTITY_KEYS[level], "win"]
-    return forecasts.join(actuals.select(*keys, "y"), keys)
+    known = actuals.select(*keys, "y")
+    both = forecasts.withColumn("_forecast", F.lit(True)).join(known.withColumn("_actual", F.lit(True)), keys, "full")
+    where = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    missing = F.when(F.col("_actual").isNull(), "no actual for the forecast of ").otherwise("no forecast for the actual of ")
+    matched = F.col("_actual").isNotNull() & F.col("_forecast").isNotNull()
+    checked = F.when(matched, F.col("y")).otherwise(F.raise_error(F.concat(F.lit(f"{level}: "), missing, where)))
+    return both.withColumn("y", checked).drop("_forecast", "_actual")
 
 
 def window_errors(paired: DataFrame, cfg: Config) -> DataFrame:

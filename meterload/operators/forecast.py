@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from meterload.config import Config
+from meterload.config import FEATURES, Config
 from meterload.functions.arrays import array_mean
 
 
@@ -62,7 +62,7 @@ class WindowMean:
 
 @dataclass(frozen=True)
 class LagRegression:
-    """intercept + slope * value `lag` steps earlier; needs columns `slope` and `intercept`."""
+    """intercept + slope * value `lag` steps earlier; `attach_fit` gives windows the coefficients."""
 
     lag: int
 
@@ -75,11 +75,34 @@ class LagRegression:
         return cfg.input_size - self.lag, cfg.output_size
 
     def predict(self, x: Column, cfg: Config, start: int = 0) -> Column:
-        line = lambda v: F.col("intercept") + F.col("slope") * v
+        line = lambda v: F.col(f"_intercept_{self.lag}") + F.col(f"_slope_{self.lag}") * v
         return F.transform(_lagged(x, self.lag, cfg, start), line)
 
 
+@dataclass(frozen=True)
+class GlobalRegression:
+    """One linear model over several lags for all entities of a level."""
+
+    lags: tuple[int, ...]
+
+
+@dataclass(frozen=True)
+class UserModel:
+    """A model in numpy per entity, see `user_model`. `columns` are read from the normalised table: `scaled` is the
+    target, calendar features have their own names, `total` is the raw value."""
+
+    fit_predict: Callable
+    columns: tuple[str, ...] = ("scaled", *FEATURES)
+
+
 Forecaster = SeasonalNaive | WindowMean | LagRegression
+Model = Forecaster | GlobalRegression | UserModel
+
+
+def attach_fit(windows: DataFrame, fits: DataFrame, keys: Sequence[str], lag: int) -> DataFrame:
+    """Windows beside the coefficients (keys, slope, intercept) of a fitted LagRegression."""
+    named = fits.select(*keys, F.col("slope").alias(f"_slope_{lag}"), F.col("intercept").alias(f"_intercept_{lag}"))
+    return windows.join(named, list(keys))
 
 
 def input_part(models: Sequence[Forecaster], cfg: Config) -> tuple[int, int]:
@@ -118,21 +141,42 @@ def training_targets(cfg: Config) -> tuple[int, int]:
     return cfg.input_size + 1, cfg.boundary
 
 
+def target_weight(index: Column, cfg: Config, held_out: Callable[[Column], Column]) -> Column:
+    """Number of training windows, those held out excepted, that have a grid index among their outputs."""
+    low = F.greatest(index - cfg.input_size - cfg.output_size + 1, F.lit(1))
+    high = F.least(index - cfg.input_size, F.lit(cfg.last_train_window))
+    wins = F.filter(F.sequence(low, high), lambda w: ~held_out(w))
+    return F.when(low <= high, F.size(wins)).otherwise(0).cast("double")
+
+
+def _line(y: str, x: str, weight: str | None) -> tuple[Column, Column]:
+    """Slope and intercept of a least-squares line as aggregates; a constant input gives slope 0 and the mean."""
+    if weight is None:
+        slope, intercept = F.regr_slope(y, x), F.regr_intercept(y, x)
+        return F.coalesce(slope, F.lit(0.0)), F.coalesce(intercept, F.avg(y))
+    w, v, u = F.col(weight), F.col(x), F.col(y)
+    n, sx, sy = F.sum(w), F.sum(w * v), F.sum(w * u)
+    slope = F.coalesce(F.try_divide(n * F.sum(w * v * u) - sx * sy, n * F.sum(w * v * v) - sx * sx), F.lit(0.0))
+    return slope, F.try_divide(sy - slope * sx, n)
+
+
 def fit_lag_regression(
-    series: DataFrame, keys: Sequence[str], target: str, lag: int, cfg: Config
+    series: DataFrame, keys: Sequence[str], target: str, lag: int, cfg: Config,
+    held_out: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """(keys, slope, intercept) per entity; a constant input gives slope 0 and the mean."""
+    """(keys, slope, intercept) per entity. With `held_out`, a rule on window numbers, each target counts as often as
+    training windows that are not held out contain it."""
     _check_lag(lag, cfg)
     pairs = lag_pairs(series, keys, target, lag, *training_targets(cfg))
-    slope, intercept = F.regr_slope("y", "y_lag"), F.regr_intercept("y", "y_lag")
-    return pairs.groupBy(*keys).agg(
-        F.coalesce(slope, F.lit(0.0)).alias("slope"),
-        F.coalesce(intercept, F.avg("y")).alias("intercept"),
-    )
+    if held_out is not None:
+        pairs = pairs.withColumn("_w", target_weight(F.col("index"), cfg, held_out))
+    slope, intercept = _line("y", "y_lag", "_w" if held_out is not None else None)
+    return pairs.groupBy(*keys).agg(slope.alias("slope"), intercept.alias("intercept"))
 
 
 def fit_appliance_regression(
-    appliance: DataFrame, sensors: Sequence[str], lag: int, cfg: Config
+    appliance: DataFrame, sensors: Sequence[str], lag: int, cfg: Config,
+    held_out: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(dataid, sensor, slope, intercept) from the wide appliance table: one window and one grouped
     aggregate for all sensors, unpivoted when only one row per household is left."""
@@ -141,14 +185,12 @@ def fit_appliance_regression(
     order = Window.partitionBy("dataid").orderBy("index")
     needed = appliance.where(F.col("index").between(first - lag, last))
     lagged = needed.select("dataid", "index", *sensors, *[F.lag(s, lag).over(order).alias(f"{s}_lag") for s in sensors])
-    fits = [
-        F.struct(
-            F.lit(s).alias("sensor"),
-            F.coalesce(F.regr_slope(s, f"{s}_lag"), F.lit(0.0)).alias("slope"),
-            F.coalesce(F.regr_intercept(s, f"{s}_lag"), F.avg(s)).alias("intercept"),
-        )
-        for s in sensors
-    ]
+    if held_out is not None:
+        lagged = lagged.withColumn("_w", target_weight(F.col("index"), cfg, held_out))
+    fits = []
+    for s in sensors:
+        slope, intercept = _line(s, f"{s}_lag", "_w" if held_out is not None else None)
+        fits.append(F.struct(F.lit(s).alias("sensor"), slope.alias("slope"), intercept.alias("intercept")))
     grouped = lagged.where(F.col("index") >= first).groupBy("dataid").agg(F.array(*fits).alias("fits"))
     return grouped.select("dataid", F.inline("fits"))
 
@@ -220,7 +262,11 @@ def user_model(
         import pandas as pd
 
         pdf = pdf.sort_values("index")
-        first = int(pdf["index"].iloc[0])
+        first, index = int(pdf["index"].iloc[0]), pdf["index"].to_numpy()
+        # Windows are views by position: a late start, a gap or a short series would shift them unnoticed.
+        if first > train[0] or index[-1] < predict[1] + n_in - 1 or (np.diff(index) != 1).any():
+            raise ValueError(f"{dict(zip(key_names, group))}: the series must run without gaps from {train[0]} "
+                             f"to {predict[1] + n_in - 1}; it has {len(index)} rows from {first} to {int(index[-1])}")
         inputs = np.lib.stride_tricks.sliding_window_view(
             pdf[names].to_numpy(dtype="float64"), n_in, axis=0).transpose(0, 2, 1)
         outputs = np.lib.stride_tricks.sliding_window_view(pdf[target].to_numpy(dtype="float64"), n_out)

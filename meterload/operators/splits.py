@@ -55,10 +55,11 @@ def kfold_windows(spark: SparkSession, cfg: Config, folds: int | None = None) ->
 
 def holdout(win: Column, cfg: Config, seed: int = 0, method: str = "hash") -> Column:
     """TRUE for about `val_fraction` of the windows. Decided per window, so every task and every
-    retry agrees; "modulo" is the same rule in arithmetic any SQL engine has."""
+    retry agrees: by an MD5 of seed and window, or by arithmetic ("modulo")."""
     percent = round(cfg.val_fraction * 100)
     if method == "hash":
-        return F.pmod(F.xxhash64(win, F.lit(seed)), F.lit(100)) < percent
+        digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), win.cast("string")))
+        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(100)) < percent
     return F.pmod(win.cast("bigint") * 7919 + seed, F.lit(100)) < percent
 
 

@@ -7,37 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterload.config import LEVELS, Config
+from meterload.config import FEATURES, LEVELS, Config
 from meterload.operators.bottomup import ENTITY_KEYS, PATH_KEYS, bottom_up, stack_levels, tag
-from meterload.operators.evaluate import evaluation_table, level_report, summarize, window_errors
+from meterload.operators.evaluate import evaluation_table, level_report, pair_actuals, summarize_table, window_errors
 from meterload.operators.forecast import (
     Forecaster,
+    GlobalRegression,
     LagRegression,
+    Model,
+    UserModel,
+    apply_global_regression,
+    attach_fit,
     fit_appliance_regression,
+    fit_global_regression,
     fit_lag_regression,
     forecast,
     input_part,
+    user_model,
 )
 from meterload.operators.hierarchy import entity_counts, household_map
 from meterload.operators.report import mean_load, std_load
 from meterload.operators.search import best_candidates, forecast_with_best, score_candidates
 from meterload.operators.splits import holdout
-from meterload.operators.windows import appliance_windows, output_windows, value_windows
+from meterload.operators.windows import appliance_windows, value_windows
+from meterload.plans.actuals import actuals_of, place
 from meterload.plans.preprocess import Store
 from meterload.sources.csv import write_report
 from meterload.sources.forecasts import read_forecasts, write_forecasts
 from meterload.sources.tables import spread
 
 
-def place(df: DataFrame, level: str, metadata: DataFrame) -> DataFrame:
-    """Adds the path above an entity; entities outside `metadata` drop out."""
-    if level == "city":
-        return df.join(metadata.select("city").distinct(), "city", "left_semi")
-    key = ENTITY_KEYS[level][0]
-    path = [c for c in PATH_KEYS[level] if c != key]
-    return df.join(metadata.select(key, *path).distinct(), key)
-
-
 def level_windows(
     tables: dict[str, DataFrame], metadata: DataFrame, level: str, cfg: Config, first: int, last: int,
     keep=None, part: tuple[int, int] | None = None,
@@ -50,47 +49,60 @@ def level_windows(
     return place(cut, level, metadata).select(*PATH_KEYS[level], "win", "x", "y")
 
 
-def level_actuals(
-    tables: dict[str, DataFrame], metadata: DataFrame, level: str, cfg: Config
-) -> DataFrame:
-    """(path keys, win, y): expected outputs over the test windows."""
-    first, last = cfg.test_start, cfg.last_window
+def level_series(tables: dict[str, DataFrame], metadata: DataFrame, level: str, cfg: Config) -> DataFrame:
+    """(path keys, index, total, scaled, features): raw values beside the normalised table of a level, one row
+    per entity and step."""
+    raw, normal, keys = tables[level], tables[f"normalized_{level}"], ENTITY_KEYS[level]
     if level == "appliance":
-        homes = household_map(metadata, cfg)
-        return appliance_windows(tables[level], homes, cfg, first, last, with_input=False)
-    cut = output_windows(tables[level], ENTITY_KEYS[level], "total", cfg, first, last)
-    return place(cut, level, metadata).select(*PATH_KEYS[level], "win", "y")
+        sensors = list(cfg.appliances)
+        raw = raw.select("dataid", "index", *sensors).unpivot(["dataid", "index"], sensors, "sensor", "total")
+        normal = normal.unpivot(["dataid", "index", *FEATURES], sensors, "sensor", "scaled")
+        homes = household_map(metadata, cfg).withColumn("sensor", F.explode("sensors")).drop("sensors")
+        return raw.join(normal, [*keys, "index"]).join(homes, keys)
+    normal = normal.select(*keys, "index", *FEATURES, F.col("total").alias("scaled"))
+    return place(raw.select(*keys, "index", "total").join(normal, [*keys, "index"]), level, metadata)
 
 
-def store_actuals(
-    tables: dict[str, DataFrame], metadata: DataFrame, store: Store, cfg: Config
-) -> None:
-    """Expected outputs of all levels, written once and shared by every aggregation path."""
-    for level in LEVELS:
-        rows = tag(level_actuals(tables, metadata, level, cfg), level, level).drop("base_level")
-        (spread(rows, "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("level").parquet(store.actuals))
+def _fit(tables: dict[str, DataFrame], level: str, lag: int, cfg: Config, held_out=None) -> DataFrame:
+    if level == "appliance":
+        return fit_appliance_regression(tables[level], cfg.appliances, lag, cfg, held_out)
+    return fit_lag_regression(tables[level], ENTITY_KEYS[level], "total", lag, cfg, held_out)
+
+
+def _fitted(
+    windows: DataFrame, tables: dict[str, DataFrame], level: str, models: Sequence[Forecaster], cfg: Config, held_out=None,
+) -> DataFrame:
+    """Windows beside the coefficients of the models that have any."""
+    for model in models:
+        if isinstance(model, LagRegression):
+            windows = attach_fit(windows, _fit(tables, level, model.lag, cfg, held_out), ENTITY_KEYS[level], model.lag)
+    return windows
 
 
 def _predict(
-    tables: dict[str, DataFrame], metadata: DataFrame, level: str, model: Forecaster, cfg: Config
+    tables: dict[str, DataFrame], metadata: DataFrame, level: str, model: Model, cfg: Config
 ) -> DataFrame:
+    keys, first, last = PATH_KEYS[level], cfg.test_start, cfg.last_window
+    if isinstance(model, UserModel):
+        series = level_series(tables, metadata, level, cfg)
+        return user_model(
+            series, keys, cfg, model.fit_predict, model.columns, "total", (1, cfg.last_train_window), (first, last))
+    if isinstance(model, GlobalRegression):
+        series = level_series(tables, metadata, level, cfg)
+        fitted = fit_global_regression(series, keys, "total", model.lags, cfg)
+        windows = level_windows(tables, metadata, level, cfg, first, last).drop("y")
+        return apply_global_regression(windows, keys, fitted, model.lags, cfg)
     start, length = part = input_part([model], cfg)
-    windows = level_windows(tables, metadata, level, cfg, cfg.test_start, cfg.last_window, part=part).drop("y")
-    keys = PATH_KEYS[level]
-    if isinstance(model, LagRegression):
-        if level == "appliance":
-            fits = fit_appliance_regression(tables[level], cfg.appliances, model.lag, cfg)
-        else:
-            fits = fit_lag_regression(tables[level], ENTITY_KEYS[level], "total", model.lag, cfg)
-        windows = windows.join(fits, ENTITY_KEYS[level])
-    return forecast(windows, keys, model, cfg, start)
+    windows = level_windows(tables, metadata, level, cfg, first, last, part=part).drop("y")
+    return forecast(_fitted(windows, tables, level, [model], cfg), keys, model, cfg, start)
 
 
 def _search(
     tables: dict[str, DataFrame], metadata: DataFrame, level: str, candidates: Sequence[Forecaster],
     cfg: Config,
 ) -> tuple[DataFrame, DataFrame]:
+    """Candidates are fitted on training windows that are not held out, scored on those that are; the winner is
+    fitted again on all of them."""
     def held_out(win: Column) -> Column:
         return holdout(win, cfg)
 
@@ -98,14 +110,16 @@ def _search(
     start, length = part = input_part(candidates, cfg)
     last = cfg.last_train_window
     validation = level_windows(tables, metadata, level, cfg, 1, last, keep=held_out, part=part)
+    validation = _fitted(validation, tables, level, candidates, cfg, held_out)
     best = best_candidates(score_candidates(validation, keys, candidates, cfg, start), keys)
     test = level_windows(tables, metadata, level, cfg, cfg.test_start, cfg.last_window, part=part).drop("y")
+    test = _fitted(test, tables, level, candidates, cfg)
     return forecast_with_best(test, keys, best, candidates, cfg, start).drop("candidate"), best
 
 
 def run_level(
     spark: SparkSession, tables: dict[str, DataFrame], metadata: DataFrame, level: str, store: Store,
-    run: str, cfg: Config, model: Forecaster | None = None,
+    run: str, cfg: Config, model: Model | None = None,
     candidates: Sequence[Forecaster] | None = None,
 ) -> None:
     """Forecast the test windows of a level, sum them up the hierarchy, store every level.
@@ -126,49 +140,47 @@ def run_level(
 
 
 def evaluate_stored(
-    spark: SparkSession, store: Store, run: str, cfg: Config, levels: Sequence[str] = LEVELS
+    spark: SparkSession, store: Store, run: str, cfg: Config, metadata: DataFrame, levels: Sequence[str] = LEVELS,
 ) -> dict[str, DataFrame]:
-    """Errors, summaries and the level report of stored forecasts; predicts nothing."""
-    parts = []
+    """Errors, summaries and the level report of stored forecasts; predicts nothing.
+
+    Every forecast must have its actual and every actual of the entities in `metadata` its forecast.
+    """
+    actuals, errors = spark.read.parquet(store.actuals), None
     for base in levels:
         for level in LEVELS[LEVELS.index(base):]:
             forecasts = read_forecasts(spark, store.run(run, "forecasts"), base, level)
-            actuals = spark.read.parquet(store.actuals).where(F.col("level") == level)
-            keys = [*ENTITY_KEYS[level], "win"]
-            paired = forecasts.join(actuals.select(*keys, "y"), keys)
-            parts.append(window_errors(paired.select(*PATH_KEYS[level], "win", "y", "y_hat"), cfg))
-            parts[-1] = tag(parts[-1], base, level)
-    errors = parts[0]
-    for part in parts[1:]:
-        errors = errors.unionByName(part)
+            paired = pair_actuals(forecasts, actuals_of(actuals, level, metadata, cfg), level)
+            part = tag(window_errors(paired.select(*PATH_KEYS[level], "win", "y", "y_hat"), cfg), base, level)
+            errors = part if errors is None else errors.unionByName(part)
     path = store.run(run, "evaluation")
     table = spread(evaluation_table(errors, cfg), "base_level", "level")
     table.write.mode("overwrite").partitionBy("base_level", "level").parquet(path)
-    summary = summarize(errors, cfg)
-    summary.write.mode("overwrite").parquet(store.run(run, "summary"))
+    evaluation = spark.read.parquet(path)
+    summarize_table(evaluation).write.mode("overwrite").parquet(store.run(run, "summary"))
     summary = spark.read.parquet(store.run(run, "summary"))
     report = level_report(summary)
-    write_report(report.orderBy("base_level", "level"), store.run(run, "level_report"))
-    return {"evaluation": spark.read.parquet(path), "summary": summary, "report": report}
+    write_report(report.orderBy("base_level", "level"), store.run(run, "level_report"), single_file=True)
+    return {"evaluation": evaluation, "summary": summary, "report": report}
 
 
 def evaluate(
     spark: SparkSession, tables: dict[str, DataFrame], store: Store, run: str, cfg: Config,
-    models: dict[str, Forecaster] | Forecaster | None = None, levels: Sequence[str] = LEVELS,
+    models: dict[str, Model] | Model | None = None, levels: Sequence[str] = LEVELS,
     candidates: Sequence[Forecaster] | None = None, scope: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Forecast each level, sum upwards, compare with the direct forecasts.
+    """Forecast each level, sum upwards, compare with the direct forecasts and with the actuals that
+    `build_levels` stored.
 
     `levels` picks the base levels; `scope` is metadata restricted to a sub-tree (its sums are
     compared with the actuals of whole communities and cities); `candidates` switches the search
     on, else `models` names one forecaster per level or one for all.
     """
     metadata = tables["metadata"] if scope is None else scope
-    store_actuals(tables, tables["metadata"], store, cfg)
     for level in levels:
         model = models.get(level) if isinstance(models, dict) else models
         run_level(spark, tables, metadata, level, store, run, cfg, model, candidates)
-    return evaluate_stored(spark, store, run, cfg, levels)
+    return evaluate_stored(spark, store, run, cfg, metadata, levels)
 
 
 def load_statistics(tables: dict[str, DataFrame], cfg: Config) -> DataFrame:

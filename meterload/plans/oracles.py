@@ -129,9 +129,23 @@ def _level_rows(base: str, level: str) -> str:
       FROM ({pairs}) GROUP BY {KEYS[level]}, win"""
 
 
-def _errors(base: str) -> str:
+def _drifted(base: str) -> str:
+    """CTE `naive` for the user model: mean training output plus the mean of the normalised input."""
+    keys = KEYS[base]
+    chosen = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""
+z AS (SELECT {keys}, idx, total, (total - avg(total) OVER ()) / stddev_samp(total) OVER () AS z FROM {SERIES[base]}),
+cut AS (SELECT {keys}, idx AS win, avg(z) OVER xs AS x, avg(total) OVER ys AS y FROM z {_frames(keys)}),
+drift AS (SELECT {keys}, avg(y) AS m FROM cut WHERE win <= 493 GROUP BY ALL),
+naive AS (
+  SELECT {chosen}, t.win, t.h, a.total AS y, d.m + c.x AS y_hat
+  FROM targets t JOIN {SERIES[base]} a ON a.idx = t.idx JOIN cut c ON {_same('a', 'c', keys)} AND c.win = t.win
+  JOIN drift d ON {_same('a', 'd', keys)})"""
+
+
+def _errors(base: str, forecasts: str | None = None) -> str:
     above = LEVELS[LEVELS.index(base):]
-    return f"WITH {FULL}, {TARGETS}, {_naive(base)} " + " UNION ALL ".join(_level_rows(base, lv) for lv in above)
+    return f"WITH {FULL}, {TARGETS}, {forecasts or _naive(base)} " + " UNION ALL ".join(_level_rows(base, lv) for lv in above)
 
 
 def _evaluation(base: str) -> str:
@@ -141,11 +155,11 @@ SELECT level, entity, win, round(mae, 4) AS mae,
 FROM ({_errors(base)})"""
 
 
-def _summary(base: str) -> str:
+def _summary(base: str, forecasts: str | None = None) -> str:
     return f"""
 SELECT base_level, level, entity, avg(mae) AS mae_mean, sqrt(sum(sse) / (count(*) * 12)) AS rmse_mean,
        stddev_samp(mae) AS mae_std, CASE WHEN count(*) > 1 THEN 0.0::DOUBLE END AS rmse_std
-FROM ({_errors(base)}) GROUP BY ALL"""
+FROM ({_errors(base, forecasts)}) GROUP BY ALL"""
 
 
 def _described(name: str, expr: str, frame: str) -> str:
@@ -206,6 +220,9 @@ scaled AS (
 FEATURE_NAMES = ("dayofyear", "season", "month", "dayofweek", "hourofday", "minuteofhour", "typeofday")
 FIELD_SUMS = ", ".join(f'round(sum("{f}") OVER xs, 4) AS sum_{f}' for f in FEATURE_NAMES)
 
+# The default rule for held-out windows.
+HELD_OUT = "('0x' || substr(md5('0:' || win), 1, 8))::BIGINT % 100 < 20"
+
 LOAD = """
 load AS (
   SELECT w.i AS win, count(e.idx) AS n_events FROM range(1, 721) w(i)
@@ -458,6 +475,66 @@ LEFT JOIN community p ON p.community = a.community AND b.candidate LIKE 'naive_%
   AND p.idx = a.idx - TRY_CAST(replace(b.candidate, 'naive_', '') AS INTEGER)
 LEFT JOIN means m ON m.community = a.community AND m.win = t.win
 GROUP BY 1, 2""",
+    "validation_holdout_hash": f"""
+WITH {LOAD} SELECT CASE WHEN {HELD_OUT} THEN 'validation' ELSE 'train' END AS split,
+       CAST(win AS INTEGER) AS win, n_events FROM load WHERE win <= 493""",
+    "candidate_search_fitted": f"""
+WITH {BASE}, {TARGETS},
+steps AS (SELECT CAST(i AS INTEGER) AS h FROM range(0, 12) t(i)),
+wins AS (SELECT win, {HELD_OUT} AS held FROM (SELECT CAST(i AS INTEGER) AS win FROM range(1, 494) t(i))),
+means AS (SELECT city, idx AS win, avg(total) OVER xs AS m FROM city {_frames('city')}),
+lags AS (SELECT * FROM (VALUES (24), (48)) l(lag)),
+early AS (
+  SELECT a.city, lag, regr_slope(a.total, b.total) AS s, regr_intercept(a.total, b.total) AS i
+  FROM wins w, steps h, lags JOIN city a ON a.idx = w.win + 72 + h.h JOIN city b ON b.city = a.city AND b.idx = a.idx - lag
+  WHERE NOT w.held GROUP BY ALL),
+late AS (
+  SELECT a.city, lag, regr_slope(a.total, b.total) AS s, regr_intercept(a.total, b.total) AS i
+  FROM lags, city a JOIN city b ON b.city = a.city AND b.idx = a.idx - lag WHERE a.idx BETWEEN 73 AND 576 GROUP BY ALL),
+scored AS (
+  SELECT a.city, 'naive_24' AS candidate, abs(a.total - b.total) AS e
+  FROM wins w, steps h JOIN city a ON a.idx = w.win + 72 + h.h JOIN city b ON b.city = a.city AND b.idx = a.idx - 24 WHERE w.held
+  UNION ALL
+  SELECT a.city, 'regression_' || f.lag, abs(a.total - f.i - f.s * b.total)
+  FROM wins w, steps h JOIN city a ON a.idx = w.win + 72 + h.h JOIN early f ON f.city = a.city
+  JOIN city b ON b.city = a.city AND b.idx = a.idx - f.lag WHERE w.held
+  UNION ALL
+  SELECT a.city, 'window_mean', abs(a.total - m.m)
+  FROM wins w, steps h JOIN city a ON a.idx = w.win + 72 + h.h JOIN means m ON m.city = a.city AND m.win = w.win WHERE w.held),
+best AS (
+  SELECT city, arg_min(candidate, val_mae) AS candidate, min(val_mae) AS val_mae
+  FROM (SELECT city, candidate, avg(e) AS val_mae FROM scored GROUP BY ALL) GROUP BY city)
+SELECT a.city, b.candidate, round(any_value(b.val_mae), 5) AS val_mae, round(avg(abs(a.total - CASE
+         WHEN b.candidate = 'window_mean' THEN m.m WHEN f.lag IS NULL THEN p.total ELSE f.i + f.s * p.total END)), 5) AS mae
+FROM targets t JOIN city a ON a.idx = t.idx JOIN best b ON b.city = a.city
+LEFT JOIN late f ON f.city = a.city AND b.candidate = 'regression_' || f.lag
+LEFT JOIN city p ON p.city = a.city AND p.idx = a.idx - coalesce(f.lag, 24)
+LEFT JOIN means m ON m.city = a.city AND m.win = t.win
+GROUP BY 1, 2""",
+    "appliance_regression": f"""
+WITH {','.join((HOURLY, HOMES, APPLIANCE.rsplit('),', 1)[0]))}),
+pairs AS (
+  SELECT a.dataid, a.sensor, a.idx, a.v AS y, lag(a.v, 24) OVER (PARTITION BY a.dataid, a.sensor ORDER BY a.idx) AS x
+  FROM appliance a JOIN placed p ON p.dataid = a.dataid QUALIFY a.idx BETWEEN 73 AND 576)
+SELECT dataid, sensor, CASE WHEN var_pop(x) = 0 THEN 0.0 ELSE round(regr_slope(y, x), 4) END AS slope,
+       CASE WHEN var_pop(x) = 0 THEN round(avg(y), 4) ELSE round(regr_intercept(y, x), 4) END AS intercept
+FROM pairs GROUP BY 1, 2""",
+    "global_regression_forecast": f"""
+WITH {BASE}, {TARGETS},
+pairs AS (
+  SELECT a.total AS y, b.total AS x1, c.total AS x2 FROM community a
+  JOIN community b ON b.community = a.community AND b.idx = a.idx - 24
+  JOIN community c ON c.community = a.community AND c.idx = a.idx - 48 WHERE a.idx BETWEEN 73 AND 576),
+m AS (
+  SELECT avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
+         covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM pairs),
+b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m)
+SELECT p.community, t.win, t.h, round(b.y - b1 * b.x1 - b2 * b.x2 + b1 * p.total + b2 * q.total, 4) AS y_hat
+FROM b, targets t JOIN community p ON p.idx = t.idx - 24 JOIN community q ON q.community = p.community AND q.idx = t.idx - 48""",
+    "user_model_levels": f"""
+SELECT base_level, level, round(avg(mae_mean), 4) AS mae_mean, round(avg(rmse_mean), 4) AS rmse_mean,
+       round(avg(mae_std), 4) AS mae_std, round(avg(rmse_std), 4) AS rmse_std
+FROM ({' UNION ALL '.join(f"({_summary(b, _drifted(b))})" for b in LEVELS[1:])}) GROUP BY 1, 2""",
     "user_model_hook": f"""
 WITH {BASE}, {TARGETS},
 cut AS (SELECT city, idx AS win, avg(total) OVER xs AS x, avg(total) OVER ys AS y FROM city {_frames('city')}),

@@ -19,6 +19,7 @@ from meterload.operators.profile import (
     profile_readings,
 )
 from meterload.operators.rollup import level_tables
+from meterload.plans.actuals import store_actuals
 from meterload.sources.csv import read_readings, read_source_metadata, write_report
 from meterload.sources.tables import read_table, write_table
 
@@ -108,4 +109,5 @@ def build_levels(
         scaled = normalize_level(tables[level], level, cfg, normalize_until)
         tables[f"normalized_{level}"] = store_level(level, scaled, normalized=True)
     tables["metadata"] = metadata
+    store_actuals(tables, metadata, store.actuals, cfg)
     return tables

@@ -20,7 +20,11 @@ from meterload.operators.clean import add_time, bounded_fill, clean_slots, mask_
 from meterload.operators.forecast import (
     LagRegression,
     SeasonalNaive,
+    UserModel,
     WindowMean,
+    apply_global_regression,
+    attach_fit,
+    fit_appliance_regression,
     fit_global_regression,
     fit_lag_regression,
     forecast,
@@ -326,6 +330,11 @@ def validation_holdout(spark, folder):
     return _with_load(spark, folder, splits.validation_holdout(spark, CFG, method="modulo"))
 
 
+def validation_holdout_hash(spark, folder):
+    """The default rule, by hash."""
+    return _with_load(spark, folder, splits.validation_holdout(spark, CFG))
+
+
 def _feature_series(spark, folder) -> DataFrame:
     """City series with the raw total, its z-score and scaled features."""
     city = with_features(stored(_city(spark, folder), "city"), CFG)
@@ -420,7 +429,7 @@ def lag_regression_entity(spark, folder):
 def lag_regression_forecast(spark, folder):
     city = stored(_city(spark, folder), "city")
     fits = fit_lag_regression(city, ["city"], "total", 24, CFG)
-    cut = _cut(city, "city").join(fits, "city")
+    cut = attach_fit(_cut(city, "city"), fits, ["city"], 24)
     return _long(forecast(cut, ["city"], LagRegression(24), CFG), ["city"])
 
 
@@ -452,6 +461,42 @@ def candidate_forecast(spark, folder):
     return errors.groupBy("community", "candidate").agg(F.round(F.avg("mae"), 7).alias("mae"))
 
 
+def candidate_search_fitted(spark, folder):
+    """Fitted and fit-free candidates: fits without the held-out windows, scores on them, a refit for the winner,
+    its error over the test windows."""
+    city = stored(_city(spark, folder), "city")
+    candidates = (SeasonalNaive(24), LagRegression(24), LagRegression(48), WindowMean())
+
+    def fitted(cut: DataFrame, held_out=None) -> DataFrame:
+        for lag in (24, 48):
+            cut = attach_fit(cut, fit_lag_regression(city, ["city"], "total", lag, CFG, held_out), ["city"], lag)
+        return cut
+
+    def held_out(win: Column) -> Column:
+        return splits.holdout(win, CFG)
+
+    validation = fitted(_cut(city, "city", 1, CFG.last_train_window, held_out), held_out)
+    best = stored(best_candidates(score_candidates(validation, ["city"], candidates, CFG), ["city"]), "best")
+    test = forecast_with_best(fitted(_cut(city, "city")), ["city"], best, candidates, CFG)
+    errors = evaluate.window_errors(test, CFG).groupBy("city").agg(F.avg("mae").alias("mae"))
+    return best.join(errors, "city").select("city", "candidate", _r("val_mae", 5), _r("mae", 5))
+
+
+def appliance_regression(spark, folder):
+    meta = stored(fx.metadata(spark, folder), "metadata")
+    fits = fit_appliance_regression(fx.appliance_table(spark, folder, meta), CFG.appliances, 24, CFG)
+    return fits.select("dataid", "sensor", _r("slope"), _r("intercept"))
+
+
+def global_regression_forecast(spark, folder):
+    """One model with two lags for all communities, and its forecasts."""
+    keys = ["city", "community"]
+    series = stored(_community(spark, folder), "community")
+    model = fit_global_regression(series, keys, "total", [24, 48], CFG)
+    cut = _cut(series, "community")
+    return _long(apply_global_regression(cut, keys, model, [24, 48], CFG), ["community"]).withColumn("y_hat", F.round("y_hat", 4))
+
+
 def user_model_hook(spark, folder):
     """A user model in numpy: window mean plus the training drift between outputs and inputs."""
     n_out = CFG.output_size
@@ -779,6 +824,16 @@ def evaluate_subtree(spark, folder):
     return _report(_run(spark, folder, LEVELS[1:], city="ASIA", models=MODELS)[1]["report"])
 
 
+def _drifted(x_train, y_train, x_test):
+    """A user model on normalised inputs: the training mean of the outputs plus the mean of the scaled input."""
+    return (y_train.mean() + x_test[:, :, 0].mean(axis=1))[:, None].repeat(CFG.output_size, axis=1)
+
+
+def user_model_levels(spark, folder):
+    """A user model as the forecaster of the pipeline, at every level above appliances."""
+    return _report(_run(spark, folder, LEVELS[1:], models=UserModel(_drifted))[1]["report"])
+
+
 def evaluation_sink(spark, folder):
     """Stored evaluation rows of household forecasts at every level."""
     store, _ = _run(spark, folder, ("household",), models=MODELS)
@@ -812,6 +867,7 @@ QUERIES: dict[str, Query] = {
         csv_profile_roundtrip, matrix_roundtrip, csv_readings_by_name, log_tree_curves, evaluation_tree_summary,
         preprocess_levels, generated_metadata, profile_source_metadata, evaluate_pipeline, evaluate_without_appliances,
         evaluate_subtree, evaluation_sink, report_csv, appliance_input_windows, appliance_training_pairs,
+        validation_holdout_hash, candidate_search_fitted, appliance_regression, global_regression_forecast, user_model_levels,
     )
 }
 QUERIES.update({f"bottomup_{base}": _bottomup(base) for base in MODELS})

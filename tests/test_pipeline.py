@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterload.config import FEATURES, LEVELS, Config
-from meterload.operators.forecast import LagRegression, SeasonalNaive, WindowMean
+from meterload.operators.forecast import GlobalRegression, LagRegression, SeasonalNaive, UserModel, WindowMean
 from meterload.operators.hierarchy import subtree
 from meterload.plans.experiment import evaluate, evaluate_stored, load_statistics
 from meterload.plans.preprocess import Store, build_levels, preprocess
@@ -180,7 +180,7 @@ def test_evaluation_of_every_path(spark, run):
         assert got[key] == pytest.approx(pair)
     rows = result["evaluation"].where("base_level = 'appliance' AND level = 'city'")
     assert rows.count() == 2 * (CFG.last_window - CFG.test_start + 1)
-    again = evaluate_stored(spark, run["store"], "naive", CFG)["report"]
+    again = evaluate_stored(spark, run["store"], "naive", CFG, run["tables"]["metadata"])["report"]
     assert {(r.base_level, r.level): r.mae_mean for r in again.collect()} == {k: v[0] for k, v in got.items()}
 
 
@@ -193,7 +193,7 @@ def test_variants_without_appliances_and_with_regression(spark, run):
 
 
 def test_search_on_a_subtree(spark, run):
-    candidates = (SeasonalNaive(3), SeasonalNaive(8), WindowMean())
+    candidates = (SeasonalNaive(3), LagRegression(4), LagRegression(8), WindowMean())
     scope = subtree(run["tables"]["metadata"], city="Austin", community=1)
     result = evaluate(
         spark, run["tables"], run["store"], "search", CFG, levels=("appliance", "household"),
@@ -205,6 +205,27 @@ def test_search_on_a_subtree(spark, run):
     assert {r.candidate for r in best.collect()} <= {c.name for c in candidates}
 
 
+def test_user_and_global_models_at_every_level(spark, run):
+    def last_value(x_train, y_train, x_test):
+        assert x_train.shape[1:] == (I, 8) and len(y_train) == CFG.last_train_window
+        return x_test[:, -1:, 0].repeat(O, axis=1)
+
+    for name, model in (("user", UserModel(last_value)), ("global", GlobalRegression((3, 5)))):
+        result = evaluate(spark, run["tables"], run["store"], name, CFG, model)
+        assert result["report"].count() == 10
+
+
+def test_a_missing_forecast_fails(spark, run):
+    store, name = run["store"], "holes"
+    evaluate(spark, run["tables"], store, name, CFG, SeasonalNaive(4), ("city",))
+    path = store.run(name, "forecasts")
+    kept = spark.read.parquet(path).where("city <> 'Austin' OR win > 55").toPandas()
+    spark.createDataFrame(kept, spark.read.parquet(path).schema).write.mode("overwrite").partitionBy(
+        "base_level", "level").parquet(path)
+    with pytest.raises(Exception, match="no forecast for the actual"):
+        evaluate_stored(spark, store, name, CFG, run["tables"]["metadata"], ("city",))
+
+
 def test_load_statistics(run):
     got = {r.level: (r["mean"], r["std"]) for r in load_statistics(run["tables"], CFG).collect()}
     actual, test = totals(run["want"]), slice(CFG.test_start - 1, None)

@@ -1,21 +1,18 @@
-"""Catalogue queries against their SQL. A cross-section runs by default, all with ALL_QUERIES=1."""
-
-import os
+"""All catalogue queries against their SQL, in one session."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from meterload.plans.oracles import ORACLES
+from meterload.plans.queries import QUERIES
 from tools.compare import normalise, oracle_frame
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ("time_spine_hours", "household_profile", "year_aligned_readings", "spine_fill_blocks", "levels_grouping_sets",
-        "kfold_windows", "lag_regression_entity", "bottomup_household", "training_curve_levels", "csv_profile_roundtrip",
-        "matrix_roundtrip")
-NAMES = sorted(queries()) if os.environ.get("ALL_QUERIES") else SOME
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):
@@ -23,9 +20,9 @@ def test_entry(spark):
     assert got.columns == ["city", "index", "total"] and got.count() == 3600
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, name):
-    got = queries()[name](spark, FOLDER).toPandas()
-    want = oracle_frame(FOLDER, oracle_sql()[name])
+    got = QUERIES[name](spark, FOLDER).toPandas()
+    want = oracle_frame(FOLDER, ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert normalise(got) == normalise(want)
