@@ -94,7 +94,7 @@ def metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Placed households with their sensor flags."""
     flags = [F.bool_or(F.col(s).isNotNull()).alias(s) for s in HOURLY.sensors]
     present = slot_readings(spark, folder).groupBy("dataid").agg(*flags)
-    return placed_households(spark, folder).join(present, "dataid")
+    return assign_communities(households(spark, folder), HOURLY.community_size).join(present, "dataid")
 
 
 def appliance_table(spark: SparkSession, folder: str, homes: DataFrame | None = None) -> DataFrame:

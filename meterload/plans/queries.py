@@ -73,11 +73,15 @@ def _r(name: str, digits: int = 4) -> Column:
 
 # --- levels over the test tables -----------------------------------------------------------------
 
-def _levels(spark: SparkSession, folder: str, store: bool = False) -> dict[str, DataFrame]:
+def _levels(
+    spark: SparkSession, folder: str, store: bool = False, homes: DataFrame | None = None, raw: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Totals of placed households, their communities and cities. `store` keeps the household
-    totals in a file, for queries that branch into several levels."""
-    homes = fx.placed_households(spark, folder)
-    totals = household_totals(fx.appliance_table(spark, folder, homes), CFG)
+    totals in a file, for queries that branch into several levels. `homes` and `raw` (stored households and
+    filled readings) spare a query that has them the second hierarchy and the second fill."""
+    homes = fx.placed_households(spark, folder) if homes is None else homes
+    raw = fx.appliance_table(spark, folder, homes) if raw is None else raw
+    totals = household_totals(raw, CFG)
     household = totals.join(homes.select("dataid", "city", "community"), "dataid")
     household = stored(household, "household") if store else household
     community = household.groupBy("city", "community", "index").agg(F.sum("total").alias("total"))
@@ -513,11 +517,9 @@ def user_model_hook(spark, folder):
 
 # --- bottom-up and evaluation --------------------------------------------------------------------
 
-def _predict_appliances(spark: SparkSession, folder: str, model) -> DataFrame:
-    meta = stored(fx.metadata(spark, folder), "metadata")
+def _predict_appliances(meta: DataFrame, table: DataFrame, model) -> DataFrame:
     start, length = part = input_part([model], CFG)
-    table, homes = fx.appliance_table(spark, folder, meta), hierarchy.household_map(meta, CFG)
-    cut = windows.appliance_windows(table, homes, CFG, FIRST, LAST, part=part)
+    cut = windows.appliance_windows(table, hierarchy.household_map(meta, CFG), CFG, FIRST, LAST, part=part)
     return forecast(cut, bottomup.PATH_KEYS["appliance"], model, CFG, start)
 
 
@@ -527,11 +529,16 @@ def _evaluated(spark: SparkSession, folder: str, *bases: str) -> DataFrame:
     The base windows' forecasts are stored once and summed upwards from there. Actuals travel up
     beside the forecasts: both are sums of the same children, so the pairing needs no join.
     """
-    levels = _levels(spark, folder, store=len(bases) > 1) if set(bases) - {"appliance"} else {}
+    several, meta, raw = len(bases) > 1, None, None
+    if "appliance" in bases:
+        meta = stored(fx.metadata(spark, folder), "metadata")
+        raw = fx.appliance_table(spark, folder, meta)
+        raw = stored(raw, "appliance") if several else raw
+    levels = _levels(spark, folder, several and raw is None, meta, raw) if set(bases) - {"appliance"} else {}
     rows = None
     for base in bases:
         if base == "appliance":
-            predicted = _predict_appliances(spark, folder, MODELS[base])
+            predicted = _predict_appliances(meta, raw, MODELS[base])
         else:
             predicted = _predict(levels[base], base, MODELS[base])
         predicted = predicted if base == "city" else stored(predicted, f"forecast-{base}")
@@ -623,8 +630,9 @@ def training_curve_levels(spark, folder):
 
 
 def mean_load(spark, folder):
-    counts = hierarchy.entity_counts(stored(fx.metadata(spark, folder), "metadata"), CFG)
-    return report.mean_load(_city(spark, folder), counts, CFG).select("level", _r("mean", 7))
+    meta = stored(fx.metadata(spark, folder), "metadata")
+    city = _levels(spark, folder, homes=meta)["city"]
+    return report.mean_load(city, hierarchy.entity_counts(meta, CFG), CFG).select("level", _r("mean", 7))
 
 
 def std_load(spark, folder):
