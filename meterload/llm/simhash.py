@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterload.llm.common import as_bytes, map_arrow, words_of
+from meterload.llm.common import as_bytes, map_arrow, shuffled_anew, words_of
 from meterload.llm.components import components
 from meterload.llm.decontaminate import shingle_hashes
 from meterload.sources.tables import stored
@@ -235,7 +235,7 @@ def links(prints: DataFrame, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    shared = rows.join(sizes, ["part", "key"]).select(
+    shared = rows.join(shuffled_anew(sizes, "key"), ["part", "key"]).select(
         "part", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     tasks = shared.select(
         F.xxhash64("part", "key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "fp")
@@ -312,10 +312,12 @@ def one_of_each(
             F.min_by("text_hash", "place").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
         pairs = stored(grouped.join(heads, "root").where("text_hash <> head").select("text_hash", "fp", "place", "head"), "pairs")
         if sets is None:  # later rounds look at some of the same texts
-            wanted = pairs.select("text_hash").union(pairs.select("head")).distinct()
-            found = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi")
-            sets = stored(found.dropDuplicates(["text_hash"]).select(
-                "text_hash", F.array_distinct(shingle_hashes(F.col("text"))).alias("set")), "shingle-sets")
+            # One row of each text is read again, by its own hash: a text of very many rows is not gathered.
+            wanted = pairs.select("text_hash").union(pairs.select("head")).distinct().join(texts, "text_hash").select(
+                "text_hash", F.col("place.tag").alias("tag"))
+            found = docs.select(row_tag(docs).alias("tag"), "text").join(stored(wanted, "wanted-texts"), "tag")
+            sets = stored(found.select("text_hash", F.array_distinct(shingle_hashes(F.col("text"))).alias("set"))
+                          .dropDuplicates(["text_hash"]), "shingle-sets")
         both = pairs.join(sets, "text_hash").join(
             sets.select(F.col("text_hash").alias("head"), F.col("set").alias("head_set")), "head")
         judged = stored(both.select(
