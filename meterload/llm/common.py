@@ -26,13 +26,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shuffled_anew(df: DataFrame, *keys: str) -> DataFrame:
-    """`df`, an aggregate by long `keys`, under new expressions of the same values. A join would else go on with the
-    aggregate's partitioning, and Spark cannot split the other side's hot keys then; the aggregate is the small side."""
-    zero = F.lit(0).cast("long")
-    return df.withColumns({k: F.col(k).bitwiseXOR(zero) for k in keys})
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """The words of an UTF-8 text: bytes.split() cuts at exactly the characters that WORD leaves out."""
     return text.split() if text else []
