@@ -212,7 +212,7 @@ def _links(groups: np.ndarray, values: np.ndarray, max_bits: int) -> tuple[np.nd
         found += np.bincount(run[near], minlength=len(starts))
     none = np.empty(0, np.int64)
     a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
-    dense = (sizes > SHIFTS) | (found > 2 * sizes)
+    dense = (sizes > SHIFTS) | (found >= sizes)
     few = ~dense[run[a]]
     left_ends, right_ends = [values[a[few]]], [values[b[few]]]
     for start, size in zip(starts[dense].tolist(), sizes[dense].tolist()):
