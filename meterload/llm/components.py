@@ -12,8 +12,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of `edges`; root is the smallest node of its component, itself included.
 
     Each round is two joins of the edges with the smallest neighbour of each node. Minima are combined on the
-    map side and the join's hot partitions can be split, so a hub does not land in one task. Every round is
-    written to the shared folder. Rounds grow with the logarithm of the longest chain.
+    map side. The join keeps their partitioning, so the edges of one hub (two longs each) meet in one task, as a
+    stream. Every round is written to the shared folder. Rounds grow with the logarithm of the longest chain.
     """
     now = stored(edges.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "star")
