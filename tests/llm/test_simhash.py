@@ -142,6 +142,40 @@ def test_one_of_each_matches_brute_force(spark):
     assert {900, 901} <= set(slow_one_of_each(rows))
 
 
+def test_one_of_each_leaves_no_similar_pair(spark):
+    rng = random.Random(5)
+    rows, sets = [], {}
+    for series in range(6):
+        words = [f"s{series}w{i}" for i in range(300)]
+        for version in range(20):  # each differs from the one before in three words
+            n = rng.randrange(10 ** 6)
+            rows.append((n, " ".join(words)))
+            sets[n] = {tuple(words[i: i + 5]) for i in range(len(words) - 4)}
+            for _ in range(3):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10 ** 9)}"
+    prints = {n: simhash.fingerprint(t.encode(), 5) for n, t in rows}
+
+    def similar(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    df = spark.createDataFrame([(i, t, "k", "clash") for i, t in rows], SCHEMA)
+    kept = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert 6 <= len(kept) < len(rows)
+    assert not [(a, b) for a in kept for b in kept
+                if a < b and similar(a, b) and (prints[a] ^ prints[b]).bit_count() <= 10]
+    assert all(any(similar(a, b) for b in kept) for a in sets)
+
+
+def test_every_link():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 12, 600).astype(np.uint64)
+    groups = np.repeat([1, 2, 3], [400, 1, 199])
+    got = [(int(a), int(b)) for x, y in simhash._every_link(groups, values, 3) for a, b in zip(x, y)]
+    want = [(int(values[i]), int(values[j])) for i in range(600) for j in range(i + 1, 600)
+            if groups[i] == groups[j] and int(values[i] ^ values[j]).bit_count() <= 3]
+    assert sorted(got) == sorted(want)
+
+
 def test_dense_and_large_buckets_keep_their_components():
     rng = np.random.default_rng(1)
     near = np.unique(np.array([7 ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (400, 2))], np.uint64))
