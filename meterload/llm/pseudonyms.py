@@ -14,8 +14,15 @@ ones, and what is not validated stays as it is:
   and small letters (within hex digits, if the whole value is hex). Letters beyond ASCII in a local part become small
   ASCII letters.
 
-Text is cut once at the matches, each match is rewritten, and the pieces are joined again. A match starts at the
-start of a word, so the work is linear in the length of the text.
+Text is cut at the matches, each match is rewritten, and the pieces are joined again. A match starts at the start of
+a word. Digits that belong to nothing else are then searched for cards: in a run of digit groups between single spaces
+or dashes, a card starts and ends with a group. Whole groups of 13 to 19 digits and groups of 4-4-4-4 or 4-6-5 digits
+come first, then the longest valid row of groups (of three or more digits, but for the last one), then the whole run
+as one number. Phones of three groups by spaces are searched last. Other numbers that pass the check digit by chance
+are replaced too.
+
+A password may have any length, a token, secret or key has eight characters or more; values longer than CHUNK are
+permuted in pieces of so many characters.
 
 Defined cases: a null text stays null, an empty one empty; both have no replacements. Rows are independent, so ties
 and repeated rows get equal results. Other columns pass through.
@@ -23,6 +30,8 @@ and repeated rows get equal results. Other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +44,23 @@ DEMO_KEY = "demonstration key"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}"
 IP = rf"(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.\d)"
-DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\p{L}\p{N}])"
+DATE = (r"(?:\d{4}-\d{2}-\d{2}(?=T\d{2})"
+        r"|(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\p{L}\p{N}]))")
 SSN = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\p{N}])"
 PHONE = (r"(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}"
-         r"|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)")
-CARD = r"\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])"
+         r"|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}"
+         r"|\+(?=\d(?:[ .\-()]{0,2}\d){6})\d{1,3}(?:[ .\-]\(?\d{1,4}\)?){2,7})(?!\d)")
 AWS = r"AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
-SECRET = r"(?i:token|secret|api[_\-]?key|password|passwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9/+_\-]{16,256}"
+_ASSIGNED = r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+SECRET = (rf"(?:(?i:password|passwd){_ASSIGNED}[A-Za-z0-9/+_\-]+"
+          rf"|(?i:token|secret|api[_\-]?key){_ASSIGNED}[A-Za-z0-9/+_\-]{{8,}})")
 #: The order decides where two kinds start at the same place.
-PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{SECRET}|{AWS}|{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD})"
+PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{SECRET}|{AWS}|{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE})"
+#: What PATTERN leaves: runs of digits that may hold cards, then phones of three groups by spaces.
+DIGIT_RUN = r"(?<![\p{L}\p{N}])\d[\d \-]{11,}\d(?![\p{L}\p{N}])"
+SPACED_PHONE = r"(?<![\p{L}\p{N}])\d{3} \d{3} \d{4}(?![\p{L}\p{N}])"
+#: Characters of a value that are permuted at once.
+CHUNK = 256
 
 _DIGITS, _SMALL, _CAPITAL, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Days from 1600-01-01 to 1970-01-01, and in 400 years.
@@ -126,17 +143,73 @@ def _luhn(digits: Column, doubled_first: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, d: a + d)
 
 
+def _valid(digits: Column) -> Column:
+    # The last digit is not doubled, so the first one is if the number of digits is even.
+    return F.length(digits).between(13, 19) & (_luhn(digits, F.length(digits) % 2 + 1) % 10 == 0)
+
+
+def _cards(run: Column) -> Column:
+    """(at, size) of the cards in a run of digits, from left to right, in characters."""
+    def search(groups: Column) -> Column:
+        every = F.sequence(F.lit(1), F.size(groups))
+
+        def joined(i: Column, k: Column | int) -> Column:
+            return F.array_join(F.slice(groups, i, k), "")
+
+        def formed(i: Column, *sizes: int) -> Column:
+            same = F.transform(F.slice(groups, i, len(sizes)), F.length) == F.array(*[F.lit(n) for n in sizes])
+            return same & let(joined(i, len(sizes)), _valid)
+
+        def plain(i: Column) -> Column:
+            return F.when(_valid(F.get(groups, i - 1)), 1).when(formed(i, 4, 4, 4, 4), 4).when(formed(i, 4, 6, 5), 3).otherwise(0)
+
+        def row(i: Column) -> Column:
+            def fits(k: Column) -> Column:
+                return (i + k - 1 <= F.size(groups)) & (F.length(F.get(groups, i + k - 2)) > 0) & F.forall(
+                    F.slice(groups, i, k - 1), lambda g: F.length(g) >= 3) & let(joined(i, k), _valid)
+
+            return F.coalesce(F.get(F.filter(F.array(*[F.lit(k) for k in (7, 6, 5, 4, 3, 2)]), fits), F.lit(0)), F.lit(0))
+
+        def choose(found: Column) -> Column:
+            def step(now: Column, i: Column) -> Column:
+                first, longest = F.get(found["plain"], i - 1), F.get(found["row"], i - 1)
+                alone = ~F.exists(F.slice(found["plain"], i + 1, F.greatest(longest - 1, F.lit(0))), lambda p: p > 0)
+                taken = F.when(i < now["free"], 0).when(first > 0, first).when(alone, longest).otherwise(0)
+
+                def moved(k: Column) -> Column:
+                    size = F.length(F.array_join(F.slice(groups, i, k), " "))
+                    card = F.struct(now["at"].alias("at"), size.alias("size"))
+                    return F.struct(
+                        F.when(k > 0, i + k).otherwise(now["free"]).alias("free"),
+                        (now["at"] + F.length(F.get(groups, i - 1)) + 1).alias("at"),
+                        F.when(k > 0, F.array_append(now["cards"], card)).otherwise(now["cards"]).alias("cards"))
+
+                return let(taken, moved)
+
+            start = F.struct(F.lit(1).alias("free"), F.lit(1).alias("at"),
+                             F.expr("CAST(array() AS ARRAY<STRUCT<at: INT, size: INT>>)").alias("cards"))
+            return F.aggregate(every, start, step, lambda now: now["cards"])
+
+        def or_whole(cards: Column) -> Column:
+            whole = (F.size(cards) == 0) & ~F.array_contains(groups, "") & (F.size(groups) <= 19) & let(
+                F.array_join(groups, ""), _valid)
+            return F.when(whole, F.array(F.struct(F.lit(1).alias("at"), F.length(run).alias("size")))).otherwise(cards)
+
+        found = F.struct(F.transform(every, plain).alias("plain"), F.transform(every, row).alias("row"))
+        return let(let(found, choose), or_whole)
+
+    return let(F.split(run, "[ \\-]", -1), search)
+
+
 def _card(m: Column, key: str) -> Column:
     def body(digits: Column) -> Column:
-        # The last digit is not doubled, so the first one is if the number of digits is even.
-        valid = _luhn(digits, F.length(digits) % 2 + 1) % 10 == 0
         front = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", _DIGITS)
 
         def checked(new: Column) -> Column:
             check = (10 - _luhn(new, F.length(new) % 2) % 10) % 10
             return F.concat(new, check.cast("string"))
 
-        return F.when(valid, let(let(front, checked), lambda new: _filled(m, new))).otherwise(m)
+        return F.when(_valid(digits), let(let(front, checked), lambda new: _filled(m, new))).otherwise(m)
 
     return let(_digits(m), body)
 
@@ -195,8 +268,12 @@ def _secret(m: Column, key: str) -> Column:
     name = F.regexp_extract(m, r"^[^=:]*[=:]\s*[\"']?", 0)
 
     def body(value: Column) -> Column:
-        return F.when(value.rlike("^[0-9a-f]+$"), feistel_text(value, key, "hex", _HEX)).otherwise(
-            feistel_text(value, key, "secret", _DIGITS, _SMALL, _CAPITAL))
+        def chunks(kind: str, *alphabets: str) -> Column:
+            parts = F.regexp_extract_all(value, F.lit(f".{{1,{CHUNK}}}"), F.lit(0))
+            return F.array_join(F.transform(parts, lambda part: feistel_text(part, key, kind, *alphabets)), "")
+
+        return F.when(value.rlike("^[0-9a-f]+$"), chunks("hex", _HEX)).otherwise(
+            chunks("secret", _DIGITS, _SMALL, _CAPITAL))
 
     return let(name, lambda n: F.concat(n, let(F.substring(m, F.length(n) + 1, F.length(m)), body)))
 
@@ -207,20 +284,52 @@ def pseudonym(m: Column, key: str) -> Column:
     return (
         F.when(full(SECRET), _secret(m, key))
         .when(full(AWS), F.concat(F.lit("AKIA"), feistel_text(F.substring(m, 5, 64), key, "aws", _DIGITS, _CAPITAL)))
-        .when(full(EMAIL), _email(m, key)).when(full(IP), _ip(m, key)).when(full(DATE), _date(m, key))
-        .when(full(SSN), _plain_digits(m, key, "ssn")).when(full(PHONE), _phone(m, key)).otherwise(_card(m, key)))
+        .when(full(EMAIL), _email(m, key)).when(full(IP), _ip(m, key)).when(m.rlike(r"^[\d./\-]{10}$"), _date(m, key))
+        .when(full(SSN), _plain_digits(m, key, "ssn")).otherwise(_phone(m, key)))
+
+
+def _piece(text: Column, new: Column | None = None) -> Column:
+    return F.struct(text.alias("m"), (F.lit(None).cast("string") if new is None else new).alias("new"))
+
+
+def _cut(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
+    """The pieces of a text: what lies between matches, and each match as the pieces that `rewrite` makes of it."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.flatten(F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.when(
+        m.isNull(), F.array(_piece(gap))).otherwise(F.concat(F.array(_piece(gap)), rewrite(m)))))
+
+
+def _cut_rest(pieces: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
+    """`pieces`, those without a replacement cut once more."""
+    return F.flatten(F.transform(pieces, lambda p: F.when(
+        p["new"].isNull() & p["m"].rlike(pattern), _cut(p["m"], pattern, rewrite)).otherwise(F.array(p))))
+
+
+def _run_pieces(run: Column, key: str) -> Column:
+    def body(cards: Column) -> Column:
+        def one(card: Column, i: Column) -> Column:
+            before = F.get(cards, i - 1)
+            start = F.when(i > 0, before["at"] + before["size"]).otherwise(1)
+            return let(F.substring(run, card["at"], card["size"]), lambda m: F.array(
+                _piece(F.substring(run, start, card["at"] - start)), _piece(m, _card(m, key))))
+
+        last = F.get(cards, F.size(cards) - 1)
+        tail = F.array(_piece(F.substring(run, last["at"] + last["size"], F.length(run))))
+        return F.when(F.size(cards) == 0, F.array(_piece(run))).otherwise(
+            F.concat(F.flatten(F.transform(cards, one)), tail))
+
+    return let(_cards(run), body)
 
 
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, column: str = "text", count: str | None = None) -> DataFrame:
     """`docs` with personal data in `column` replaced; `count` names a column for the number of replacements."""
     text = F.col(column)
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    # Each piece of text with the match that follows it, and what replaces the match.
-    pieces = F.zip_with(F.split(text, PATTERN, -1), found, lambda gap, m: F.struct(
-        gap.alias("gap"), m.alias("m"), F.when(m.isNotNull(), pseudonym(m, key)).alias("new")))
+    pieces = _cut(text, PATTERN, lambda m: F.array(_piece(m, pseudonym(m, key))))
+    pieces = _cut_rest(pieces, DIGIT_RUN, lambda run: _run_pieces(run, key))
+    pieces = _cut_rest(pieces, SPACED_PHONE, lambda m: F.array(_piece(m, _phone(m, key))))
     work = "_pseudonym_pieces"
     out = docs.withColumn(work, F.when(text.rlike("[0-9@=:]"), pieces))
-    joined = F.array_join(F.transform(F.col(work), lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")
+    joined = F.array_join(F.transform(F.col(work), lambda p: F.coalesce(p["new"], p["m"])), "")
     changed = F.size(F.filter(F.col(work), lambda p: p["new"] != p["m"]))
     columns = [F.coalesce(joined, text).alias(column) if c == column else F.col(f"`{c}`") for c in docs.columns]
     if count:

@@ -106,6 +106,32 @@ def test_what_is_not_valid_stays(spark):
     assert run(spark, texts) == [(t, 0) for t in texts]
 
 
+def test_cards_beside_other_digits(spark):
+    card = "4111111111111111"
+    new = slow_card(card)
+    four = " ".join(new[i: i + 4] for i in (0, 4, 8, 12))
+    amex = slow_card("378282246310005")
+    texts = ["4111 1111 1111 1111 12/27", "4111 1111 1111 1111 123", f"7 {card}", f"123 {card} 45", f"{card}-{card}",
+             "12 34 3782 822463 10005 99", "41 11 11 11 11 11 11 11", f"{card} 1985-03-04", f"1985-03-04 {card}"]
+    day = slow_day(datetime.date(1985, 3, 4)).isoformat()
+    assert run(spark, texts) == [
+        (f"{four} 12/27", 1), (f"{four} 123", 1), (f"7 {new}", 1), (f"123 {new} 45", 1), (f"{new}-{new}", 2),
+        (f"12 34 {amex[:4]} {amex[4:10]} {amex[10:]} 99", 1), (" ".join(new[i: i + 2] for i in range(0, 16, 2)), 1),
+        (f"{new} {day}", 2), (f"{day} {new}", 2)]
+
+
+def test_whole_secrets_timestamps_and_phones(spark):
+    long = "Ab9" * 200
+    (token, n), (short, m), (time, k), *phones = run(spark, [
+        f"token={long}", "password: hunter2", "1985-03-04T10:00:00Z", "+33 1 23 45 67 89", "tel 555 123 4567."])
+    alphabets = string.digits, string.ascii_lowercase, string.ascii_uppercase
+    assert token == "token=" + "".join(slow_text(long[i: i + P.CHUNK], "secret", *alphabets) for i in range(0, 600, P.CHUNK))
+    assert short == "password: " + slow_text("hunter2", "secret", *alphabets) and (n, m, k) == (1, 1, 1)
+    assert time == f"{slow_day(datetime.date(1985, 3, 4)).isoformat()}T10:00:00Z"
+    d, e = slow_text("123456789", "phone", string.digits), slow_text("5551234567", "phone", string.digits)
+    assert phones == [(f"+33 {d[0]} {d[1:3]} {d[3:5]} {d[5:7]} {d[7:]}", 1), (f"tel {e[:3]} {e[3:6]} {e[6:]}.", 1)]
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     a, b, c = run(spark, ["4417744280351547", "x (4417744280351547)", "4417744280351547 " * 500])
     assert b[0] == f"x ({a[0]})" and c == (f"{a[0]} " * 500, 500)
