@@ -7,8 +7,9 @@ the filter of that language would report by chance (its fill to the number of ha
 
 Learning: grams are counted per language over a bounded sample of the labelled rows (SAMPLE_ROWS per language,
 chosen by a hash of doc_id). A language keeps a gram that is common in it and at least KEEP as frequent as in the
-language where it is most frequent, so that a gram of every language tells nothing and is stored once. The filter
-has a fixed size, whatever the input.
+language where it is most frequent, so that a gram of every language tells nothing and is stored once. Grams count from
+MIN_TEXTS texts on; a language of fewer than FEW labelled texts keeps rarer ones too, which take none from others.
+The filter has as many 64-bit words a position as the languages need, whatever the input.
 
 Defined cases: `und` with score 0 for a text that is null or has no letter, and wherever nothing was learned. Rows
 with a null lang or doc_id are not learned from. held_out is false for a null doc_id. Ties go to the language that
@@ -32,16 +33,17 @@ from meterload.sources.tables import stored
 UNDETERMINED = "und"
 #: Labelled rows learned from, per language: a bound on the fit only.
 SAMPLE_ROWS = 4000
-#: Positions of the filter; one 64-bit word of languages each.
+#: Positions of the filter; a bit per language each, in 64-bit words.
 POSITIONS = 1 << 20
 HASHES = 2
 #: Characters of an n-gram; words are padded with one space on both sides.
 SIZES = (2, 3, 4)
 #: A language keeps a gram seen in so many sampled texts ...
 MIN_TEXTS = 3
+#: ... or in one, if the language has fewer labelled texts than this; and ...
+FEW = 30
 #: ... whose share of the language's grams is so much of the largest share in any language.
 KEEP = 0.6
-MAX_LANGUAGES = 64
 #: Grams looked up at once, to bound memory for very long texts.
 BLOCK = 1 << 20
 
@@ -97,13 +99,12 @@ def positions(hashes: np.ndarray) -> list[np.ndarray]:
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    words: np.ndarray  # uint64, POSITIONS long
+    words: np.ndarray  # uint64, POSITIONS rows of a word for each 64 languages
     chance: np.ndarray  # per language, of a false hit
 
 
-def _sample(rows: DataFrame) -> DataFrame:
+def _sample(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """About SAMPLE_ROWS labelled rows per language, by a hash of doc_id."""
-    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang-sizes")
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(SAMPLE_ROWS << 30)) / F.col("n")
     return rows.join(sizes, "lang").where(chosen).select("lang", "text")
 
@@ -127,35 +128,40 @@ def learn(docs: DataFrame, use: Column | None = None) -> Model:
     """Fit the filter on the labelled rows for which `use` holds (those not held out)."""
     use = ~held_out(F.col("doc_id")) if use is None else use
     labelled = docs.where(use & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "lang-sizes")
+    sample = _sample(labelled.select("doc_id", "lang", "text"), sizes)
     counts = stored(
-        _sample(labelled.select("doc_id", "lang", "text")).mapInArrow(_grams, "lang string, gram long, texts long, n long")
+        sample.mapInArrow(_grams, "lang string, gram long, texts long, n long")
         .groupBy("lang", "gram").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n")), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.where(F.col("texts") >= MIN_TEXTS).join(totals, "lang").select(
-        "lang", "gram", (F.col("n") / F.col("total")).alias("share"))
-    top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = stored(shares.join(top, "gram").where(F.col("share") >= F.lit(KEEP) * F.col("top")).select("lang", "gram"),
-                  "kept-grams")
-    languages = sorted(r.lang for r in kept.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; a filter word has a bit for each")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).join(
+        sizes.select("lang", (F.col("n") < FEW).alias("few")), "lang")
+    often = F.col("texts") >= MIN_TEXTS
+    shares = counts.join(totals, "lang").where(often | F.col("few")).select(
+        "lang", "gram", often.alias("often"), (F.col("n") / F.col("total")).alias("share"))
+    top = shares.where("often").groupBy("gram").agg(F.max("share").alias("top"))
+    kept = stored(shares.join(top, "gram", "left").where(
+        F.col("top").isNull() | (F.col("share") >= F.lit(KEEP) * F.col("top"))).select("lang", "gram"), "kept-grams")
+    languages = sorted(r.lang for r in kept.select("lang").distinct().collect())
+    width = max(1, -(-len(languages) // 64))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = {lang: np.uint64(1 << i) for i, lang in enumerate(languages)}
-        words = np.zeros(POSITIONS, np.uint64)
+        number = {lang: i for i, lang in enumerate(languages)}
+        words = np.zeros((POSITIONS, width), np.uint64)
         for batch in batches:
-            bits = np.array([bit[lang] for lang in batch.column("lang").to_pylist()], np.uint64)
+            order = np.array([number[lang] for lang in batch.column("lang").to_pylist()], np.int64)
+            bits = np.uint64(1) << (order % 64).astype(np.uint64)
             grams = batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in positions(grams):
-                np.bitwise_or.at(words, at, bits)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_pydict({"at": used, "mask": words[used].view(np.int64)})
-
-    # At most POSITIONS rows come to the driver, as many for any input.
-    filled = kept.mapInArrow(place, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    words = np.zeros(POSITIONS, np.uint64)
-    words[filled["at"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
-    fill = np.array([((words >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+                np.bitwise_or.at(words, (at, order // 64), bits)
+        used = np.nonzero(words)
+        yield pa.RecordBatch.from_pydict({"at": used[0], "word": used[1], "mask": words[used].view(np.int64)})
+
+    # At most POSITIONS rows for each 64 languages come to the driver, as many for any input.
+    filled = kept.mapInArrow(place, "at long, word long, mask long").groupBy("at", "word").agg(
+        F.bit_or("mask").alias("mask")).toArrow()
+    words = np.zeros((POSITIONS, width), np.uint64)
+    words[filled["at"].to_numpy(), filled["word"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
+    fill = np.array([((words[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, words, fill ** HASHES)
 
 
@@ -170,7 +176,7 @@ def judge(text: str | None, model: Model) -> tuple[str, float]:
         for at in positions(grams[start: start + BLOCK]):
             masks = model.words[at] if masks is None else masks & model.words[at]
         for i in range(len(model.languages)):
-            hits[i] += np.count_nonzero(masks & np.uint64(1 << i))
+            hits[i] += np.count_nonzero(masks[:, i // 64] & np.uint64(1 << i % 64))
     true = np.maximum(hits - len(grams) * model.chance, 0) / (1 - model.chance)
     best = int(np.argmax(true))
     return model.languages[best], float(min(1.0, true[best] / len(grams)))
@@ -178,7 +184,7 @@ def judge(text: str | None, model: Model) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # POSITIONS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # POSITIONS words for each 64 languages
 
     def one(batch: pa.RecordBatch) -> dict[str, list]:
         found = [judge(t, shared.value) for t in batch.column("text").to_pylist()]

@@ -55,6 +55,19 @@ def test_learns_only_from_rows_not_held_out(spark):
     assert langid.learn(spark.createDataFrame(rows, SCHEMA)).languages == ["aa"]
 
 
+def test_rare_and_many_languages(spark):
+    # 70 languages of one text each beside a large one
+    free = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, "alpha beta gamma", "aa", 0.0, "") for i in free[:40]]
+    texts = {f"l{k:02}": " ".join(chr(0x4E00 + 40 * k + j) * 2 for j in range(12)) for k in range(70)}
+    rows += [(i, t, lang, 0.0, "") for i, (lang, t) in zip(free[40:], texts.items())]
+    model = langid.learn(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == ["aa", *texts] and model.words.shape == (langid.POSITIONS, 2)
+    assert all(langid.judge(t, model)[0] == lang for lang, t in texts.items())
+    lang, score = langid.judge("alpha beta", model)
+    assert lang == "aa" and score > 0.9
+
+
 def test_edges(spark):
     rows = [(i, "alpha beta gamma", "aa", 0.0, "") for i in range(20)]
     edges = [(None, None, None, None, None), (50, "", "aa", 0.0, ""), (51, "12 34 !", None, 0.0, ""),
