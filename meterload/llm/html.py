@@ -6,10 +6,12 @@
    no lines.
 2. A line's text-to-tag ratio is its number of characters by its number of tags. Ratios are smoothed with a
    Gaussian, so short paragraphs between long ones rise and lone long lines fall, and two-means clustering of the
-   smoothed ratios gives the threshold between content and the rest.
-3. The content region is the deepest container that holds nearly all characters of content lines and most of all
-   characters left; an article or main element settles it. All lines of the region are the text: short paragraphs
-   and headings belong to it.
+   smoothed ratios gives the threshold between content and the rest. A line is content if its ratio is above it, both
+   smoothed and as it is.
+3. The content region is the deepest container that holds all content lines; an article or main element that holds
+   them settles it. Where it has no heading of first or second order, it grows to hold the last one of first order
+   before the content. All lines of the region are the text: short paragraphs and headings belong to it. The length
+   of the page does not matter.
 
 White space inside a line becomes one space; lines are joined by one space, in page order. Character references are
 decoded by the parser. Nothing else is dropped, and no length is cut off.
@@ -34,8 +36,6 @@ from meterload.llm.common import map_arrow
 
 #: Smoothing: standard deviation in lines, and reach of the kernel.
 SIGMA, REACH = 1.0, 3
-#: Part of the characters of content lines, and of all lines, that the region must hold.
-REGION, MOST = 0.9, 0.6
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -101,6 +101,7 @@ class _Lines(HTMLParser):
         self.unwanted = 0
         self.articles: list[int] = []
         self.containers: set[int] = set()
+        self.headings: dict[int, str] = {}
         self.count = 0
         self.parts: list[str] = []
         self.tags = 0
@@ -146,6 +147,8 @@ class _Lines(HTMLParser):
             self.articles.append(self.count)
         if tag in _CONTAINERS:
             self.containers.add(self.count)
+        if tag in ("h1", "h2"):
+            self.headings[self.count] = tag
         self.stack.append((tag, self.count, bad))
         self.unwanted += bad
 
@@ -207,23 +210,31 @@ def region(parser: _Lines) -> int | None:
     """Number of the element that is the content region; None for the whole page."""
     lines = parser.lines
     sizes = np.array([len(text) for text, _, _ in lines], float)
-    smooth = smoothed(sizes / np.array([max(tags, 1) for _, tags, _ in lines]))
-    content = smooth >= threshold(smooth)
-    within: dict[int, float] = {}
-    every: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for size, chosen, (_, _, path) in zip(sizes.tolist(), content.tolist(), lines):
-        for d, number in enumerate(path):
-            every[number] = every.get(number, 0.0) + size
-            within[number] = within.get(number, 0.0) + size * chosen
-            depth[number] = d
-    total = float(sizes[content].sum())
-    named = [n for n in parser.articles if within.get(n, 0.0) >= total / 2]
-    if named:
-        return max(named, key=lambda n: depth[n])
-    held = [n for n in parser.containers & every.keys()
-            if within[n] >= REGION * total and every[n] >= MOST * float(sizes.sum())]
-    return max(held, key=lambda n: depth[n], default=None)
+    ratios = sizes / np.array([max(tags, 1) for _, tags, _ in lines])
+    smooth = smoothed(ratios)
+    border = threshold(smooth)
+    content = np.flatnonzero((smooth >= border) & (ratios >= border)).tolist()  # not what only its neighbours lift
+    content = content or np.flatnonzero(smooth >= border).tolist()
+    paths = [path for _, _, path in lines]
+    chosen = _lowest(parser, [paths[i] for i in content])
+    if not any(n in parser.headings for path in paths if chosen is None or chosen in path for n in path):
+        title = next((path for path in reversed(paths[: content[0]])
+                      if any(parser.headings.get(n) == "h1" for n in path)), None)
+        if title:
+            chosen = _lowest(parser, [title, *(paths[i] for i in content)])
+    return chosen
+
+
+def _lowest(parser: _Lines, paths: list[tuple[int, ...]]) -> int | None:
+    """The deepest article or main, or else the deepest container, around all paths."""
+    around = []
+    for a, b in zip(min(paths), max(paths)):  # what the first and the last in order share, all share
+        if a != b:
+            break
+        around.append(a)
+    named = [n for n in around if n in parser.articles]
+    held = [n for n in around if n in parser.containers]
+    return (named or held or [None])[-1]
 
 
 def main_text(html: str | None) -> str:

@@ -56,6 +56,21 @@ def test_layouts(name):
     assert M.main_text(page) == want
 
 
+@pytest.mark.parametrize("n", [1, 5, 50, 500])
+def test_lines_beside_the_body_stay_on_pages_of_any_length(n):
+    body = f"<p>{LONG}</p>" * n
+    text = " ".join([LONG] * n)
+    lead, tail = "Lead " + LONG, "Tail " + LONG
+    around = f"<h1>Title</h1><p>{lead}</p>%s<p>{tail}</p>"
+    want = f"Title {lead} {text} {tail}"
+    menu = "<div><a>1</a></div>" * 3
+    assert M.main_text(f"{menu}<div id=content>{around % f'<div class=body>{body}</div>'}</div>{menu}") == want
+    assert M.main_text(f"{menu}<main>{around % f'<article>{body}</article>'}</main>{menu}") == want
+    assert M.main_text(f"{menu}<div id=content><h1>Title</h1><div class=body>{body}</div></div>{menu}") == f"Title {text}"
+    parts = f"<article><p>{lead}</p>{body}</article><article><p>{tail}</p></article>"
+    assert M.main_text(f"{menu}<main>{parts}</main>{menu}") == f"{lead} {text} {tail}"
+
+
 def test_edges(spark):
     rows = [(None, None, None, None), (1, "u", "", "x"), (2, "u", LAYOUTS["plain blocks"][0], "x"), (2, "u", LAYOUTS["plain blocks"][0], "x"),
             (3, "u", "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>", "x"), (4, "u", "<" * 20_000, "x"),
