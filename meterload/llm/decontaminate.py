@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, lower case; shingles are five words (a shorter text is one shingle). An item
 contaminates a document that contains at least `threshold` of the item's distinct shingles, however long the
-document is.
+document is. An item of fewer than five words is found only as the whole of a document: longer ones have no such shingle.
 
 Search: items are partitioned by the number of their shingles, up to a power of two. The sketch of an item is its
 k smallest shingle hashes (bottom-k MinHash), with k from the largest size u of its partition:
