@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterload.llm.common import map_arrow
+from meterload.llm.common import SLICE, map_arrow
 from meterload.sources.tables import stored
 
 UNDETERMINED = "und"
@@ -196,12 +196,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def recognised(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
-    """The rows of `docs` whose text has a recognised language: not `und`, and a score of min_score or more."""
+    """The rows of `docs` whose text has a recognised language: not `und`, and a score of min_score or more.
+
+    Only texts go to Python and only flags come back; whole rows stay in the JVM, which filters them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [judge(t, shared.value) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= min_score for f in found], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(texts), SLICE):
+            for text in texts.slice(at, SLICE).to_pylist():
+                lang, score = judge(text, shared.value)
+                found.append(lang != UNDETERMINED and score >= min_score)
+        return pa.array(found, pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(known(F.col("text")))

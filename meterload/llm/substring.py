@@ -26,7 +26,8 @@ its own text. A row with a null doc_id is neither judged nor a source. Other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterload.llm.common import as_bytes, map_arrow, words_of
+from meterload.llm.common import SLICE, as_bytes, map_arrow, words_of
 from meterload.sources.tables import stored
 
 WINDOW = 50
@@ -118,12 +119,19 @@ def _longs(*columns: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate([empty, *(c.view(np.int64) for c in column)]) for column in columns]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes | None]]:
+    """doc_id and text of each row, a few at a time as Python objects."""
+    for at in range(0, batch.num_rows, SLICE):
+        piece = batch.slice(at, SLICE)
+        yield from zip(piece.column("doc_id").to_pylist(), as_bytes(piece, "text"))
+
+
 def graph_paths(docs: DataFrame) -> DataFrame:
     """(kmer, path, doc, place) of every compacted path of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kmers, contents, ids, places = [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")):
+            for doc, text in _rows(batch):
                 words = words_of(text)
                 if len(words) >= WINDOW:
                     kmer, content, first, more = paths(words)
@@ -150,8 +158,7 @@ def branch_windows(docs: DataFrame, places: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, ids, found = [], [], []
-            rows = zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text"), batch.column("places"))
-            for doc, text, at in rows:
+            for (doc, text), at in zip(_rows(batch), batch.column("places")):
                 tag = text_tag(text) if text else 0
                 first, more = _unpack(np.asarray(at.values, np.int64), tag)
                 if len(first):
@@ -187,28 +194,41 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     return whole.unionByName(single)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+def _kept(text: bytes | None, places: pa.ListScalar) -> tuple[int, list[bytes]]:
+    """Number of words of a text, and those that no repeated window covers."""
+    words = words_of(text)
+    if not words or not places.is_valid:
+        return len(words), words
+    first, more = _unpack(np.asarray(places.values, np.int64), text_tag(text))
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + more + WINDOW, -1)
+    stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+    return len(words), words if len(stay) == len(words) else [words[i] for i in stay.tolist()]
+
+
+def _cut_texts(docs: DataFrame, name: str, made: Callable[[bytes], str]) -> DataFrame:
+    """(doc_id, n_words, n_removed, `name`): what `made` gives for the kept words of each text, joined by one space."""
     def one(batch: pa.RecordBatch) -> dict[str, list]:
-        n_words, n_removed, kept = [], [], []
-        for text, at in zip(as_bytes(batch, "text"), batch.column("places")):
-            words = words_of(text)
-            gone = 0
-            if at.is_valid and words:
-                first, more = _unpack(np.asarray(at.values, np.int64), text_tag(text))
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, first + more + WINDOW, -1)
-                stay = np.cumsum(edge[:-1]) == 0
-                gone = len(words) - int(stay.sum())
-                if gone:
-                    n_words.append(len(words))
-                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
-            if not gone:
-                n_words.append(len(words))
-            n_removed.append(gone)
-            kept.append(b" ".join(words).decode())
-        return {"doc_id": batch.column("doc_id"), "n_words": n_words, "n_removed": n_removed, "kept": kept}
+        n_words, n_removed, out = [], [], []
+        for at in range(0, batch.num_rows, SLICE):
+            piece = batch.slice(at, SLICE)
+            for text, places in zip(as_bytes(piece, "text"), piece.column("places")):
+                n, words = _kept(text, places)
+                n_words.append(n)
+                n_removed.append(n - len(words))
+                out.append(made(b" ".join(words)))
+        return {"doc_id": batch.column("doc_id"), "n_words": n_words, "n_removed": n_removed, name: out}
 
     rows = _with_places(docs, stored(repeated_places(docs), "repeated-places"), "left")
-    return map_arrow(rows, one, "doc_id long, n_words long, n_removed long, kept string")
+    return map_arrow(rows, one, f"doc_id long, n_words long, n_removed long, {name} string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    return _cut_texts(docs, "kept", bytes.decode)
+
+
+def repeat_digests(docs: DataFrame) -> DataFrame:
+    """The same with the SHA-256 of `kept` as kept_sha256, made where the text is: no text comes back from the task."""
+    return _cut_texts(docs, "kept_sha256", lambda kept: hashlib.sha256(kept).hexdigest())
