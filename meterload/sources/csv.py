@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import csv
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,51 +18,55 @@ from meterload.sources.schema import (
     readings_schema,
     source_metadata_schema,
 )
+from meterload.sources.tables import stored
 
 
 #: Texts that mean a missing value (fixed values of the delivered files and of common writers).
 NULL_TEXTS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null")
-#: Headers that are read at a time.
-_READERS = 16
+#: Most different headers that the files of one read may have.
+MAX_LAYOUTS = 1000
 
 
-def _literal(file: str) -> str:
-    """A path that is not read as a pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
+def _by_header(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
+    """Read CSV columns by the header of each file, whatever their order or number.
 
-
-def _by_header(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, headers: str = "folder",
-) -> DataFrame:
-    """Read CSV columns by header name, whatever their order or number in the files.
-
-    Spark's CSV reader takes the names of one file for all. So headers are read first (a small job for each, no
-    pass over the data), and files with the same header are read together. The files of a folder share a
-    header; one that differs in a wanted column fails the read. `headers="file"` looks at each file instead.
+    Spark's CSV reader takes the names of one file for all, so files are read as lines. A first pass finds the first line
+    of each file on the executors and writes a table of (file, layout), one row per file; only the few different headers
+    reach the driver. The second pass maps each line's cells by the layout of its file. With one layout that is a plain
+    projection, otherwise lines are joined with the table. A line equal to its file's header is no row, nor is a blank one.
     """
-    if headers not in ("folder", "file"):
-        raise ValueError("headers is folder or file")
-    listed = spark.read.format("binaryFile").load([path] if isinstance(path, str) else list(path)).select("path")
-    units: dict[str, list[str]] = {}
-    for file in sorted(r.path for r in listed.collect()):  # names only, as the reader's own listing
-        units.setdefault(file.rpartition("/")[0] if headers == "folder" else file, []).append(_literal(file))
-    with ThreadPoolExecutor(_READERS) as pool:
-        found = list(pool.map(lambda files: tuple(spark.read.option("header", True).csv(files[0]).columns), units.values()))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for columns, files in zip(found, units.values()):
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    first = lines.where("_start = 0").withColumn("_no", F.monotonically_increasing_id())
+    headers = stored(first.groupBy("_file").agg(F.min_by("value", "_no").alias("_header")), "csv-headers")
+    texts = sorted(r["_header"] for r in headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect())
+    if not texts:
+        raise ValueError(f"no CSV file at {path}")
+    if len(texts) > MAX_LAYOUTS:
+        raise ValueError(f"CSV files at {path} have more than {MAX_LAYOUTS} different headers")
+    layouts = [next(csv.reader([text]), []) for text in texts]
+    for text, columns in zip(texts, layouts):
         missing = [f.name for f in schema if f.name not in columns]
         if missing:
-            raise ValueError(f"CSV at {files[0]} lacks columns {missing}")
-        groups.setdefault(columns, []).extend(files)
-    if not groups:
-        raise ValueError(f"no CSV file at {path}")
-    rows = None
-    for columns, files in groups.items():
-        raw = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        part = spark.read.option("header", True).option("enforceSchema", False).schema(raw).csv(files)
-        part = part.select(*[_value(f).alias(f.name) for f in schema])
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+            raise ValueError(f"CSV with header {text!r} lacks columns {missing}")
+    width = max(map(len, layouts))
+    cells = F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(width)))
+    places = {f.name: [columns.index(f.name) for columns in layouts] for f in schema}
+    rows = lines.where(F.trim("value") != "")
+    if len(texts) == 1:
+        parsed = rows.where(F.col("value") != texts[0]).select(cells.alias("_cells"))
+        found = {name: F.col(f"_cells.c{at[0]}") for name, at in places.items()}
+    else:
+        number = F.lit(None).cast("int")
+        for i, text in enumerate(texts):
+            number = F.when(F.col("_header") == text, F.lit(i)).otherwise(number)
+        files = headers.select("_file", "_header", number.alias("_layout"))
+        parsed = rows.join(files, "_file").where("value <> _header").select("_layout", cells.alias("_cells"))
+        parsed = parsed.select("_layout", F.array(*[F.col(f"_cells.c{i}") for i in range(width)]).alias("_cells"))
+        found = {name: F.get("_cells", F.get(F.array(*[F.lit(i) for i in at]), F.col("_layout")))
+                 for name, at in places.items()}
+    named = parsed.select(*[value.alias(name) for name, value in found.items()])
+    return named.select(*[_value(f).alias(f.name) for f in schema])
 
 
 def _value(field: T.StructField) -> "F.Column":
@@ -75,11 +78,10 @@ def _value(field: T.StructField) -> "F.Column":
 
 def read_readings(
     spark: SparkSession, path: str | Sequence[str], cfg: Config, sensors: Sequence[str] | None = None,
-    headers: str = "folder",
 ) -> DataFrame:
     """Raw readings with the time parsed to UTC. `sensors` restricts the sensor columns; NULL_TEXTS are NULL."""
     sensors = cfg.sensors if sensors is None else tuple(sensors)
-    df = _by_header(spark, path, readings_schema(cfg.with_(sensors=sensors)), headers)
+    df = _by_header(spark, path, readings_schema(cfg.with_(sensors=sensors)))
     return df.withColumn(cfg.time_column, parse_utc(F.col(cfg.time_column)))
 
 

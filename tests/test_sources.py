@@ -25,13 +25,26 @@ def test_columns_follow_the_header_of_their_folder(spark, tmp_path):
     assert values(read_readings(spark, f"{tmp_path}/*/*.csv", CFG)) == [(1, 1.5, 2.0, 3.0), (2, 1.5, 2.0, None)]
 
 
-def test_another_header_in_a_folder_fails_or_is_read_by_file(spark, tmp_path):
-    write(tmp_path / "a", "1.csv", "dataid,local_15min,air1,solar,grid\n1,2018-06-01 00:00:00-05,1.5,2,NA\n")
-    write(tmp_path / "a", "2.csv", "dataid,local_15min,solar,air1,grid\n2,2018-06-01 00:00:00-05,2,1.5,\n")
-    with pytest.raises(Exception, match="header"):
-        read_readings(spark, f"{tmp_path}/a/*.csv", CFG).collect()
-    both = read_readings(spark, f"{tmp_path}/a/*.csv", CFG, headers="file")
-    assert values(both) == [(1, 1.5, 2.0, None), (2, 1.5, 2.0, None)]
+def test_files_of_one_folder_may_have_different_headers(spark, tmp_path):
+    write(tmp_path / "a", "1.csv", "dataid,local_15min,air1,solar,grid\n1,2018-06-01 00:00:00-05,1.5,2,NA\n\n")
+    write(tmp_path / "a", "2.csv", 'dataid,local_15min,solar,"a,b",air1,grid\n2,2018-06-01 00:00:00-05,2,"x,y",1.5,\n')
+    write(tmp_path / "a", "3.csv", "")
+    write(tmp_path / "a", "4.csv", "dataid,local_15min,air1,solar,grid\r\n3,2018-06-01 00:00:00-05,7,8\r\n")
+    got = values(read_readings(spark, f"{tmp_path}/a/*.csv", CFG))
+    assert got == [(1, 1.5, 2.0, None), (2, 1.5, 2.0, None), (3, 7.0, 8.0, None)]
+
+
+def test_a_large_file_is_read_in_several_splits(spark, tmp_path):
+    rows = "".join(f"{i},2018-06-01 00:00:00-05,{i}.5,1,2\n" for i in range(20_000))
+    write(tmp_path / "a", "1.csv", "dataid,local_15min,air1,solar,grid\n" + rows)
+    write(tmp_path / "a", "2.csv", "local_15min,dataid,solar,air1,grid\n2018-06-01 00:00:00-05,-1,1,-0.5,2\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100KB")
+    try:
+        df = read_readings(spark, f"{tmp_path}/a/*.csv", CFG)
+        assert df.count() == 20_001 and df.where("air1 <> dataid + 0.5").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 def test_a_missing_column_and_a_text_that_is_no_number_fail(spark, tmp_path):
