@@ -3,9 +3,10 @@ so forecasting is a projection over windows; fitting is a grouped aggregate."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window
 
 from meterload.config import FEATURES, Config
 from meterload.functions.arrays import array_mean
+from meterload.operators.moments import line, moments
+from meterload.operators.windows import per_sensor, series_blocks
 
 
 def _check_lag(lag: int, cfg: Config) -> None:
@@ -47,17 +50,17 @@ class SeasonalNaive:
 
 @dataclass(frozen=True)
 class WindowMean:
-    """Repeats the mean of the input window."""
+    """Repeats the mean of the input window, which windows carry as `x_mean` (see `with_mean`): it reads no values."""
 
     @property
     def name(self) -> str:
         return "window_mean"
 
     def reads(self, cfg: Config) -> tuple[int, int]:
-        return 0, cfg.input_size
+        return 0, 0
 
     def predict(self, x: Column, cfg: Config, start: int = 0) -> Column:
-        return F.array_repeat(array_mean(x, cfg.input_size), cfg.output_size)
+        return F.array_repeat(F.col("x_mean"), cfg.output_size)
 
 
 @dataclass(frozen=True)
@@ -86,6 +89,13 @@ class GlobalRegression:
     lags: tuple[int, ...]
 
 
+@dataclass(frozen=True)
+class EntityRegression:
+    """One linear model over several lags for each entity."""
+
+    lags: tuple[int, ...]
+
+
 @dataclass(frozen=True)
 class UserModel:
     """A model in numpy per entity, see `user_model`. `columns` are read from the normalised table: `scaled` is the
@@ -96,7 +106,7 @@ class UserModel:
 
 
 Forecaster = SeasonalNaive | WindowMean | LagRegression
-Model = Forecaster | GlobalRegression | UserModel
+Model = Forecaster | GlobalRegression | EntityRegression | UserModel
 
 
 def attach_fit(windows: DataFrame, fits: DataFrame, keys: Sequence[str], lag: int) -> DataFrame:
@@ -108,16 +118,29 @@ def attach_fit(windows: DataFrame, fits: DataFrame, keys: Sequence[str], lag: in
 def input_part(models: Sequence[Forecaster], cfg: Config) -> tuple[int, int]:
     """(offset, length) of the input window that the models read together; windows cut for them
     need not hold more."""
-    reads = [m.reads(cfg) for m in models]
+    reads = [part for part in (m.reads(cfg) for m in models) if part[1]] or [(0, 0)]
     start = min(offset for offset, _ in reads)
     return start, max(offset + length for offset, length in reads) - start
 
 
+def needs_mean(models: Sequence[Forecaster]) -> bool:
+    return any(isinstance(m, WindowMean) for m in models)
+
+
+def with_mean(windows: DataFrame, models: Sequence[Forecaster], cfg: Config) -> DataFrame:
+    """Windows with the mean of their input, if a model asks for it. Windows cut with `mean=True` have it from running
+    sums; of others, whose x is whole, it is computed here."""
+    if not needs_mean(models) or "x_mean" in windows.columns:
+        return windows
+    return windows.withColumn("x_mean", array_mean(F.col("x"), cfg.input_size))
+
+
 def forecast(
     windows: DataFrame, keys: Sequence[str], model: Forecaster, cfg: Config, start: int = 0
 ) -> DataFrame:
     """(keys, win, y_hat[, y]) from windows with an input array `x` that begins at `start`."""
     carried = ["y"] if "y" in windows.columns else []
+    windows = with_mean(windows, [model], cfg)
     return windows.select(*keys, "win", model.predict(F.col("x"), cfg, start).alias("y_hat"), *carried)
 
 
@@ -195,20 +218,25 @@ def fit_appliance_regression(
     return grouped.select("dataid", F.inline("fits"))
 
 
-def fit_global_regression(
-    series: DataFrame, keys: Sequence[str], target: str, lags: Sequence[int], cfg: Config
-):
-    """One linear model over several lags for all entities (Spark ML, normal equations: one pass
-    over the rows, a matrix of len(lags)^2 on the driver)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def fit_lines(table: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, intercept, weights): least squares of `y` by the lag columns of each group, from co-moments.
+
+    The lags that others explain, and constant ones, get weight 0.
+    """
+    states = table.groupBy(*by).agg(moments(["y", *names]).alias("_state"))
+    fits = states.select(*by, line(F.col("_state"), 0, range(1, len(names) + 1)).alias("_fit"))
+    return fits.select(*by, "_fit.intercept", "_fit.weights")
 
+
+def fit_regression(
+    series: DataFrame, keys: Sequence[str], target: str, lags: Sequence[int], cfg: Config, by: Sequence[str] = (),
+) -> DataFrame:
+    """(by, intercept, weights) of a linear model over several lags: one for all entities, or one for each group
+    of the keys in `by`."""
     for lag in lags:
         _check_lag(lag, cfg)
     table, names = lagged_table(series, keys, target, lags, *training_targets(cfg))
-    features = VectorAssembler(inputCols=names, outputCol="features").transform(table)
-    model = LinearRegression(featuresCol="features", labelCol="y", solver="normal", standardization=False)
-    return model.fit(features.select("features", "y"))
+    return fit_lines(table, names, by)
 
 
 def lagged_table(
@@ -223,20 +251,68 @@ def lagged_table(
     return table.where(F.col("index").between(first, last)).dropna(subset=names), names
 
 
-def _add_scaled(total: Column, part: Column, weight: float) -> Column:
-    return F.zip_with(total, part, lambda acc, v: acc + v * F.lit(weight))
+def lagged_appliances(
+    appliance: DataFrame, households: DataFrame, lags: Sequence[int], cfg: Config, first: int, last: int,
+) -> tuple[DataFrame, list[str]]:
+    """(city, community, dataid, sensor, index, y, lag columns) of the sensors each household has.
+
+    Wide rows are gathered per household once; lags are look-ups in its arrays, made into rows sensor by sensor.
+    """
+    reach, names = max(lags), [f"lag_{lag}" for lag in lags]
+    blocks = series_blocks(appliance, ["dataid"], cfg.appliances, reach + 1, first - reach, last - reach)
+    placed = blocks.join(households.select("city", "community", "dataid", "sensors"), "dataid")
+    keys = ["city", "community", "dataid"]
+    long = placed.select(*keys, "_first", "_last", F.inline(per_sensor(cfg, lambda s: F.col(f"rows.{s}"))))
+
+    def row(start: Column) -> Column:
+        at = start - F.col("_first") + reach
+        past = [F.get("values", at - lag).alias(n) for lag, n in zip(lags, names)]
+        return F.struct((start + reach).alias("index"), F.get("values", at).alias("y"), *past)
+
+    rows = long.select(*keys, "sensor", F.inline(F.transform(F.sequence("_first", "_last"), row)))
+    return rows.dropna(subset=names), names
+
+
+def _add_scaled(total: Column, part: Column, weight: Column) -> Column:
+    return F.zip_with(total, part, lambda acc, v: acc + v * weight)
 
 
-def apply_global_regression(
-    windows: DataFrame, keys: Sequence[str], model, lags: Sequence[int], cfg: Config
+def apply_regression(
+    windows: DataFrame, keys: Sequence[str], fits: DataFrame, lags: Sequence[int], cfg: Config
 ) -> DataFrame:
-    """Forecasts of a fitted global model: its few coefficients become literals of a projection."""
-    parts = [_lagged(F.col("x"), lag, cfg, 0) for lag in lags]
-    y_hat = F.array_repeat(F.lit(float(model.intercept)), cfg.output_size)
-    for part, weight in zip(parts, model.coefficients):
-        y_hat = _add_scaled(y_hat, part, float(weight))
+    """Forecasts of `fit_regression`: a fit for all entities is a scalar subquery of one row, fits of groups are joined."""
+    by = [c for c in fits.columns if c not in ("intercept", "weights")]
+    coefficients = F.struct("intercept", "weights").alias("_fit")
+    if by:
+        beside = windows.join(fits.select(*by, coefficients), by)
+    else:
+        beside = windows.withColumn("_fit", fits.select(coefficients).scalar())
+    y_hat = F.array_repeat(F.col("_fit.intercept"), cfg.output_size)
+    for i, lag in enumerate(lags):
+        y_hat = _add_scaled(y_hat, _lagged(F.col("x"), lag, cfg, 0), F.get("_fit.weights", F.lit(i)))
     carried = ["y"] if "y" in windows.columns else []
-    return windows.select(*keys, "win", y_hat.alias("y_hat"), *carried)
+    return beside.select(*keys, "win", y_hat.alias("y_hat"), *carried)
+
+
+def _series_forecasts(
+    name: dict, index, inputs, outputs, n_in: int, n_out: int, fit_predict: Callable, train: tuple[int, int],
+    predict: tuple[int, int],
+):
+    """What a user model gives for one series: arrays sorted by index, inputs of shape (rows, columns)."""
+    import numpy as np
+
+    first = int(index[0]) if len(index) else 0
+    # Windows are views by position: a late start, a gap or a short series would shift them unnoticed.
+    if not len(index) or first > train[0] or index[-1] < predict[1] + n_in - 1 or (np.diff(index) != 1).any():
+        raise ValueError(f"{name}: the series must run without gaps from {train[0]} to {predict[1] + n_in - 1}; it has "
+                         f"{len(index)} rows from {first} to {int(index[-1]) if len(index) else 0}")
+    x = np.lib.stride_tricks.sliding_window_view(inputs, n_in, axis=0).transpose(0, 2, 1)
+    y = np.lib.stride_tricks.sliding_window_view(outputs, n_out)
+
+    def part(array, bounds, offset=0):
+        return array[bounds[0] - first + offset: bounds[1] - first + offset + 1]
+
+    return fit_predict(part(x, train), part(y, train, n_in), part(x, predict))
 
 
 def user_model(
@@ -262,19 +338,9 @@ def user_model(
         import pandas as pd
 
         pdf = pdf.sort_values("index")
-        first, index = int(pdf["index"].iloc[0]), pdf["index"].to_numpy()
-        # Windows are views by position: a late start, a gap or a short series would shift them unnoticed.
-        if first > train[0] or index[-1] < predict[1] + n_in - 1 or (np.diff(index) != 1).any():
-            raise ValueError(f"{dict(zip(key_names, group))}: the series must run without gaps from {train[0]} "
-                             f"to {predict[1] + n_in - 1}; it has {len(index)} rows from {first} to {int(index[-1])}")
-        inputs = np.lib.stride_tricks.sliding_window_view(
-            pdf[names].to_numpy(dtype="float64"), n_in, axis=0).transpose(0, 2, 1)
-        outputs = np.lib.stride_tricks.sliding_window_view(pdf[target].to_numpy(dtype="float64"), n_out)
-
-        def part(array, bounds, offset=0):
-            return array[bounds[0] - first + offset: bounds[1] - first + offset + 1]
-
-        y_hat = fit_predict(part(inputs, train), part(outputs, train, n_in), part(inputs, predict))
+        y_hat = _series_forecasts(
+            dict(zip(key_names, group)), pdf["index"].to_numpy(), pdf[names].to_numpy(dtype="float64"),
+            pdf[target].to_numpy(dtype="float64"), n_in, n_out, fit_predict, train, predict)
         out = pd.DataFrame({"win": np.arange(predict[0], predict[1] + 1, dtype="int32"), "y_hat": list(y_hat)})
         for i, (name, value) in enumerate(zip(key_names, group)):
             out.insert(i, name, value)
@@ -282,3 +348,58 @@ def user_model(
 
     wanted = list(dict.fromkeys([*keys, "index", *columns, target]))
     return series.select(*wanted).groupBy(*keys).applyInPandas(run, schema)
+
+
+def user_model_by_sensor(
+    appliance: DataFrame, normalized: DataFrame, households: DataFrame, cfg: Config, fit_predict: Callable,
+    columns: Sequence[str], train: tuple[int, int], predict: tuple[int, int],
+) -> DataFrame:
+    """Forecasts of a user model for each sensor that a household has: (city, community, dataid, sensor, win, y_hat).
+
+    Raw and normalised rows of a household stay wide and travel to its task once. They arrive as a stream of Arrow
+    batches; the model then runs sensor by sensor and each sensor's forecasts leave as a batch of their own, so a task
+    holds one household's rows (the grid bounds them) and one sensor's windows.
+    """
+    sensors, features = list(cfg.appliances), [c for c in columns if c in FEATURES]
+    raw = appliance.select("dataid", "index", F.lit(False).alias("_scaled"), *sensors)
+    scaled = normalized.select("dataid", "index", F.lit(True).alias("_scaled"), *sensors, *features)
+    homes = households.select("city", "community", "dataid", F.col("sensors").alias("_owned"))
+    wide = raw.unionByName(scaled, allowMissingColumns=True).join(homes, "dataid")
+    keys, n_in, n_out = ["city", "community", "dataid"], cfg.input_size, cfg.output_size
+    types = {f.name: f.dataType for f in wide.schema}
+    schema = T.StructType(
+        [T.StructField(k, types[k]) for k in keys]
+        + [T.StructField("sensor", T.StringType()), T.StructField("win", T.IntegerType()),
+           T.StructField("y_hat", T.ArrayType(T.DoubleType()))])
+
+    def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        parts, owned = [], []
+        for batch in batches:
+            owned = owned or batch.column("_owned")[0].as_py()
+            parts.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("index", "_scaled", *sensors, *features)})
+        rows = {c: np.concatenate([p.pop(c) for p in parts]) for c in list(parts[0])}
+        is_scaled = rows.pop("_scaled").astype(bool)
+        order = {kind: np.flatnonzero(is_scaled == kind)[np.argsort(rows["index"][is_scaled == kind], kind="stable")]
+                 for kind in (False, True)}
+        index = rows["index"][order[False]]
+        if not np.array_equal(index, rows["index"][order[True]]):
+            raise ValueError(f"household {group[2].as_py()}: raw and normalised rows differ")
+        wins = pa.array(np.arange(predict[0], predict[1] + 1, dtype="int32"))
+        for sensor in sensors:
+            if sensor not in owned:
+                continue
+            source = {"scaled": (sensor, True), "total": (sensor, False)} | {f: (f, True) for f in features}
+            inputs = np.column_stack([
+                rows[name][order[kind]].astype("float64") for name, kind in (source[c] for c in columns)])
+            y_hat = _series_forecasts(
+                {"dataid": group[2].as_py(), "sensor": sensor}, index, inputs, rows[sensor][order[False]].astype("float64"),
+                n_in, n_out, fit_predict, train, predict)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k.as_py()] * len(wins), type=k.type) for k in group]
+                + [pa.array([sensor] * len(wins)), wins, pa.array([row.tolist() for row in np.asarray(y_hat, dtype="float64")],
+                                                                  type=pa.list_(pa.float64()))],
+                names=[*keys, "sensor", "win", "y_hat"])
+
+    return wide.groupBy(*keys).applyInArrow(run, schema)

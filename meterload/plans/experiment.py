@@ -11,19 +11,25 @@ from meterload.config import FEATURES, LEVELS, Config
 from meterload.operators.bottomup import ENTITY_KEYS, PATH_KEYS, bottom_up, stack_levels, tag
 from meterload.operators.evaluate import evaluation_table, level_report, pair_actuals, summarize_table, window_errors
 from meterload.operators.forecast import (
+    EntityRegression,
     Forecaster,
     GlobalRegression,
     LagRegression,
     Model,
     UserModel,
-    apply_global_regression,
+    apply_regression,
     attach_fit,
     fit_appliance_regression,
-    fit_global_regression,
     fit_lag_regression,
+    fit_lines,
     forecast,
     input_part,
+    lagged_appliances,
+    lagged_table,
+    needs_mean,
+    training_targets,
     user_model,
+    user_model_by_sensor,
 )
 from meterload.operators.hierarchy import entity_counts, household_map
 from meterload.operators.report import mean_load, std_load
@@ -39,30 +45,47 @@ from meterload.sources.tables import spread
 
 def level_windows(
     tables: dict[str, DataFrame], metadata: DataFrame, level: str, cfg: Config, first: int, last: int,
-    keep=None, part: tuple[int, int] | None = None,
+    keep=None, part: tuple[int, int] | None = None, mean: bool = False,
 ) -> DataFrame:
-    """(path keys, win, x, y) of a level's entities, raw values."""
+    """(path keys, win, x, y[, x_mean]) of a level's entities, raw values."""
     if level == "appliance":
         homes = household_map(metadata, cfg)
-        return appliance_windows(tables[level], homes, cfg, first, last, keep=keep, part=part)
-    cut = value_windows(tables[level], ENTITY_KEYS[level], "total", cfg, first, last, keep=keep, part=part)
-    return place(cut, level, metadata).select(*PATH_KEYS[level], "win", "x", "y")
+        return appliance_windows(tables[level], homes, cfg, first, last, keep=keep, part=part, mean=mean)
+    cut = value_windows(tables[level], ENTITY_KEYS[level], "total", cfg, first, last, keep=keep, part=part, mean=mean)
+    return place(cut, level, metadata).select(*PATH_KEYS[level], "win", "x", "y", *(["x_mean"] if mean else []))
 
 
-def level_series(tables: dict[str, DataFrame], metadata: DataFrame, level: str, cfg: Config) -> DataFrame:
-    """(path keys, index, total, scaled, features): raw values beside the normalised table of a level, one row
-    per entity and step."""
+def level_series(tables: dict[str, DataFrame], metadata: DataFrame, level: str) -> DataFrame:
+    """(path keys, index, total, scaled, features): raw values beside the normalised table of a level above
+    appliances, one row per entity and step."""
     raw, normal, keys = tables[level], tables[f"normalized_{level}"], ENTITY_KEYS[level]
-    if level == "appliance":
-        sensors = list(cfg.appliances)
-        raw = raw.select("dataid", "index", *sensors).unpivot(["dataid", "index"], sensors, "sensor", "total")
-        normal = normal.unpivot(["dataid", "index", *FEATURES], sensors, "sensor", "scaled")
-        homes = household_map(metadata, cfg).withColumn("sensor", F.explode("sensors")).drop("sensors")
-        return raw.join(normal, [*keys, "index"]).join(homes, keys)
     normal = normal.select(*keys, "index", *FEATURES, F.col("total").alias("scaled"))
     return place(raw.select(*keys, "index", "total").join(normal, [*keys, "index"]), level, metadata)
 
 
+def level_lags(
+    tables: dict[str, DataFrame], metadata: DataFrame, level: str, lags: Sequence[int], cfg: Config
+) -> tuple[DataFrame, list[str]]:
+    """(path keys, index, y, lag columns) of a level's training targets."""
+    if level == "appliance":
+        return lagged_appliances(tables[level], household_map(metadata, cfg), lags, cfg, *training_targets(cfg))
+    keys = ENTITY_KEYS[level]
+    series = place(tables[level].select(*keys, "index", "total"), level, metadata)
+    return lagged_table(series, PATH_KEYS[level], "total", lags, *training_targets(cfg))
+
+
+def _user_forecasts(
+    tables: dict[str, DataFrame], metadata: DataFrame, level: str, model: UserModel, cfg: Config
+) -> DataFrame:
+    train, test = (1, cfg.last_train_window), (cfg.test_start, cfg.last_window)
+    if level == "appliance":
+        return user_model_by_sensor(
+            tables[level], tables[f"normalized_{level}"], household_map(metadata, cfg), cfg, model.fit_predict,
+            model.columns, train, test)
+    series = level_series(tables, metadata, level)
+    return user_model(series, PATH_KEYS[level], cfg, model.fit_predict, model.columns, "total", train, test)
+
+
 def _fit(tables: dict[str, DataFrame], level: str, lag: int, cfg: Config, held_out=None) -> DataFrame:
     if level == "appliance":
         return fit_appliance_regression(tables[level], cfg.appliances, lag, cfg, held_out)
@@ -84,16 +107,14 @@ def _predict(
 ) -> DataFrame:
     keys, first, last = PATH_KEYS[level], cfg.test_start, cfg.last_window
     if isinstance(model, UserModel):
-        series = level_series(tables, metadata, level, cfg)
-        return user_model(
-            series, keys, cfg, model.fit_predict, model.columns, "total", (1, cfg.last_train_window), (first, last))
-    if isinstance(model, GlobalRegression):
-        series = level_series(tables, metadata, level, cfg)
-        fitted = fit_global_regression(series, keys, "total", model.lags, cfg)
+        return _user_forecasts(tables, metadata, level, model, cfg)
+    if isinstance(model, GlobalRegression | EntityRegression):
+        table, names = level_lags(tables, metadata, level, model.lags, cfg)
+        fits = fit_lines(table, names, keys if isinstance(model, EntityRegression) else ())
         windows = level_windows(tables, metadata, level, cfg, first, last).drop("y")
-        return apply_global_regression(windows, keys, fitted, model.lags, cfg)
+        return apply_regression(windows, keys, fits, model.lags, cfg)
     start, length = part = input_part([model], cfg)
-    windows = level_windows(tables, metadata, level, cfg, first, last, part=part).drop("y")
+    windows = level_windows(tables, metadata, level, cfg, first, last, part=part, mean=needs_mean([model])).drop("y")
     return forecast(_fitted(windows, tables, level, [model], cfg), keys, model, cfg, start)
 
 
@@ -108,11 +129,11 @@ def _search(
 
     keys = PATH_KEYS[level]
     start, length = part = input_part(candidates, cfg)
-    last = cfg.last_train_window
-    validation = level_windows(tables, metadata, level, cfg, 1, last, keep=held_out, part=part)
+    last, mean = cfg.last_train_window, needs_mean(candidates)
+    validation = level_windows(tables, metadata, level, cfg, 1, last, keep=held_out, part=part, mean=mean)
     validation = _fitted(validation, tables, level, candidates, cfg, held_out)
     best = best_candidates(score_candidates(validation, keys, candidates, cfg, start), keys)
-    test = level_windows(tables, metadata, level, cfg, cfg.test_start, cfg.last_window, part=part).drop("y")
+    test = level_windows(tables, metadata, level, cfg, cfg.test_start, cfg.last_window, part=part, mean=mean).drop("y")
     test = _fitted(test, tables, level, candidates, cfg)
     return forecast_with_best(test, keys, best, candidates, cfg, start).drop("candidate"), best
 

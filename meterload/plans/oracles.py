@@ -80,6 +80,11 @@ CAST(month(ts) AS INTEGER) AS "month", CAST(isodow(ts) - 1 AS INTEGER) AS dayofw
 CAST(hour(ts) AS INTEGER) AS hourofday, CAST(minute(ts) AS INTEGER) AS minuteofhour,
 CASE WHEN isodow(ts) >= 6 THEN 1 ELSE -1 END AS typeofday"""
 
+def _frames(keys: str) -> str:
+    return (f"WINDOW xs AS (PARTITION BY {keys} ORDER BY idx ROWS BETWEEN CURRENT ROW AND 71 FOLLOWING), "
+            f"ys AS (PARTITION BY {keys} ORDER BY idx ROWS BETWEEN 72 FOLLOWING AND 83 FOLLOWING)")
+
+
 KEYS = {
     "appliance": "city, community, dataid, sensor",
     "household": "city, community, dataid",
@@ -143,6 +148,51 @@ naive AS (
   JOIN drift d ON {_same('a', 'd', keys)})"""
 
 
+# Least squares with two inputs, from the aggregates of m; a column that the other explains, or a constant one, gets 0.
+TWO_LAGS = """
+b AS (
+  SELECT *, CASE WHEN v1 <= 0 THEN 0 ELSE (c1 - b2 * c12) / v1 END AS b1 FROM (
+    SELECT *, CASE WHEN p2 > 1e-9 * v2 THEN q2 / p2 ELSE 0 END AS b2 FROM (
+      SELECT *, CASE WHEN v1 <= 0 THEN v2 ELSE v2 - c12 * c12 / v1 END AS p2,
+             CASE WHEN v1 <= 0 THEN c2 ELSE c2 - c12 * c1 / v1 END AS q2 FROM m)))"""
+
+MOMENTS_2 = """avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
+         covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2"""
+
+
+def _two_lag_forecasts(base: str, by: str) -> str:
+    """CTE `naive` for regressions with lags 24 and 48: for all entities (`by` empty) or for each."""
+    keys = KEYS[base]
+    chosen = ", ".join(f"a.{k}" for k in keys.split(", "))
+    group, match = (f"GROUP BY {by}", f"JOIN b ON {_same('a', 'b', by)}") if by else ("", "CROSS JOIN b")
+    return f"""
+lagged AS MATERIALIZED (
+  SELECT {keys}, idx, total AS y, lag(total, 24) OVER w AS x1, lag(total, 48) OVER w AS x2 FROM {SERIES[base]}
+  WINDOW w AS (PARTITION BY {keys} ORDER BY idx)),
+m AS (SELECT {by + ', ' if by else ''}{MOMENTS_2} FROM lagged WHERE idx BETWEEN 73 AND 576 {group}),
+{TWO_LAGS},
+naive AS MATERIALIZED (
+  SELECT {chosen}, t.win, t.h, a.y, b.my + b.b1 * (a.x1 - b.m1) + b.b2 * (a.x2 - b.m2) AS y_hat
+  FROM targets t JOIN lagged a ON a.idx = t.idx {match})"""
+
+
+# The user model on normalised appliances: z-scores of a sensor over all placed households.
+DRIFTED_APPLIANCES = f"""
+zs AS (
+  SELECT p.city, p.community, a.dataid, a.sensor, a.idx, a.v AS total,
+         coalesce((a.v - avg(a.v) OVER s) / nullif(stddev_samp(a.v) OVER s, 0), 'nan'::DOUBLE) AS z
+  FROM appliance a JOIN placed p ON p.dataid = a.dataid WINDOW s AS (PARTITION BY a.sensor)),
+z AS (SELECT zs.* FROM zs JOIN present e ON e.dataid = zs.dataid AND e.sensor = zs.sensor),
+cut AS (
+  SELECT city, community, dataid, sensor, idx AS win, avg(z) OVER xs AS x, avg(total) OVER ys AS y
+  FROM z {_frames('city, community, dataid, sensor')}),
+drift AS (SELECT city, community, dataid, sensor, avg(y) AS m FROM cut WHERE win <= 493 GROUP BY ALL),
+naive AS (
+  SELECT a.city, a.community, a.dataid, a.sensor, t.win, t.h, a.total AS y, d.m + c.x AS y_hat
+  FROM targets t JOIN owned a ON a.idx = t.idx JOIN cut c ON c.dataid = a.dataid AND c.sensor = a.sensor AND c.win = t.win
+  JOIN drift d ON d.dataid = a.dataid AND d.sensor = a.sensor)"""
+
+
 def _errors(base: str, forecasts: str | None = None) -> str:
     above = LEVELS[LEVELS.index(base):]
     return f"WITH {FULL}, {TARGETS}, {forecasts or _naive(base)} " + " UNION ALL ".join(_level_rows(base, lv) for lv in above)
@@ -168,11 +218,6 @@ def _described(name: str, expr: str, frame: str) -> str:
             f"round(first_value({expr}) OVER {frame}, 4) AS first_{name}, round(last_value({expr}) OVER {frame}, 4) AS last_{name}")
 
 
-def _frames(keys: str) -> str:
-    return (f"WINDOW xs AS (PARTITION BY {keys} ORDER BY idx ROWS BETWEEN CURRENT ROW AND 71 FOLLOWING), "
-            f"ys AS (PARTITION BY {keys} ORDER BY idx ROWS BETWEEN 72 FOLLOWING AND 83 FOLLOWING)")
-
-
 DAILY = """
 daily AS (
   SELECT user_id // 20 AS dataid, user_id % 20 AS s,
@@ -261,6 +306,53 @@ best AS (
   SELECT community, arg_min(candidate, val_mae) AS candidate, min(val_mae) AS val_mae
   FROM (SELECT community, candidate, avg(e) AS val_mae FROM scored GROUP BY ALL) GROUP BY community)"""
 
+# Rungs of successive halving: windows of rung 0, those that rung 1 adds, the rest.
+HALVING = """
+wins AS (
+  SELECT win, CASE WHEN d % 9 = 0 THEN 0 WHEN d % 3 = 0 THEN 1 ELSE 2 END AS rung FROM (
+    SELECT CAST(i AS INTEGER) AS win, ('0x' || substr(md5('rung:' || i), 1, 8))::BIGINT AS d
+    FROM range(1, 494) t(i) WHERE (i * 7919) % 100 < 20)),
+means AS (
+  SELECT community, idx AS win, avg(total) OVER (
+    PARTITION BY community ORDER BY idx ROWS BETWEEN CURRENT ROW AND 71 FOLLOWING) AS m FROM community),
+steps AS (SELECT CAST(i AS INTEGER) AS h FROM range(0, 12) t(i)),
+scored AS (
+  SELECT community, rung, win, candidate, avg(e) AS e FROM (
+    SELECT a.community, w.rung, w.win, 'naive_' || l.lag AS candidate, abs(a.total - b.total) AS e
+    FROM wins w, steps h, (VALUES (12), (24), (36), (48), (60), (72)) l(lag)
+    JOIN community a ON a.idx = w.win + 72 + h.h
+    JOIN community b ON b.community = a.community AND b.idx = a.idx - l.lag
+    UNION ALL
+    SELECT a.community, w.rung, w.win, 'window_mean', abs(a.total - m.m)
+    FROM wins w, steps h JOIN community a ON a.idx = w.win + 72 + h.h
+    JOIN means m ON m.community = a.community AND m.win = w.win) GROUP BY ALL),
+rung0 AS (
+  SELECT community, candidate FROM scored WHERE rung = 0 GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY community ORDER BY avg(e), candidate) <= 3),
+rung1 AS (
+  SELECT community, candidate FROM scored JOIN rung0 USING (community, candidate) WHERE rung <= 1 GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY community ORDER BY avg(e), candidate) <= 1)"""
+
+# Targets of the windows of three folds with their lags, as often as windows contain them.
+FOLDS = """
+folded AS (
+  SELECT CAST(i AS INTEGER) AS win, CAST((i - 1) // 192 AS INTEGER) AS fold FROM range(1, 577) t(i) WHERE (i - 1) % 192 < 109),
+targets_of AS MATERIALIZED (SELECT fold, win + 72 + h AS idx FROM folded, range(0, 12) s(h)),
+lagged AS MATERIALIZED (
+  SELECT community, idx, total AS y, lag(total, 12) OVER w AS x0, lag(total, 24) OVER w AS x1, lag(total, 48) OVER w AS x2
+  FROM community WINDOW w AS (PARTITION BY community ORDER BY idx)),
+pairs AS MATERIALIZED (SELECT l.*, t.fold FROM targets_of t JOIN lagged l ON l.idx = t.idx),
+m AS (
+  SELECT community, f.fold, {moments} FROM pairs, range(0, 3) f(fold) WHERE pairs.fold <> f.fold GROUP BY community, f.fold),
+{two},
+fold_scores AS (
+  SELECT p.community, p.fold, c.candidate, sqrt(avg((p.y - CASE c.candidate
+           WHEN 'naive_12' THEN x0 WHEN 'naive_24' THEN x1 WHEN 'naive_24_48' THEN (x1 + x2) / 2
+           WHEN 'regression_24' THEN my + CASE WHEN v1 <= 0 THEN 0 ELSE c1 / v1 END * (x1 - m1)
+           ELSE my + b1 * (x1 - m1) + b2 * (x2 - m2) END) ** 2)) AS rmse
+  FROM pairs p JOIN b ON b.community = p.community AND b.fold = p.fold,
+       (VALUES ('naive_12'), ('naive_24'), ('naive_24_48'), ('regression_24'), ('regression_24_48')) c(candidate) GROUP BY ALL)"""
+
 LAG_PAIRS = """
 SELECT {key} AS k, idx, total AS y, lag(total, 24) OVER (PARTITION BY {key} ORDER BY idx) AS y_lag FROM {level}
 QUALIFY idx BETWEEN 73 AND 576"""
@@ -282,8 +374,7 @@ def _level_union(select: str) -> str:
 ORDER_LEVELS = f"""{ORDER_SPANS},
 located AS (
   SELECT c.c_custkey AS dataid, r.r_name AS city, n.n_name AS state, c.c_mktsegment AS segment
-  FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
-  WHERE c.c_custkey % 7 <> 0),
+  FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey),
 homes AS (SELECT k.*, l.city, l.state, l.segment FROM kept k JOIN located l ON l.dataid = k.dataid),
 placed AS (
   SELECT * REPLACE (CAST(community AS INTEGER) AS community) FROM (
@@ -314,6 +405,12 @@ SELECT base_level, level, round(avg(mae_mean), 4) AS mae_mean, round(avg(rmse_me
        round(avg(mae_std), 4) AS mae_std, round(avg(rmse_std), 4) AS rmse_std FROM ({rows}) WHERE {where} GROUP BY 1, 2"""
 
 
+def _report_of(base: str, forecasts: str) -> str:
+    return f"""
+SELECT base_level, level, round(avg(mae_mean), 4) AS mae_mean, round(avg(rmse_mean), 4) AS rmse_mean,
+       round(avg(mae_std), 4) AS mae_std, round(avg(rmse_std), 4) AS rmse_std FROM ({_summary(base, forecasts)}) GROUP BY 1, 2"""
+
+
 ORACLES: dict[str, str] = {
     "city_load_flagship": f"""
 WITH {HOURLY}, {HOMES}
@@ -434,7 +531,7 @@ WHERE win BETWEEN 577 AND 637""",
     "appliance_training_pairs": f"""
 WITH {FULL}, {APPLIANCE_SERIES}
 SELECT * FROM (SELECT dataid, sensor, idx AS win, {_described('x', 'z', 'xs')}, {FIELD_SUMS}, {_described('y', 'total', 'ys')}
-  FROM scaled {_frames('dataid, sensor')}) WHERE win BETWEEN 433 AND 493""",
+  FROM scaled {_frames('dataid, sensor')}) WHERE win <= 493""",
     "output_windows": f"""
 WITH {BASE} SELECT * FROM (SELECT community, idx AS win, {_described('y', 'total', 'ys')} FROM community {_frames('community')})
 WHERE win <= 637""",
@@ -463,6 +560,31 @@ WITH {BASE}, {TARGETS}, pairs AS ({LAG_PAIRS.format(key='city', level='city')}),
 fits AS (SELECT k AS city, regr_slope(y, y_lag) AS b, regr_intercept(y, y_lag) AS a FROM pairs GROUP BY 1)
 SELECT c.city, t.win, t.h, round(f.a + f.b * c.total, 7) AS y_hat
 FROM targets t JOIN city c ON c.idx = t.idx - 24 JOIN fits f ON f.city = c.city""",
+    "lag_regression_multi": f"""
+WITH {BASE},
+pairs AS (
+  SELECT a.dataid, a.total AS y, p.total AS x1, q.total AS x2 FROM household a
+  JOIN household p ON p.dataid = a.dataid AND p.idx = a.idx - 24
+  JOIN household q ON q.dataid = a.dataid AND q.idx = a.idx - 48 WHERE a.idx BETWEEN 73 AND 576),
+m AS (SELECT dataid, {MOMENTS_2} FROM pairs GROUP BY 1), {TWO_LAGS}
+SELECT dataid, round(my - b1 * m1 - b2 * m2, 4) AS intercept, round(b1, 4) AS weight_24, round(b2, 4) AS weight_48 FROM b""",
+    "candidate_halving": f"""
+WITH {BASE}, {HALVING}
+SELECT community, candidate, round(avg(e), 7) AS val_mae, count(*) AS n_windows
+FROM scored JOIN rung1 USING (community, candidate) GROUP BY 1, 2""",
+    "kfold_scores": f"""
+WITH {BASE}, {FOLDS.format(moments=MOMENTS_2, two=TWO_LAGS)}
+SELECT community, fold, candidate, round(rmse, 4) AS rmse FROM fold_scores""",
+    "kfold_best": f"""
+WITH {BASE}, {FOLDS.format(moments=MOMENTS_2, two=TWO_LAGS)}
+SELECT community, arg_min(candidate, rmse) AS candidate, round(min(rmse), 4) AS rmse
+FROM (SELECT community, candidate, avg(rmse) AS rmse FROM fold_scores GROUP BY ALL) GROUP BY 1""",
+    "window_statistics": f"""
+WITH {BASE} SELECT * FROM (
+  SELECT community, idx AS win, round(avg(total) OVER xs, 7) AS mean, round(stddev_samp(total) OVER xs, 4) AS std
+  FROM community {_frames('community')}) WHERE win <= 637""",
+    "user_aggregate_present": f"""
+WITH {HOURLY} SELECT dataid, {', '.join(f'bool_or({s} IS NOT NULL) AS {s}' for s in (*SENSORS, 'grid'))} FROM hourly GROUP BY 1""",
     "lag_regression_global": f"""
 WITH {BASE}, pairs AS ({LAG_PAIRS.format(key='community', level='community')})
 SELECT 24 AS lag, round(regr_slope(y, y_lag), 4) AS slope, round(regr_intercept(y, y_lag), 4) AS intercept FROM pairs""",
@@ -529,12 +651,18 @@ m AS (
   SELECT avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
          covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM pairs),
 b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m)
-SELECT p.community, t.win, t.h, round(b.y - b1 * b.x1 - b2 * b.x2 + b1 * p.total + b2 * q.total, 4) AS y_hat
+SELECT p.community, t.win, t.h, round(b.y - b1 * b.x1 - b2 * b.x2 + b1 * p.total + b2 * q.total, 7) AS y_hat
 FROM b, targets t JOIN community p ON p.idx = t.idx - 24 JOIN community q ON q.community = p.community AND q.idx = t.idx - 48""",
     "user_model_levels": f"""
 SELECT base_level, level, round(avg(mae_mean), 4) AS mae_mean, round(avg(rmse_mean), 4) AS rmse_mean,
        round(avg(mae_std), 4) AS mae_std, round(avg(rmse_std), 4) AS rmse_std
 FROM ({' UNION ALL '.join(f"({_summary(b, _drifted(b))})" for b in LEVELS[1:])}) GROUP BY 1, 2""",
+    "user_model_appliance": _report_of("appliance", DRIFTED_APPLIANCES),
+    "global_model_appliance": _report_of("appliance", _two_lag_forecasts("appliance", "")),
+    "entity_regression_levels": f"""
+SELECT base_level, level, round(avg(mae_mean), 4) AS mae_mean, round(avg(rmse_mean), 4) AS rmse_mean,
+       round(avg(mae_std), 4) AS mae_std, round(avg(rmse_std), 4) AS rmse_std
+FROM ({' UNION ALL '.join(f"({_summary(b, _two_lag_forecasts(b, KEYS[b]))})" for b in LEVELS[1:])}) GROUP BY 1, 2""",
     "user_model_hook": f"""
 WITH {BASE}, {TARGETS},
 cut AS (SELECT city, idx AS win, avg(total) OVER xs AS x, avg(total) OVER ys AS y FROM city {_frames('city')}),
@@ -634,8 +762,10 @@ FROM placed p JOIN (SELECT o_custkey AS dataid, count(*) AS n FROM orders GROUP
     "profile_source_metadata": f"""
 WITH {ORDER_LEVELS}
 SELECT o.dataid, city, state, segment, n AS n_readings
-FROM (SELECT o_custkey AS dataid, count(*) AS n FROM orders GROUP BY 1) o LEFT JOIN located l ON l.dataid = o.dataid""",
+FROM (SELECT o_custkey AS dataid, count(*) AS n FROM orders GROUP BY 1) o
+LEFT JOIN (SELECT * FROM located WHERE dataid IN (SELECT user_id FROM events)) l ON l.dataid = o.dataid""",
     "matrix_roundtrip": f"""
 WITH {BASE}, {TARGETS} SELECT c.city, t.win, t.h, round(c.total, 7) AS y_hat FROM targets t JOIN city c ON c.idx = t.idx - 24""",
 }
+ORACLES["partition_hook"] = ORACLES["training_curve"]
 ORACLES.update({f"bottomup_{base}": _evaluation(base) for base in LEVELS})

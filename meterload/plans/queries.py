@@ -15,20 +15,25 @@ from meterload import fixtures as fx
 from meterload.config import FEATURES, LEVELS
 from meterload.functions.features import calendar_columns, scale_calendar
 from meterload.functions.time import grid_time
-from meterload.operators import bottomup, evaluate, hierarchy, report, splits, windows
+from meterload.operators import bottomup, evaluate, hierarchy, hooks, report, splits, windows
 from meterload.operators.clean import add_time, bounded_fill, clean_slots, mask_limit, mask_row_zscore
+from meterload.operators.crossval import LagModel, best_over_folds
+from meterload.operators.crossval import kfold_scores as fold_scores
 from meterload.operators.forecast import (
+    EntityRegression,
+    GlobalRegression,
     LagRegression,
     SeasonalNaive,
     UserModel,
     WindowMean,
-    apply_global_regression,
+    apply_regression,
     attach_fit,
     fit_appliance_regression,
-    fit_global_regression,
     fit_lag_regression,
+    fit_regression,
     forecast,
     input_part,
+    needs_mean,
     user_model,
 )
 from meterload.operators.grid import align_readings, expose_gaps, time_spine
@@ -42,7 +47,7 @@ from meterload.operators.rollup import (
     totals_by_grouping_sets,
     with_features,
 )
-from meterload.operators.search import best_candidates, forecast_with_best, score_candidates
+from meterload.operators.search import best_candidates, forecast_with_best, halve_candidates, score_candidates
 from meterload.plans import experiment
 from meterload.plans.preprocess import Store, build_levels, preprocess
 from meterload.session import scratch_path
@@ -100,16 +105,19 @@ def _city(spark: SparkSession, folder: str) -> DataFrame:
     return _levels(spark, folder)["city"]
 
 
-def _cut(series: DataFrame, level: str, first: int = FIRST, last: int = LAST, keep=None, part=None) -> DataFrame:
-    """(path keys, win, x, y) of a level above appliances."""
+def _cut(
+    series: DataFrame, level: str, first: int = FIRST, last: int = LAST, keep=None, part=None, mean: bool = False,
+) -> DataFrame:
+    """(path keys, win, x, y[, x_mean]) of a level above appliances."""
     keys = bottomup.PATH_KEYS[level]
-    return windows.value_windows(series, keys, "total", CFG, first, last, keep=keep, part=part)
+    return windows.value_windows(series, keys, "total", CFG, first, last, keep=keep, part=part, mean=mean)
 
 
 def _predict(series: DataFrame, level: str, model) -> DataFrame:
     """(path keys, win, y_hat, y) over the test windows."""
     start, length = part = input_part([model], CFG)
-    return forecast(_cut(series, level, part=part), bottomup.PATH_KEYS[level], model, CFG, start)
+    cut = _cut(series, level, part=part, mean=needs_mean([model]))
+    return forecast(cut, bottomup.PATH_KEYS[level], model, CFG, start)
 
 
 # --- flagship, grid, profile ---------------------------------------------------------------------
@@ -395,10 +403,9 @@ def appliance_input_windows(spark, folder):
 
 
 def appliance_training_pairs(spark, folder):
-    """Normalised inputs and raw outputs of every appliance over the last training windows."""
+    """Normalised inputs and raw outputs of every appliance over all training windows."""
     raw, scaled, homes = _appliance_tables(spark, folder)
-    first = CFG.last_train_window - 60
-    cut = windows.appliance_pairs(raw, scaled, homes, CFG, first, CFG.last_train_window)
+    cut = windows.appliance_pairs(raw, scaled, homes, CFG, 1, CFG.last_train_window)
     return cut.select("dataid", "sensor", "win", *_fields(), *_describe("y", F.col("y")))
 
 
@@ -411,6 +418,12 @@ def actual_windows(spark, folder):
     return cut.select("dataid", "sensor", "win", *_describe("y", F.col("y")))
 
 
+def window_statistics(spark, folder):
+    """Mean and deviation of every input window of a community, from running sums."""
+    cut = windows.window_statistics(_community(spark, folder), ["community"], "total", CFG.input_size, 1, CFG.last_window)
+    return cut.select("community", "win", _r("mean", 7), _r("std"))
+
+
 # --- forecasts -----------------------------------------------------------------------------------
 
 def _long(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -438,10 +451,15 @@ def lag_regression_forecast(spark, folder):
 
 
 def lag_regression_global(spark, folder):
-    model = fit_global_regression(_community(spark, folder), ["community"], "total", [24], CFG)
-    coefficients = [(24, float(model.coefficients[0]), float(model.intercept))]
-    fitted = spark.createDataFrame(coefficients, "lag int, slope double, intercept double")
-    return fitted.select("lag", _r("slope"), _r("intercept"))
+    fits = fit_regression(_community(spark, folder), ["community"], "total", [24], CFG)
+    return fits.select(F.lit(24).alias("lag"), F.round(F.get("weights", F.lit(0)), 4).alias("slope"), _r("intercept"))
+
+
+def lag_regression_multi(spark, folder):
+    """One model with two lags for each household."""
+    fits = fit_regression(_household(spark, folder), ["dataid"], "total", [24, 48], CFG, ["dataid"])
+    weights = [F.round(F.get("weights", F.lit(i)), 4).alias(f"weight_{lag}") for i, lag in enumerate((24, 48))]
+    return fits.select("dataid", _r("intercept"), *weights)
 
 
 def _validation(win: Column) -> Column:
@@ -449,7 +467,7 @@ def _validation(win: Column) -> Column:
 
 
 def candidate_search(spark, folder):
-    cut = _cut(_community(spark, folder), "community", 1, CFG.last_train_window, _validation)
+    cut = _cut(_community(spark, folder), "community", 1, CFG.last_train_window, _validation, mean=True)
     scores = score_candidates(cut, ["community"], CANDIDATES, CFG)
     return best_candidates(scores, ["community"]).select("community", "candidate", _r("val_mae", 7))
 
@@ -458,9 +476,9 @@ def candidate_forecast(spark, folder):
     """Test-period error of each community under its winning candidate."""
     keys = ["city", "community"]
     series = stored(_community(spark, folder), "community")
-    validation = _cut(series, "community", 1, CFG.last_train_window, _validation)
+    validation = _cut(series, "community", 1, CFG.last_train_window, _validation, mean=True)
     best = best_candidates(score_candidates(validation, keys, CANDIDATES, CFG), keys)
-    test = _cut(series, "community")
+    test = _cut(series, "community", mean=True)
     errors = evaluate.window_errors(forecast_with_best(test, keys, best, CANDIDATES, CFG), CFG)
     return errors.groupBy("community", "candidate").agg(F.round(F.avg("mae"), 7).alias("mae"))
 
@@ -479,13 +497,44 @@ def candidate_search_fitted(spark, folder):
     def held_out(win: Column) -> Column:
         return splits.holdout(win, CFG)
 
-    validation = fitted(_cut(city, "city", 1, CFG.last_train_window, held_out), held_out)
+    validation = fitted(_cut(city, "city", 1, CFG.last_train_window, held_out, mean=True), held_out)
     best = stored(best_candidates(score_candidates(validation, ["city"], candidates, CFG), ["city"]), "best")
-    test = forecast_with_best(fitted(_cut(city, "city")), ["city"], best, candidates, CFG)
+    test = forecast_with_best(fitted(_cut(city, "city", mean=True)), ["city"], best, candidates, CFG)
     errors = evaluate.window_errors(test, CFG).groupBy("city").agg(F.avg("mae").alias("mae"))
     return best.join(errors, "city").select("city", "candidate", _r("val_mae", 5), _r("mae", 5))
 
 
+HALVED = (*[SeasonalNaive(lag) for lag in (12, 24, 36, 48, 60, 72)], WindowMean())
+
+
+def candidate_halving(spark, folder):
+    """Successive halving over the held-out windows of each community: seven candidates, three rungs, a third stays."""
+    keys = ["city", "community"]
+    series = _community(spark, folder)
+    blocks = stored(windows.value_blocks(series, keys, "total", CFG, 1, CFG.last_train_window, mean=True), "blocks")
+
+    def cut(keep):
+        return windows.cut_values(blocks, keys, "total", CFG, keep, mean=True)
+
+    best = halve_candidates(cut, keys, HALVED, CFG, _validation)
+    return best.select("community", "candidate", _r("val_mae", 7), "n_windows")
+
+
+FOLD_MODELS = (LagModel((12,), False), LagModel((24,), False), LagModel((24, 48), False), LagModel((24,)), LagModel((24, 48)))
+
+
+def kfold_scores(spark, folder):
+    """Error of each candidate on each fold of each community, fitted on the other folds."""
+    scores = fold_scores(_community(spark, folder), ["community"], "total", FOLD_MODELS, CFG, 3)
+    return scores.select("community", "fold", "candidate", _r("rmse"))
+
+
+def kfold_best(spark, folder):
+    """The candidate of each community with the smallest mean error over folds."""
+    scores = fold_scores(_community(spark, folder), ["community"], "total", FOLD_MODELS, CFG, 3)
+    return best_over_folds(scores, ["community"]).select("community", "candidate", _r("rmse"))
+
+
 def appliance_regression(spark, folder):
     meta = stored(fx.metadata(spark, folder), "metadata")
     fits = fit_appliance_regression(fx.appliance_table(spark, folder, meta), CFG.appliances, 24, CFG)
@@ -496,9 +545,9 @@ def global_regression_forecast(spark, folder):
     """One model with two lags for all communities, and its forecasts."""
     keys = ["city", "community"]
     series = stored(_community(spark, folder), "community")
-    model = fit_global_regression(series, keys, "total", [24, 48], CFG)
+    fits = fit_regression(series, keys, "total", [24, 48], CFG)
     cut = _cut(series, "community")
-    return _long(apply_global_regression(cut, keys, model, [24, 48], CFG), ["community"]).withColumn("y_hat", F.round("y_hat", 4))
+    return _long(apply_regression(cut, keys, fits, [24, 48], CFG), ["community"])
 
 
 def user_model_hook(spark, folder):
@@ -649,6 +698,33 @@ def std_load_appliance(spark, folder):
     return report.std_of_appliances(fx.appliance_table(spark, folder, meta), meta, CFG).select(_r("std"))
 
 
+# --- user functions ------------------------------------------------------------------------------
+
+#: Presence of each sensor as a user would write it: states and results are flags.
+PRESENCE = hooks.UserAggregate(
+    chunk=lambda groups: groups.count() > 0,
+    agg=lambda groups: groups.any(),
+    finalize=lambda states: states,
+    state=", ".join(f"{s} BOOLEAN" for s in CFG.sensors),
+    result=", ".join(f"{s} BOOLEAN" for s in CFG.sensors),
+)
+
+
+def user_aggregate_present(spark, folder):
+    """Sensor presence per household by a user-defined aggregate over the raw readings."""
+    return hooks.user_aggregate(fx.hourly_readings(spark, folder), ["dataid"], list(CFG.sensors), PRESENCE)
+
+
+def partition_hook(spark, folder):
+    """Training curves where a user function takes each log's appliance from its path."""
+    def appliance_of(rows, path):
+        return rows.assign(appliance=path.split("appliance=")[1].split("/")[0])
+
+    logs = hooks.map_files(
+        fx.training_logs(spark, folder), appliance_of, "appliance STRING, epoch INT, mae DOUBLE, rmse DOUBLE")
+    return report.curve_of_appliances(report.curve_by_appliance(logs)).select("epoch", _r("mae", 9), _r("rmse", 9))
+
+
 # --- sources and sinks ---------------------------------------------------------------------------
 
 def roundtrip_partitioned(spark, folder):
@@ -769,12 +845,12 @@ def evaluation_tree_summary(spark, folder):
 # --- whole pipelines -----------------------------------------------------------------------------
 
 def _order_run(spark, folder) -> dict[str, DataFrame]:
-    """`preprocess` over CSV files of the orders; every seventh customer has no metadata."""
+    """`preprocess` over CSV files of the orders."""
     path = scratch_path(spark, "orders")
     readings = fx.order_readings(spark, folder).withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("+00")))
     for part, columns in ((0, ["dataid", "ts", "price"]), (1, ["price", "ts", "dataid"])):
         readings.where(F.col("dataid") % 2 == part).select(*columns).write.option("header", True).csv(f"{path}/part{part}")
-    fx.customers(spark, folder).where("dataid % 7 <> 0").selectExpr(
+    fx.customers(spark, folder).selectExpr(
         "CAST(dataid AS STRING) AS dataid", "segment", "city", "state").write.option("header", True).csv(f"{path}/metadata")
     return preprocess(
         spark, f"{path}/part*/*.csv", f"{path}/metadata", Store(f"{path}/out"), fx.ORDERS, extra=["segment"])
@@ -801,8 +877,8 @@ def generated_metadata(spark, folder):
 
 
 def profile_source_metadata(spark, folder):
-    """Profiles beside the delivered metadata; households without any stay, with NULLs."""
-    source = fx.customers(spark, folder).where("dataid % 7 <> 0")
+    """Profiles of customers with orders beside metadata of users with events; households without any stay, with NULLs."""
+    source = fx.households(spark, folder).join(fx.customers(spark, folder).select("dataid", "segment"), "dataid")
     profile = profile_readings(fx.order_readings(spark, folder), fx.ORDERS)
     return add_source_metadata(profile, source, ["segment"]).select("dataid", "city", "state", "segment", "n_readings")
 
@@ -842,6 +918,21 @@ def user_model_levels(spark, folder):
     return _report(_run(spark, folder, LEVELS[1:], models=UserModel(_drifted))[1]["report"])
 
 
+def user_model_appliance(spark, folder):
+    """The same user model for every appliance, summed to all levels."""
+    return _report(_run(spark, folder, ("appliance",), models=UserModel(_drifted))[1]["report"])
+
+
+def global_model_appliance(spark, folder):
+    """One two-lag model for all appliances, summed to all levels."""
+    return _report(_run(spark, folder, ("appliance",), models=GlobalRegression((24, 48)))[1]["report"])
+
+
+def entity_regression_levels(spark, folder):
+    """A two-lag model for each household, community and city."""
+    return _report(_run(spark, folder, LEVELS[1:], models=EntityRegression((24, 48)))[1]["report"])
+
+
 def evaluation_sink(spark, folder):
     """Stored evaluation rows of household forecasts at every level."""
     store, _ = _run(spark, folder, ("household",), models=MODELS)
@@ -876,6 +967,8 @@ QUERIES: dict[str, Query] = {
         preprocess_levels, generated_metadata, profile_source_metadata, evaluate_pipeline, evaluate_without_appliances,
         evaluate_subtree, evaluation_sink, report_csv, appliance_input_windows, appliance_training_pairs,
         validation_holdout_hash, candidate_search_fitted, appliance_regression, global_regression_forecast, user_model_levels,
+        window_statistics, lag_regression_multi, candidate_halving, kfold_scores, kfold_best, user_aggregate_present,
+        partition_hook, user_model_appliance, global_model_appliance, entity_regression_levels,
     )
 }
 QUERIES.update({f"bottomup_{base}": _bottomup(base) for base in MODELS})

@@ -86,15 +86,22 @@ def test_regressions(spark):
         slope, intercept = np.polyfit(x, y, 1)
         assert (fits[city].slope, fits[city].intercept) == pytest.approx((slope, intercept))
         xs.append(x), ys.append(y)
-    model = forecast.fit_global_regression(df, ["city"], "total", [4], CFG)
+    model = forecast.fit_regression(df, ["city"], "total", [4], CFG).first()
     slope, intercept = np.polyfit(np.concatenate(xs), np.concatenate(ys), 1)
-    assert (model.coefficients[0], model.intercept) == pytest.approx((slope, intercept))
-    two = forecast.fit_global_regression(df, ["city"], "total", [4, 7], CFG)
-    cut = windows.value_windows(df, ["city"], "total", CFG, 10, 10)
-    got = forecast.apply_global_regression(cut, ["city"], two, [4, 7], CFG).where("city = 'x'").first().y_hat
-    v, at = data["x"], 9 + I
-    want = [two.intercept + two.coefficients[0] * v[at + h - 4] + two.coefficients[1] * v[at + h - 7] for h in range(O)]
-    assert got == pytest.approx(want)
+    assert (model.weights[0], model.intercept) == pytest.approx((slope, intercept))
+    for by in ([], ["city"]):
+        two = forecast.fit_regression(df, ["city"], "total", [4, 7], CFG, by)
+        cut = windows.value_windows(df, ["city"], "total", CFG, 10, 10)
+        got = forecast.apply_regression(cut, ["city"], two, [4, 7], CFG).where("city = 'x'").first().y_hat
+        v, at = data["x"], 9 + I
+        fit = two.where("city = 'x'").first() if by else two.first()
+        names = list(data) if not by else ["x"]
+        rows = np.vstack([np.column_stack([np.ones(CFG.boundary - I), data[c][I - 4: CFG.boundary - 4],
+                                           data[c][I - 7: CFG.boundary - 7]]) for c in names])
+        want, *_ = np.linalg.lstsq(rows, np.concatenate([data[c][I: CFG.boundary] for c in names]), rcond=None)
+        assert [fit.intercept, *fit.weights] == pytest.approx(list(want))
+        want = [fit.intercept + fit.weights[0] * v[at + h - 4] + fit.weights[1] * v[at + h - 7] for h in range(O)]
+        assert got == pytest.approx(want)
     flat = df.withColumn("total", F.lit(3.0))
     assert forecast.fit_lag_regression(flat, ["city"], "total", 4, CFG).first()[1:] == (0.0, 3.0)
 
