@@ -53,7 +53,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, count="n_replaced")
+    return pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark), count="n_replaced")
 
 
 def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

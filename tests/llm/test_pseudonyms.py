@@ -2,11 +2,13 @@
 
 import datetime
 import hashlib
+import ipaddress
 import random
 import re
 import string
 
 import pytest
+import regex
 
 from meterload.llm import pseudonyms as P
 
@@ -132,6 +134,75 @@ def test_whole_secrets_timestamps_and_phones(spark):
     assert phones == [(f"+33 {d[0]} {d[1:3]} {d[3:5]} {d[5:7]} {d[7:]}", 1), (f"tel {e[:3]} {e[3:6]} {e[6:]}.", 1)]
 
 
+SECRETS = [
+    ("password: {}", "p@ssw0rd!extra"), ("pwd={}", "hunter2"), ('api_key = "{}"', "ab.cd-EF/gh.12=="), ("PASSWORD='{}'", "two words, one"),
+    ('{{"secret": "{}", "id": 3}}', "s3cr3t$value"), ("access-key: {}", "Zx9!Zx9!Zx9!"), ("passphrase={}", "pässwörd-ñ"),
+    ('token="{}', "unclosed.quote~1"), ("client_secret={}", "A" * 700 + "!" * 9), ("password: {}", "`~[]{}|\\^")]
+
+
+def test_no_part_of_a_secret_survives(spark):
+    before = [form.format(value) for form, value in SECRETS]
+    after = run(spark, before)
+    again = run(spark, [t for t, _ in after])
+    for (form, value), (text, n), (_, m) in zip(SECRETS, after, again):
+        head, tail = form.format("\0").split("\0")
+        assert (n, m) == (1, 1) and text.startswith(head) and text.endswith(tail), text
+        new = text[len(head): len(text) - len(tail)]
+        assert len(new) == len(value)
+        same = [a == b for a, b in zip(new, value) if a not in " "]
+        assert sum(same) <= max(2, len(same) // 4), (value, new)
+
+
+def mod_97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def test_accounts_addresses_and_written_dates(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000.", "DE89370400440532013001", "2001:db8::8a2e:370:7334",
+             "fe80:0:0:0:1ff:fe23:4567:890a", "12:34:56 a::b std::max", "12 March 1985", "Mar 3, 1985", "3/4/1985", "31 June 2001",
+             "ID 123 45 6789"]
+    out = run(spark, texts)
+    assert [n for _, n in out] == [1, 1, 0, 1, 1, 0, 1, 1, 1, 0, 1]
+    for text, (new, n) in zip(texts, out):
+        assert (new == text) == (n == 0)
+    for at, text in ((0, texts[0]), (1, texts[1][:-1])):
+        plain = out[at][0].rstrip(".").replace(" ", "")
+        assert plain[:2] == text[:2] and mod_97(plain[4:] + plain[:4]) == 1
+        assert [c == " " for c in out[at][0].rstrip(".")] == [c == " " for c in text]
+    for at in (3, 4):
+        assert ipaddress.IPv6Address(out[at][0]) != ipaddress.IPv6Address(texts[at])
+    day = slow_day(datetime.date(1985, 3, 12))
+    assert out[6][0] == f"{day.day} {day:%B} {day.year}"
+    day = slow_day(datetime.date(1985, 3, 3))
+    assert out[7][0] == f"{day:%b} {day.day}, {day.year}"
+    day = slow_day(datetime.date(1985, 3, 4))
+    assert out[8][0] == f"{day.month}/{day.day}/{day.year}"
+    again = run(spark, [t for t, n in out if n])
+    assert all(n == 1 for _, n in again)
+
+
+def test_social_security_numbers_stay_valid_and_apart(spark):
+    rng = random.Random(8)
+    valid = sorted({f"{a:03}-{b:02}-{c:04}" for a, b, c in (
+        (rng.randrange(1, 900), rng.randrange(1, 100), rng.randrange(1, 10000)) for _ in range(600)) if a != 666})
+    out = run(spark, valid)
+    assert all(regex.fullmatch(P.SSN, t) and n == 1 for t, n in out) and len({t for t, _ in out}) == len(valid)
+    for text, (new, _) in list(zip(valid, out))[:100]:
+        digits = slow_text(text.replace("-", ""), "ssn", string.digits)
+        while not regex.fullmatch(P.SSN, f"{digits[:3]}-{digits[3:5]}-{digits[5:]}"):
+            digits = slow_text(digits, "ssn", string.digits)
+        assert new.replace("-", "") == digits
+
+
+def test_the_key_comes_from_the_session_or_is_random(spark):
+    spark.conf.unset(P.KEY_SETTING)
+    first = P.session_key(spark)
+    assert len(first) == 64 and P.session_key(spark) == first
+    spark.conf.set(P.KEY_SETTING, "mine")
+    assert P.session_key(spark) == "mine"
+    spark.conf.unset(P.KEY_SETTING)
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     a, b, c = run(spark, ["4417744280351547", "x (4417744280351547)", "4417744280351547 " * 500])
     assert b[0] == f"x ({a[0]})" and c == (f"{a[0]} " * 500, 500)
@@ -147,5 +218,5 @@ def test_permutations_have_no_collisions(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None, "7", 3), (1, "", "7", None), (1, "", "7", None)]])
 def test_edges(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, gap string, new int")
-    got = P.pseudonymise(df)
+    got = P.pseudonymise(df, KEY)
     assert got.columns == df.columns and sorted(got.collect(), key=str) == sorted(df.collect(), key=str)
