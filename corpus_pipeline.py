@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(docs)
+    return pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
