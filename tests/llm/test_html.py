@@ -45,6 +45,27 @@ LAYOUTS = {
     "teasers beside the article": (
         f"<article><p>{LONG}</p><p>{LONG}</p></article><article><p>See also this.</p></article>", f"{LONG} {LONG}"),
     "no markup": ("just  text", "just text"),
+    "a form around the whole page": (
+        f"<body><form id=aspnetForm><div><a href=1>Home</a><a href=2>News</a><a href=3>Shop</a></div><div><h1>T</h1><p>{LONG}</p>"
+        f"<p>Short.</p><p>{LONG}</p></div></form></body>", f"T {LONG} Short. {LONG}"),
+    "a form beside the article": (f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><form><p>{LONG}</p></form>", f"T {LONG} {LONG}"),
+    "a menu without a telling name": (
+        f"<body><div class=x1><a>Home</a> <a>About us</a> <a>Contact</a></div><div class=x2><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>"
+        f"<div class=x3><ul><li><a>Press</a><li><a>Jobs</a><li><a>Terms</a></ul></div></body>", f"T {LONG} {LONG}"),
+    "a block of links inside the article": (
+        f"<article><h1>T</h1><p>{LONG}</p><div class=q7><a>One more</a><a>Another</a><a>A third</a></div><p>{LONG} <a>link</a> end</p>"
+        f"</article>", f"T {LONG} {LONG} link end"),
+    "a telling name around the article": (
+        "<body><div class=menu><a>1</a><a>2</a></div><div class='social-history'><h1>Title</h1>" + f"<p>{LONG}</p>" * 6 + "</div>"
+        f"<p>Stray line</p></body>", "Title " + " ".join([LONG] * 6)),
+    "an unclosed nav": (
+        f"<body><nav><ul><li><a>Home</a><li><a>News</a><li><a>Shop</a></ul><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article></body>",
+        f"T {LONG} {LONG}"),
+    "more comments than article": (
+        f"<article><h1>T</h1><p>{LONG}</p></article><section class=comments><h2>Replies</h2>" + f"<p>{LONG} reply</p>" * 9 + "</section>",
+        f"T {LONG}"),
+    "a single link is a line of the article": (f"<article><p>{LONG}</p><p><a>The source</a></p><p>{LONG}</p></article>", f"{LONG} The source {LONG}"),
+    "hidden blocks": (f"<article><p>{LONG}</p><div style='display: none'>{LONG}</div><p hidden>{LONG}</p></article>", LONG),
     "names rule all out": (f"<div class=sidebar><p>{LONG}</p></div>", LONG),
     "blank": ("<html></html>", ""),
 }
