@@ -8,8 +8,8 @@ Search: items are partitioned by the number of their shingles, up to a power of
 k smallest shingle hashes (bottom-k MinHash), with k from the largest size u of its partition:
 k = floor((1 - threshold) * u) + 1. A document with the containment asked for lacks at most k - 1 of the item's
 shingles, so it has at least one of any k: nothing is lost, and the sketches are the only thing that documents
-are looked up in. Documents are hashed in one pass and not shuffled while the sketches are few (counted first);
-beyond MAX_BROADCAST rows both sides are shuffled by hash.
+are looked up in. They are a written table, so Spark knows their size: below its own limit they are sent to the executors
+and documents are hashed in one pass without a shuffle, beyond it both sides are shuffled by hash.
 
 Verification: each candidate document meets all its candidate items at once and intersects the shingles
 themselves, not their hashes.
@@ -29,8 +29,6 @@ from meterload.sources.tables import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Rows of the sketch table up to which it is sent to every executor: two longs each.
-MAX_BROADCAST = 500_000
 
 
 def words(text: Column) -> Column:
@@ -67,9 +65,8 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id) of documents with at least one sketch shingle of the item, stored."""
     keys = stored(sketches(items, threshold), "sketches")
-    small = keys.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     hashed = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("hash"))
-    found = hashed.join(F.broadcast(keys) if small else keys, "hash")
+    found = hashed.join(keys, "hash")
     return stored(found.select("doc_id", "item_id").distinct(), "leak-candidates")
 
 
