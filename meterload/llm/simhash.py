@@ -34,9 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterload.llm.common import as_bytes, map_arrow, words_of
+from meterload.llm.common import SLICE, as_bytes, map_arrow, words_of
 from meterload.llm.components import components
-from meterload.llm.decontaminate import shingle_hashes
 from meterload.sources.tables import stored
 
 BITS = 64
@@ -46,8 +45,6 @@ BLOCK = 4096
 ROW_COST = 50.0
 #: Buckets up to this size are compared side by side, larger ones breadth first.
 SHIFTS = 128
-#: Rounds in which texts are compared with the first of their group, before all pairs of the rest are.
-HEAD_ROUNDS = 2
 #: Links that leave a task at once where all of them do.
 PORTION = 1 << 18
 
@@ -73,16 +70,14 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, tag, text_hash, fp) of every row; tag is a hash of the whole row, fp the fingerprint as a signed
-    long."""
+    """(doc_id, tag, fp) of every row; tag is a hash of the whole row, fp the fingerprint as a signed long."""
     def one(batch: pa.RecordBatch) -> dict[str, list]:
-        found = np.array([fingerprint(t, shingle) for t in as_bytes(batch, "text")], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "text_hash": batch.column("text_hash"),
-                "fp": found.view(np.int64)}
+        found = np.array([fingerprint(t, shingle) for at in range(0, batch.num_rows, SLICE)
+                          for t in as_bytes(batch.slice(at, SLICE), "text")], np.uint64)
+        return {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "fp": found.view(np.int64)}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_tag(docs).alias("tag"),
-                       F.xxhash64("text").alias("text_hash"), "text")
-    return map_arrow(rows, one, "doc_id long, tag long, text_hash long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_tag(docs).alias("tag"), "text")
+    return map_arrow(rows, one, "doc_id long, tag long, fp long")
 
 
 def row_tag(docs: DataFrame) -> Column:
@@ -226,30 +221,8 @@ def _links(groups: np.ndarray, values: np.ndarray, max_bits: int) -> tuple[np.nd
     return np.concatenate(left_ends), np.concatenate(right_ends)
 
 
-def _every_link(groups: np.ndarray, values: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links within runs of equal `groups`, in portions."""
-    starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-    sizes = np.diff(np.append(starts, len(groups)))
-    left = (starts + sizes).repeat(sizes) - np.arange(len(groups)) - 1  # rows of the run after this one
-    at, step, a, b, held = np.flatnonzero(left >= 1), 1, [], [], 0
-    while len(at):
-        near = at[np.bitwise_count(values[at] ^ values[at + step]) <= max_bits]
-        a.append(values[near])
-        b.append(values[near + step])
-        held += len(near)
-        if held >= PORTION:
-            yield np.concatenate(a), np.concatenate(b)
-            a, b, held = [], [], 0
-        step += 1
-        at = at[left[at] >= step]
-    if held:
-        yield np.concatenate(a), np.concatenate(b)
-
-
-def links(
-    prints: DataFrame, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4), every: bool = False,
-) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) that have the components of all links; all if `every`."""
+def links(prints: DataFrame, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4)) -> DataFrame:
+    """(a, b): links among distinct fingerprints (column fp) that have the components of all links."""
     n, both = bit_products(prints)
     options = []
     for m in parts:
@@ -270,12 +243,11 @@ def links(
         held_task, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
 
         def out(tasks_: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = _every_link(tasks_, values, max_bits) if every else [_links(tasks_, values, max_bits)]
-            for a, b in found:
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_pydict({
-                    "a": np.ascontiguousarray(pairs[:, 0]).view(np.int64),
-                    "b": np.ascontiguousarray(pairs[:, 1]).view(np.int64)})
+            a, b = _links(tasks_, values, max_bits)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_pydict({
+                "a": np.ascontiguousarray(pairs[:, 0]).view(np.int64),
+                "b": np.ascontiguousarray(pairs[:, 1]).view(np.int64)})
 
         for batch in batches:
             held_task = np.append(held_task, batch.column("task").to_numpy(zero_copy_only=False))
@@ -306,84 +278,19 @@ def classes(docs: DataFrame, shingle: int = 4, max_bits: int = 4, parts: Sequenc
     return rows.join(stored(names, "simhash-names"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    """Of two sets as arrays; two texts without words are the same."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(
-        shared / (F.size(a) + F.size(b) - shared))
-
-
-def _first_ones(edges: pa.Table) -> pa.Table:
-    """The texts of one component of similar texts that go: in order, each that stays takes its neighbours away."""
-    near: dict[int, list[int]] = {}
-    place: dict[int, tuple] = {}
-    for x, x_place, y, y_place in zip(*(edges.column(c).to_pylist() for c in ("x", "x_place", "y", "y_place"))):
-        near.setdefault(x, []).append(y)
-        near.setdefault(y, []).append(x)
-        place[x], place[y] = x_place, y_place
-    gone: set[int] = set()
-    for text in sorted(place, key=lambda t: (place[t]["none"], place[t]["doc_id"] or 0, place[t]["tag"], t)):
-        if text not in gone:
-            gone.update(near[text])
-    return pa.table({"text_hash": pa.array(sorted(gone), pa.int64())})
-
-
-def _similar_rest(texts: DataFrame, sets: DataFrame, max_bits: int, similarity: float, parts: Sequence[int]) -> DataFrame:
-    """(text_hash) of those of `texts` that go when all pairs of them within max_bits are compared."""
-    prints = stored(texts.select("fp").distinct(), "rest-prints")
-    shared = texts.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(
-        F.col("fp").alias("a"), F.col("fp").alias("b"))
-    near = stored(links(prints, max_bits, parts, every=True).unionByName(shared), "rest-links")
-    x = texts.select(F.col("fp").alias("a"), F.col("text_hash").alias("x"), F.col("place").alias("x_place"))
-    y = texts.select(F.col("fp").alias("b"), F.col("text_hash").alias("y"), F.col("place").alias("y_place"))
-    pairs = near.join(x, "a").join(y, "b").where("a <> b OR x < y").select("x", "x_place", "y", "y_place")
-    both = pairs.join(sets.select(F.col("text_hash").alias("x"), F.col("set").alias("x_set")), "x").join(
-        sets.select(F.col("text_hash").alias("y"), F.col("set").alias("y_set")), "y")
-    edges = stored(both.where(_jaccard(F.col("x_set"), F.col("y_set")) >= similarity).select(
-        "x", "x_place", "y", "y_place"), "rest-edges")
-    roots = components(edges, "x", "y").withColumnRenamed("node", "x")
-    return edges.join(roots, "x").groupBy("root").applyInArrow(_first_ones, "text_hash long")
-
-
 def one_of_each(
-    docs: DataFrame, shingle: int = 5, max_bits: int = 10, similarity: float = 0.8, parts: Sequence[int] = (2, 3, 4, 5),
+    docs: DataFrame, shingle: int = 4, max_bits: int = 4, parts: Sequence[int] = (2, 3, 4),
 ) -> DataFrame:
-    """The rows of `docs` without near duplicates, equal texts included.
-
-    Fingerprints find the candidates, exact Jaccard similarity of five-word shingles decides. HEAD_ROUNDS times,
-    texts are grouped by the components of fingerprints within max_bits; the one of a group with the smallest doc_id
-    stays, each other is compared with it, and goes if they are similar. This thins out dense groups. Of the texts
-    left open all pairs within max_bits are compared; in order, each text that stays takes those similar to it away.
-    So no two texts that stay are both within max_bits and similar, every text that goes is similar to one that
-    stays, and a text that only shares a fingerprint stays. The similar pairs of one component of the rest are
-    worked through in one task.
+    """The rows of `docs` without near duplicates: of each class, as `classes` finds it, one row stays.
 
-    Order within a group: null doc_id last, then doc_id, then the hash of all columns; of equal rows one stays.
+    That is the one with the smallest doc_id; null ids come last, rows that share an id go by a hash of all columns, and
+    of equal rows one stays. Only fingerprints are grouped; texts are met again by the hash of their row.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    texts = stored(
-        fingerprints(docs, shingle).groupBy("text_hash", "fp").agg(F.min(order).alias("place")), "distinct-texts")
-    open_, gone, sets = texts, None, None
-    for _ in range(HEAD_ROUNDS):
-        prints = stored(open_.select("fp").distinct(), "open-prints")
-        roots = stored(components(links(prints, max_bits, parts)), "open-roots").withColumnRenamed("node", "fp")
-        grouped = open_.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        heads = stored(grouped.groupBy("root").agg(
-            F.min_by("text_hash", "place").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-        pairs = stored(grouped.join(heads, "root").where("text_hash <> head").select("text_hash", "fp", "place", "head"), "pairs")
-        if sets is None:  # later rounds look at some of the same texts
-            wanted = pairs.select("text_hash").union(pairs.select("head")).distinct()
-            found = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi")
-            sets = stored(found.dropDuplicates(["text_hash"]).select(
-                "text_hash", F.array_distinct(shingle_hashes(F.col("text"))).alias("set")), "shingle-sets")
-        both = pairs.join(sets, "text_hash").join(
-            sets.select(F.col("text_hash").alias("head"), F.col("set").alias("head_set")), "head")
-        judged = stored(both.select(
-            "text_hash", "fp", "place", (_jaccard(F.col("set"), F.col("head_set")) >= similarity).alias("same")), "judged")
-        same = judged.where("same").select("text_hash")
-        gone = same if gone is None else gone.union(same)
-        open_ = judged.where("not same").select("text_hash", "fp", "place")
-    gone = gone.union(_similar_rest(open_, sets, max_bits, similarity, parts))
-    winners = stored(texts.join(gone, "text_hash", "left_anti").select(F.col("place.tag").alias("_row_tag")), "winners")
+    first = stored(fingerprints(docs, shingle).groupBy("fp").agg(F.min(order).alias("place")), "simhash-first")
+    roots = components(links(first, max_bits, parts)).withColumnRenamed("node", "fp")
+    named = first.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "place")
+    winners = stored(named.groupBy("root").agg(F.min("place").alias("place")).select(
+        F.col("place.tag").alias("_row_tag")), "simhash-winners")
     kept = docs.withColumn("_row_tag", row_tag(docs)).join(winners, "_row_tag", "left_semi")
     return kept.dropDuplicates(["_row_tag"]).drop("_row_tag")

@@ -47,9 +47,16 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [D.MAX_BROADCAST, 0])
-def test_matches_brute_force(spark, limit, monkeypatch):
-    monkeypatch.setattr(D, "MAX_BROADCAST", limit)
+@pytest.fixture(params=["32MB", "-1"])
+def broadcast_limit(spark, request):
+    """Sketches sent to the executors, or shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_matches_brute_force(spark, broadcast_limit):
     docs, items = corpus()
     d = spark.createDataFrame([(i, t, "h", 1) for i, t in docs], DOCS)
     q = spark.createDataFrame([(i, t, "w") for i, t in items], ITEMS)
