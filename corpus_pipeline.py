@@ -1,14 +1,16 @@
 """From raw documents to a training mix: five stages, each written as Parquet and read again by the next.
 
 * language: documents go whose text is null, has no letter or is in none of the languages learned;
-* near_duplicates: of documents whose texts are equal or similar (SimHash candidates within 10 bits, verified by a
-  Jaccard similarity of at least 0.8 of their five-word shingles) the one with the smallest doc_id stays;
+* near_duplicates: of each class of documents whose SimHash fingerprints (four-word shingles) link within 4 bits, the
+  one with the smallest doc_id stays;
 * decontaminate: documents that contain a benchmark item go;
 * pseudonyms: personal data in the texts is replaced; no document goes;
 * mix: each document is emitted as often as the target weight of its source asks for.
 
-Each stage handles the same edge cases as its operator. Rows with a null doc_id: near_duplicates keeps one row of a
-class whose members all lack an id; of rows that share the smallest doc_id one stays.
+Nulls in any column, empty and very long texts, ties, repeated rows and columns beyond those of documents pass through
+each stage as its operator states. A null or empty text goes in `language`. Rows with a null doc_id: near_duplicates keeps
+one row of a class whose members all lack an id; of rows that share the smallest doc_id one stays. An empty table stays
+empty.
 """
 
 from __future__ import annotations
