@@ -48,6 +48,49 @@ def test_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def slow_predictions(rows):
+    """(language, score) by doc_id, from plain sets of grams without a filter: `rows` are (doc_id, text, lang)."""
+    def grams(text):
+        return langid.gram_hashes(text).tolist()
+
+    labelled = [(t, lang) for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    texts, counts = {}, {}
+    for t, lang in labelled:
+        found = grams(t)
+        for g in found:
+            counts[lang, g] = counts.get((lang, g), 0) + 1
+        for g in set(found):
+            texts[lang, g] = texts.get((lang, g), 0) + 1
+    total, n, top, kept = {}, {}, {}, {}
+    for (lang, _), c in counts.items():
+        total[lang] = total.get(lang, 0) + c
+    for _, lang in labelled:
+        n[lang] = n.get(lang, 0) + 1
+    for (lang, g), c in counts.items():
+        if texts[lang, g] >= langid.MIN_TEXTS:
+            top[g] = max(top.get(g, 0), c / total[lang])
+    for (lang, g), c in counts.items():
+        often = texts[lang, g] >= langid.MIN_TEXTS
+        if (often or n[lang] < langid.FEW) and c / total[lang] >= langid.KEEP * top.get(g, 0):
+            kept.setdefault(lang, set()).add(g)
+    out = {}
+    for i, t, _ in rows:
+        found = grams(t) if t else []
+        hits = {lang: sum(g in kept[lang] for g in found) for lang in sorted(kept)}
+        best = max(hits, key=hits.get) if found else "und"
+        out[i] = (best, hits[best] / len(found)) if found else ("und", 0.0)
+    return out
+
+
+def test_predictions_equal_plain_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = slow_predictions([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.learn(docs)).collect()}
+    assert {i: lang for i, (lang, _) in got.items()} == {i: lang for i, (lang, _) in want.items()}
+    # What is left of chance hits after the correction.
+    assert max(abs(got[i][1] - score) for i, (_, score) in want.items()) < 0.05
+
+
 def test_learns_only_from_rows_not_held_out(spark):
     rows = [(i, "alpha beta gamma", "aa", 0.0, "") for i in range(200)]
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
