@@ -25,7 +25,7 @@ def test_there_are_hundreds_of_rules_behind_their_gates():
 
 
 def test_every_plain_name_is_found():
-    for label, names in L._NAMES.items():
+    for label, names in (L._NAMES | L._MORE_NAMES).items():
         for name in names:
             text = re.sub(r"\[(.)[^\]]*\]", r"\1", re.sub(r"\((?:\?:)((?:[^()|]|\([^()]*\)\?)*)(?:\|[^()]*)?\)(?!\?)", r"\1", name))
             while "(" in text:
@@ -50,6 +50,43 @@ def test_base_matches_brute_force(spark):
     assert L.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_no_rule_stands_twice_and_tables_do_not_share_labels():
+    patterns = [(r.label, r.pattern) for r in L.rules()]
+    assert len(set(patterns)) == len(patterns) and not set(L._NAMES) & set(L._MORE_NAMES)
+
+
+def test_keywords_stand_in_every_match():
+    """Texts made from each sentence by its first alternatives."""
+    for rule in L.rules():
+        if rule.named:
+            continue
+        text, before = rule.pattern, None
+        while text != before:
+            before = text
+            text = re.sub(r"\(\?:\\w\+ \)\{(\d+),\d+\}", lambda m: "word " * int(m.group(1)), text)
+            text = re.sub(r"\(\?:((?: \\w\+))\)\{0,\d+\}", "", text)
+            text = re.sub(r"\(\?:[^()]*\)\?", "", text)
+            text = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(?![?{])", r"\1", text)
+        text = re.sub(r"\[(.)[^\]]*\]", r"\1", re.sub(r".\?", "", text)).replace(r"\d", "1")
+        assert re.fullmatch(rule.pattern, text), (rule.pattern, text)
+        assert rule.keyword in text, (rule.keyword, text)
+        assert any(r.pattern == rule.pattern for r, _, _ in L.detections(L.normalise(f"a {text} b".encode())[0])), rule.pattern
+
+
+def test_leads_raise_and_denials_remove():
+    def found(text):
+        out = L.scan(text.encode())
+        return out[4], out[5], out[6]
+
+    assert found("under MPL 2.0") == ("", "mpl-2.0", 0.8)
+    assert found("License: MPL 2.0") == ("", "mpl-2.0", 0.85)
+    assert found("made available under the terms of the MPL 2.0") == ("", "mpl-2.0", 0.95)
+    assert found("SPDX-License-Identifier: MPL-2.0") == ("", "mpl-2.0", 1.0)
+    assert found("This is not licensed under the MPL 2.0") == ("", "", 0.0)
+    assert found("Not under the MIT license") == ("mit", "mit", 0.0)  # a base label always stays
+    assert found("This is not MPL 1.1. It is under the Apache License 2.0") == ("apache", "apache,apache-2.0", 0.8)
+
+
 def test_priority_and_containment():
     def labels(text):
         return L.scan(text.encode())[5]
