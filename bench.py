@@ -21,7 +21,7 @@ HEADLINE = (
     "city_load_flagship", "household_profile", "year_aligned_readings", "community_assignment", "spine_fill",
     "row_zscore_outliers", "levels_grouping_sets", "zscore_sensors", "output_windows", "training_pairs",
     "lag_regression_entity", "candidate_search", "bottomup_appliance", "level_report", "std_load_appliance",
-    "training_curve",
+    "training_curve", "lag_regression_multi", "kfold_scores", "candidate_halving", "window_statistics",
 )
 
 

@@ -59,7 +59,7 @@ from meterload.sources.csv import (
     read_training_logs,
 )
 from meterload.sources.forecasts import long_form, read_forecasts, read_matrix, write_forecasts, write_matrix
-from meterload.sources.tables import read_entities, read_entity, read_table, stored, write_table
+from meterload.sources.tables import read_entities, read_entity, read_table, stored, stored_all, write_table
 
 CFG = fx.HOURLY
 FIRST, LAST = CFG.test_start, CFG.last_window
@@ -583,15 +583,15 @@ def _evaluated(spark: SparkSession, folder: str, *bases: str) -> DataFrame:
         meta = stored(fx.metadata(spark, folder), "metadata")
         raw = fx.appliance_table(spark, folder, meta)
         raw = stored(raw, "appliance") if several else raw
-    levels = _levels(spark, folder, several and raw is None, meta, raw) if set(bases) - {"appliance"} else {}
+    levels = _levels(spark, folder, several, meta, raw) if set(bases) - {"appliance"} else {}
+    predicted = {
+        base: _predict_appliances(meta, raw, MODELS[base]) if base == "appliance" else _predict(levels[base], base, MODELS[base])
+        for base in bases
+    }
+    predicted |= stored_all({base: df for base, df in predicted.items() if base != "city"})
     rows = None
     for base in bases:
-        if base == "appliance":
-            predicted = _predict_appliances(meta, raw, MODELS[base])
-        else:
-            predicted = _predict(levels[base], base, MODELS[base])
-        predicted = predicted if base == "city" else stored(predicted, f"forecast-{base}")
-        for level, df in bottomup.bottom_up_pairs(predicted, base, CFG).items():
+        for level, df in bottomup.bottom_up_pairs(predicted[base], base, CFG).items():
             errors = bottomup.tag(evaluate.window_errors(df, CFG), base, level)
             rows = errors if rows is None else rows.unionByName(errors)
     return rows

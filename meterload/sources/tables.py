@@ -10,7 +10,9 @@ the caller asks for it where entities are few, such as cities.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql import types as T
 
 from meterload.session import scratch_path
 
+#: Results written at a time.
+WRITERS = 4
 #: Prefix of the partition column of bucketed tables; the number of buckets follows.
 BUCKET = "entity_bucket_of_"
 
@@ -93,6 +97,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """`stored` for several results that do not depend on each other, at the same time: the tail of one job leaves
+    executors to the others."""
+    with ThreadPoolExecutor(max(1, min(len(frames), WRITERS))) as pool:
+        written = {name: pool.submit(inheritable_thread_target(df.sparkSession)(stored), df, name) for name, df in frames.items()}
+    return {name: job.result() for name, job in written.items()}
+
+
 def read_entities(
     spark: SparkSession, path: str, key: str, values: Sequence, columns: Sequence[str] | None = None,
 ) -> DataFrame:
