@@ -9,14 +9,15 @@ the other, and its prefixes of whole ids are the nodes of the trie. Ids need no
    16, 48 and 256 children, each replaced by the next one when it is full, and compressed paths. Trees are walked once,
    children first; only byte depths that are multiples of 16 emit nodes, with all sums over their subtrees.
 3. As sequences are sorted, a node of two trees lies on the first or last path of each. Only those nodes are merged:
-   their counts add up, and what a node counted once per tree too often is taken off it and its ancestors. All others
+   their counts add up; leaves and children that more than one tree counted are taken off, and the one member that each
+   tree left out of `saved` is given back, save one, to a node and its ancestors. All others
    are final. Children of merged nodes read their parent's smallest member from the merged ones.
 
 Memory per task is bounded by TREE_TURNS and one conversation (20 bytes a turn). The digest of a node's members is
 sequential by its nature: one task reads the members of one sequence as a stream of joined rows.
 
-Defined cases: null roles and texts count as empty; turns are ordered by number, null first, ties by id; repeated rows
-are turns of their own; rows without a conv_id take no part. Texts of any length are hashed whole. A conversation
+Defined cases: null roles and texts count as empty; turns are ordered by number, null first, ties by role
+and text; repeated rows are turns of their own; rows without a conv_id take no part. Texts of any length are hashed whole. A conversation
 without turns is a member of the root only. Other columns of the input are not read. An empty table has no nodes.
 """
 
@@ -52,11 +53,14 @@ def _turn_id(role: Column, text: Column) -> Column:
 
 def turn_lists(rows: DataFrame) -> DataFrame:
     """(base, conv_id, turns) of turn rows; `base` is conv_id without its remainder by 20, by which rows are dealt."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = rows.where(F.col("conv_id").isNotNull()).select(
-        (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), "conv_id",
-        F.struct("turn", _turn_id(role, text).alias("id"), count_words(text).cast("int").alias("words")).alias("one"))
-    return turns.repartition("base").groupBy("base", "conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    rows = rows.where(F.col("conv_id").isNotNull()).select(
+        (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), "conv_id", "turn",
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("base", "conv_id").orderBy("turn", "role", "text")
+    turns = rows.repartition("base").withColumn("place", F.row_number().over(order))
+    one = F.struct("place", _turn_id(F.col("role"), F.col("text")).alias("id"), count_words(F.col("text")).cast("int").alias("words"))
+    return turns.select("base", "conv_id", one.alias("one")).groupBy("base", "conv_id").agg(
+        F.sort_array(F.collect_list("one")).alias("turns"))
 
 
 def with_shared_heads(lists: DataFrame) -> DataFrame:
@@ -379,7 +383,8 @@ def prefix_nodes(seqs: DataFrame) -> DataFrame:
 
 
 def _merged(edge: DataFrame) -> DataFrame:
-    """Nodes on the first or last path of trees, each once: sums over trees, less what trees counted too often."""
+    """Nodes on the first or last path of trees, each once: sums over trees, less what trees counted too often. Each tree
+    saves the words of one member less, all together only those of one: `less_saved` is negative."""
     summed = stored(edge.groupBy("node", "parent", "depth", "words").agg(
         F.min("first").alias("first"), *[F.sum(c).alias(c) for c in ("n", "leaves", "saved", "children")],
         F.max("ends").alias("ends"), F.count("*").alias("trees"), F.max("above").alias("above"),
@@ -387,7 +392,7 @@ def _merged(edge: DataFrame) -> DataFrame:
     twice = summed.where("trees > 1 OR false_leaves > 0")
     own = twice.select(
         F.explode(F.array_append("above", F.col("node"))).alias("node"), F.col("false_leaves").alias("less_leaves"),
-        ((F.col("trees") - 1) * F.col("words")).alias("less_saved"), F.lit(0).cast("long").alias("less_children"))
+        ((1 - F.col("trees")) * F.col("words")).alias("less_saved"), F.lit(0).cast("long").alias("less_children"))
     up = twice.where("depth > 0").select(
         F.col("parent").alias("node"), F.lit(0).cast("long").alias("less_leaves"),
         F.lit(0).cast("long").alias("less_saved"), (F.col("trees") - 1).alias("less_children"))

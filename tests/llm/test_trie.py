@@ -105,6 +105,29 @@ def test_nulls_ties_and_texts(spark):
     assert max(n[1] for n in nodes_of(spark, same)) == 3
 
 
+def test_turns_of_equal_number_go_by_role_and_text(spark):
+    texts = ["b", "a", "ab", "B", "é", "", "c d"]
+    rows = [(c, 1, role, text) for c in range(3) for role in ("user", "assistant") for text in texts[c:]]
+    rows += [(c, None, None, text) for c in range(3) for text in ("z", None, "y")] + [(1, 1, "user", "ab")]
+    want = {}
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", (r[3] or "").encode())):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert nodes_of(spark, rows[::-1]) == slow_nodes(want)
+
+
+def test_nodes_that_trees_of_several_tasks_share(spark):
+    """Sequences that stay in several tasks: each counts the nodes on their common first turns."""
+    rows = random_rows(11, 200, vocabulary=5, longest=6)
+    rows += [(c, 7, "user", f"one two {c % 40}") for c in range(5000, 5200)]
+    rows += [(c, t, "user", "hot head of many") for c in range(5000, 5200) for t in range(3)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = nodes_of(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == slow_nodes(grouped(rows))
+
+
 def test_empty_table_has_no_nodes(spark):
     assert nodes_of(spark, []) == []
     assert nodes_of(spark, [(None, 0, "user", "x")]) == []
