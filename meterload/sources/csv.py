@@ -119,6 +119,13 @@ def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_tree(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """CSV files in a tree of one folder per entity. Small files cost by their number, not by their bytes, so as many tasks
+    write them as shuffles have; AQE would join them by bytes into few."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(tasks, *keys).write.partitionBy(*keys).option("header", True).csv(path)
+
+
 def read_training_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Training logs of many entities, with the file path of every row."""
     df = spark.read.option("header", True).schema(TRAINING_LOG).csv(path)
