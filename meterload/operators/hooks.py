@@ -132,19 +132,31 @@ def user_aggregate(
 def map_files(df: DataFrame, function: Callable[[pd.DataFrame, str], pd.DataFrame], schema: str, path: str = "path") -> DataFrame:
     """Rows of a function that gets rows of one file at a time and the file's path, and declares what it returns.
 
-    `path` is the column that holds each row's file, as `read_training_logs` gives it. A file's rows come in one or more
-    pieces, as Spark cuts and reads it; a function must not need all of a file at once.
+    `path` is the column that holds each row's file, as `read_training_logs` gives it. Rows are gathered by file first, so
+    the function runs about once per file, not once per run of rows that lie side by side. Still a file's rows come in one
+    or more pieces: a file of very many rows is cut by Spark and by the size of Arrow batches, so a function must not need
+    all of a file at once. Pieces leave joined to batches.
     """
     wanted = _schema(T.StructType.fromDDL(schema))
 
+    def joined(made: list[list[pa.Array]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(column) for column in zip(*made)], schema=wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = batch.to_pandas()
-            paths = frame.pop(path)
-            runs = (paths != paths.shift()).cumsum()
-            for _, piece in frame.groupby(runs.to_numpy(), sort=True):
-                out = function(piece.reset_index(drop=True), paths.iloc[piece.index[0]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[f.name], type=f.type, from_pandas=True) for f in wanted], schema=wanted)
-
-    return df.mapInArrow(run, schema)
+            paths = frame.pop(path).to_numpy()
+            same = [a == b or (a is None and b is None) for a, b in zip(paths[1:], paths)]
+            starts = [0, *[i for i, again in enumerate(same, 1) if not again]] if len(paths) else []
+            made, held = [], 0
+            for start, stop in zip(starts, [*starts[1:], len(paths)]):
+                out = function(frame.iloc[start:stop].reset_index(drop=True), paths[start])
+                made.append([pa.array(out[f.name], type=f.type, from_pandas=True) for f in wanted])
+                held += len(out)
+                if held >= HELD:
+                    yield joined(made)
+                    made, held = [], 0
+            if made:
+                yield joined(made)
+
+    return df.hint("rebalance", path).sortWithinPartitions(path).mapInArrow(run, schema)

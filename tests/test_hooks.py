@@ -78,3 +78,19 @@ def test_map_files_gives_each_file_its_path(spark, tmp_path):
     out = hooks.map_files(df, named, "home STRING, n LONG")
     assert sorted(map(tuple, out.collect())) == [(h, i) for h in "ab" for i in range(5)]
     assert hooks.map_files(df.where("value = 'none'"), named, "home STRING, n LONG").collect() == []
+
+
+def test_map_files_gathers_the_rows_of_a_file(spark):
+    """Rows of files lie mixed in the table; the function still runs about once per file, not once per row."""
+    rows = [(f"home={i % 7}", i) for i in range(700)]
+    df = spark.createDataFrame(rows, "path STRING, value LONG")
+
+    def counted(frame, path):
+        return pd.DataFrame({"path": [path], "n": [len(frame)], "total": [frame["value"].sum()]})
+
+    out = hooks.map_files(df, counted, "path STRING, n LONG, total LONG").collect()
+    assert len(out) < 100 and sum(r["n"] for r in out) == 700
+    totals = {}
+    for r in out:
+        totals[r["path"]] = totals.get(r["path"], 0) + r["total"]
+    assert totals == {f"home={k}": sum(i for i in range(700) if i % 7 == k) for k in range(7)}
