@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterload.config import LEVELS, Config
 from meterload.operators.bottomup import ENTITY_KEYS
-from meterload.operators.clean import process_readings
+from meterload.operators.clean import add_time, clean_readings
 from meterload.operators.hierarchy import assign_communities
 from meterload.operators.normalize import normalize_level
 from meterload.operators.profile import (
@@ -91,23 +91,28 @@ def build_levels(
     normalize_until: int | None = None, layout: str = "bucket",
 ) -> dict[str, DataFrame]:
     """Clean, roll up and normalise readings of known households into stored tables. `layout` is that of the
-    tables below cities; cities get a directory each."""
+    tables below cities; cities get a directory each.
+
+    Readings are dealt to their buckets once, without the features that follow from the index. Household totals and
+    normalised copies are made row by row from stored tables of the same layout, so they are not shuffled again.
+    """
     layouts = {"appliance": layout, "household": layout, "community": layout, "city": "entity"}
     keys = {level: ENTITY_KEYS[level][0] for level in LEVELS}
     tables = {}
 
-    def store_level(level: str, df: DataFrame, normalized: bool = False) -> DataFrame:
+    def store_level(level: str, df: DataFrame, normalized: bool = False, **how) -> DataFrame:
         path = store.level(level, normalized)
-        write_table(df, path, keys[level], layouts[level])
+        write_table(df, path, keys[level], layouts[level], **how)
         return read_table(spark, path)
 
-    tables["appliance"] = store_level("appliance", process_readings(readings, metadata, cfg))
+    tables["appliance"] = store_level(
+        "appliance", clean_readings(readings, metadata, cfg), finish=lambda rows: add_time(rows, cfg))
     rolled = level_tables(tables["appliance"], metadata, cfg)
     for level in ("household", "community", "city"):
-        tables[level] = store_level(level, rolled[level])
+        tables[level] = store_level(level, rolled[level], dealt=level == "household")
     for level in LEVELS:
         scaled = normalize_level(tables[level], level, cfg, normalize_until)
-        tables[f"normalized_{level}"] = store_level(level, scaled, normalized=True)
+        tables[f"normalized_{level}"] = store_level(level, scaled, normalized=True, dealt=True)
     tables["metadata"] = metadata
     store_actuals(tables, metadata, store.actuals, cfg)
     return tables
