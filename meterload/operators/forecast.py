@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from meterload.config import FEATURES, Config
@@ -277,10 +278,18 @@ def _add_scaled(total: Column, part: Column, weight: Column) -> Column:
     return F.zip_with(total, part, lambda acc, v: acc + v * weight)
 
 
+def lags_part(lags: Sequence[int], cfg: Config) -> tuple[int, int]:
+    """(offset, length) of the input window that a regression over `lags` reads."""
+    for lag in lags:
+        _check_lag(lag, cfg)
+    return cfg.input_size - max(lags), max(lags) - min(lags) + cfg.output_size
+
+
 def apply_regression(
-    windows: DataFrame, keys: Sequence[str], fits: DataFrame, lags: Sequence[int], cfg: Config
+    windows: DataFrame, keys: Sequence[str], fits: DataFrame, lags: Sequence[int], cfg: Config, start: int = 0
 ) -> DataFrame:
-    """Forecasts of `fit_regression`: a fit for all entities is a scalar subquery of one row, fits of groups are joined."""
+    """Forecasts of `fit_regression`: a fit for all entities is a scalar subquery of one row, fits of groups are joined.
+    The input `x` of the windows begins at `start`."""
     by = [c for c in fits.columns if c not in ("intercept", "weights")]
     coefficients = F.struct("intercept", "weights").alias("_fit")
     if by:
@@ -289,7 +298,7 @@ def apply_regression(
         beside = windows.withColumn("_fit", fits.select(coefficients).scalar())
     y_hat = F.array_repeat(F.col("_fit.intercept"), cfg.output_size)
     for i, lag in enumerate(lags):
-        y_hat = _add_scaled(y_hat, _lagged(F.col("x"), lag, cfg, 0), F.get("_fit.weights", F.lit(i)))
+        y_hat = _add_scaled(y_hat, _lagged(F.col("x"), lag, cfg, start), F.get("_fit.weights", F.lit(i)))
     carried = ["y"] if "y" in windows.columns else []
     return beside.select(*keys, "win", y_hat.alias("y_hat"), *carried)
 
@@ -317,10 +326,13 @@ def _series_forecasts(
 
 def user_model(
     series: DataFrame, keys: Sequence[str], cfg: Config, fit_predict: Callable, columns: Sequence[str],
-    target: str, train: tuple[int, int], predict: tuple[int, int],
+    target: str, train: tuple[int, int], predict: tuple[int, int], normalized: DataFrame | None = None,
 ) -> DataFrame:
     """Forecasts of a user-supplied model per entity: (keys, win, y_hat).
 
+    Columns other than the target are read from `normalized` where it is given, a table with the same rows: both travel
+    to the entity's task once and are paired there by index, without a join of all rows.
+
     `fit_predict(x_train, y_train, x_test)` gets numpy arrays: inputs of shape (windows, input,
     columns), raw outputs (windows, output), and returns (test windows, output). Only the series
     of an entity crosses to Python (the grid bounds its rows); windows are views of it, never
@@ -338,6 +350,12 @@ def user_model(
         import pandas as pd
 
         pdf = pdf.sort_values("index")
+        if normalized_names is not None:
+            scaled = pdf["_scaled"].to_numpy(dtype=bool)
+            pdf, other = pdf[~scaled].copy(), pdf[scaled]
+            if not np.array_equal(pdf["index"].to_numpy(), other["index"].to_numpy()):
+                raise ValueError(f"{dict(zip(key_names, group))}: raw and normalised rows differ")
+            pdf[normalized_names] = other[normalized_names].to_numpy(dtype="float64")
         y_hat = _series_forecasts(
             dict(zip(key_names, group)), pdf["index"].to_numpy(), pdf[names].to_numpy(dtype="float64"),
             pdf[target].to_numpy(dtype="float64"), n_in, n_out, fit_predict, train, predict)
@@ -346,8 +364,15 @@ def user_model(
             out.insert(i, name, value)
         return out
 
-    wanted = list(dict.fromkeys([*keys, "index", *columns, target]))
-    return series.select(*wanted).groupBy(*keys).applyInPandas(run, schema)
+    if normalized is None:
+        normalized_names = None
+        rows = series.select(*dict.fromkeys([*keys, "index", *columns, target]))
+    else:
+        normalized_names = [c for c in columns if c != target]
+        raw = series.select(*keys, "index", target, F.lit(False).alias("_scaled"))
+        rows = raw.unionByName(
+            normalized.select(*keys, "index", *normalized_names, F.lit(True).alias("_scaled")), allowMissingColumns=True)
+    return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 def user_model_by_sensor(
@@ -356,50 +381,65 @@ def user_model_by_sensor(
 ) -> DataFrame:
     """Forecasts of a user model for each sensor that a household has: (city, community, dataid, sensor, win, y_hat).
 
-    Raw and normalised rows of a household stay wide and travel to its task once. They arrive as a stream of Arrow
-    batches; the model then runs sensor by sensor and each sensor's forecasts leave as a batch of their own, so a task
-    holds one household's rows (the grid bounds them) and one sensor's windows.
+    Raw and normalised rows of a household stay wide and travel to its task once; its path and its sensors travel beside
+    them as one row of their own. Rows arrive as a stream of Arrow batches; the model then runs sensor by sensor and each
+    sensor's forecasts leave as a batch of their own, so a task holds one household's rows (the grid bounds them) and one
+    sensor's windows.
     """
     sensors, features = list(cfg.appliances), [c for c in columns if c in FEATURES]
-    raw = appliance.select("dataid", "index", F.lit(False).alias("_scaled"), *sensors)
-    scaled = normalized.select("dataid", "index", F.lit(True).alias("_scaled"), *sensors, *features)
-    homes = households.select("city", "community", "dataid", F.col("sensors").alias("_owned"))
-    wide = raw.unionByName(scaled, allowMissingColumns=True).join(homes, "dataid")
+    id_type = appliance.schema["dataid"].dataType
+    homes = households.where(F.col("dataid").isNotNull()).select(
+        F.col("dataid").cast(id_type).alias("dataid"), F.lit(2).alias("_kind"), "city", "community",
+        F.col("sensors").alias("_owned"))
+    raw = appliance.select("dataid", "index", F.lit(0).alias("_kind"), *sensors)
+    scaled = normalized.select("dataid", "index", F.lit(1).alias("_kind"), *sensors, *features)
+    rows_of = raw.unionByName(scaled, allowMissingColumns=True)
+    known = rows_of.join(homes.select("dataid").distinct(), "dataid", "left_semi")
+    wide = known.unionByName(homes, allowMissingColumns=True)
     keys, n_in, n_out = ["city", "community", "dataid"], cfg.input_size, cfg.output_size
     types = {f.name: f.dataType for f in wide.schema}
     schema = T.StructType(
         [T.StructField(k, types[k]) for k in keys]
         + [T.StructField("sensor", T.StringType()), T.StructField("win", T.IntegerType()),
            T.StructField("y_hat", T.ArrayType(T.DoubleType()))])
+    arrow_types = [to_arrow_type(types[k]) for k in keys]
 
     def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        parts, owned = [], []
+        parts, places, dataid = [], [], group[0].as_py()
         for batch in batches:
-            owned = owned or batch.column("_owned")[0].as_py()
-            parts.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("index", "_scaled", *sensors, *features)})
+            kind = batch.column("_kind").to_numpy(zero_copy_only=False)
+            home, batch = batch.filter(pa.array(kind == 2)), batch.filter(pa.array(kind != 2))
+            places.extend(zip(*[home.column(c).to_pylist() for c in ("city", "community", "_owned")]))
+            if batch.num_rows:
+                parts.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("index", "_kind", *sensors, *features)})
+        if not parts or not places:
+            return
+        if len({place[:2] for place in places}) < len(places):
+            raise ValueError(f"household {dataid}: the hierarchy has it more than once at one place")
         rows = {c: np.concatenate([p.pop(c) for p in parts]) for c in list(parts[0])}
-        is_scaled = rows.pop("_scaled").astype(bool)
+        is_scaled = rows.pop("_kind") == 1
         order = {kind: np.flatnonzero(is_scaled == kind)[np.argsort(rows["index"][is_scaled == kind], kind="stable")]
                  for kind in (False, True)}
         index = rows["index"][order[False]]
         if not np.array_equal(index, rows["index"][order[True]]):
-            raise ValueError(f"household {group[2].as_py()}: raw and normalised rows differ")
+            raise ValueError(f"household {dataid}: raw and normalised rows differ")
         wins = pa.array(np.arange(predict[0], predict[1] + 1, dtype="int32"))
-        for sensor in sensors:
-            if sensor not in owned:
-                continue
-            source = {"scaled": (sensor, True), "total": (sensor, False)} | {f: (f, True) for f in features}
-            inputs = np.column_stack([
-                rows[name][order[kind]].astype("float64") for name, kind in (source[c] for c in columns)])
-            y_hat = _series_forecasts(
-                {"dataid": group[2].as_py(), "sensor": sensor}, index, inputs, rows[sensor][order[False]].astype("float64"),
-                n_in, n_out, fit_predict, train, predict)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k.as_py()] * len(wins), type=k.type) for k in group]
-                + [pa.array([sensor] * len(wins)), wins, pa.array([row.tolist() for row in np.asarray(y_hat, dtype="float64")],
-                                                                  type=pa.list_(pa.float64()))],
-                names=[*keys, "sensor", "win", "y_hat"])
-
-    return wide.groupBy(*keys).applyInArrow(run, schema)
+        for city, community, owned in places:
+            for sensor in sensors:
+                if sensor not in (owned or []):
+                    continue
+                source = {"scaled": (sensor, True), "total": (sensor, False)} | {f: (f, True) for f in features}
+                inputs = np.column_stack([
+                    rows[name][order[kind]].astype("float64") for name, kind in (source[c] for c in columns)])
+                y_hat = _series_forecasts(
+                    {"dataid": dataid, "sensor": sensor}, index, inputs, rows[sensor][order[False]].astype("float64"),
+                    n_in, n_out, fit_predict, train, predict)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(wins), type=t) for k, t in zip((city, community, dataid), arrow_types)]
+                    + [pa.array([sensor] * len(wins)), wins,
+                       pa.array([row.tolist() for row in np.asarray(y_hat, dtype="float64")], type=pa.list_(pa.float64()))],
+                    names=[*keys, "sensor", "win", "y_hat"])
+
+    return wide.groupBy("dataid").applyInArrow(run, schema)

@@ -26,6 +26,7 @@ from meterload.operators.forecast import (
     input_part,
     lagged_appliances,
     lagged_table,
+    lags_part,
     needs_mean,
     training_targets,
     user_model,
@@ -55,12 +56,12 @@ def level_windows(
     return place(cut, level, metadata).select(*PATH_KEYS[level], "win", "x", "y", *(["x_mean"] if mean else []))
 
 
-def level_series(tables: dict[str, DataFrame], metadata: DataFrame, level: str) -> DataFrame:
-    """(path keys, index, total, scaled, features): raw values beside the normalised table of a level above
-    appliances, one row per entity and step."""
+def level_series(tables: dict[str, DataFrame], metadata: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
+    """(path keys, index, total) and (path keys, index, scaled, features): raw and normalised rows of a level above
+    appliances, each one row per entity and step."""
     raw, normal, keys = tables[level], tables[f"normalized_{level}"], ENTITY_KEYS[level]
     normal = normal.select(*keys, "index", *FEATURES, F.col("total").alias("scaled"))
-    return place(raw.select(*keys, "index", "total").join(normal, [*keys, "index"]), level, metadata)
+    return place(raw.select(*keys, "index", "total"), level, metadata), place(normal, level, metadata)
 
 
 def level_lags(
@@ -82,8 +83,8 @@ def _user_forecasts(
         return user_model_by_sensor(
             tables[level], tables[f"normalized_{level}"], household_map(metadata, cfg), cfg, model.fit_predict,
             model.columns, train, test)
-    series = level_series(tables, metadata, level)
-    return user_model(series, PATH_KEYS[level], cfg, model.fit_predict, model.columns, "total", train, test)
+    raw, normal = level_series(tables, metadata, level)
+    return user_model(raw, PATH_KEYS[level], cfg, model.fit_predict, model.columns, "total", train, test, normal)
 
 
 def _fit(tables: dict[str, DataFrame], level: str, lag: int, cfg: Config, held_out=None) -> DataFrame:
@@ -111,8 +112,9 @@ def _predict(
     if isinstance(model, GlobalRegression | EntityRegression):
         table, names = level_lags(tables, metadata, level, model.lags, cfg)
         fits = fit_lines(table, names, keys if isinstance(model, EntityRegression) else ())
-        windows = level_windows(tables, metadata, level, cfg, first, last).drop("y")
-        return apply_regression(windows, keys, fits, model.lags, cfg)
+        start, length = part = lags_part(model.lags, cfg)
+        windows = level_windows(tables, metadata, level, cfg, first, last, part=part).drop("y")
+        return apply_regression(windows, keys, fits, model.lags, cfg, start)
     start, length = part = input_part([model], cfg)
     windows = level_windows(tables, metadata, level, cfg, first, last, part=part, mean=needs_mean([model])).drop("y")
     return forecast(_fitted(windows, tables, level, [model], cfg), keys, model, cfg, start)
