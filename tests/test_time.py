@@ -65,3 +65,12 @@ def test_calendar_of_a_monday(spark, zone):
     assert scaled.dayofweek == pytest.approx(-1 / 6) and scaled.hourofday == 1.0
     assert scaled.dayofyear == pytest.approx(154 / 365) and scaled.minuteofhour == pytest.approx(45 / 59)
     assert scale_calendar(row, zero_based_weekday=True).first().dayofweek == 0
+
+
+def test_a_grid_index_reads_its_timestamp_a_few_times(spark):
+    """Where the timestamp is itself computed, each reading repeats the computation."""
+    cfg = Config(from_time=datetime(2024, 1, 1), end_time=datetime(2024, 1, 30, 23), step_seconds=3600)
+    index = grid_index(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT))"), cfg)
+    plan = spark.range(9).select(index.alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("make_dt_interval") <= 4
+    assert [r["i"] for r in spark.range(3).select(index.alias("i")).collect()] == [1, 2, 3]
