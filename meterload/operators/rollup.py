@@ -57,14 +57,12 @@ def with_features(totals: DataFrame, cfg: Config) -> DataFrame:
     return add_time(totals, cfg).select(*columns, cfg.time_column, "index", *FEATURES, "total")
 
 
-def level_tables(appliance: DataFrame, metadata: DataFrame, cfg: Config) -> dict[str, DataFrame]:
-    """Household, community and city tables with features. Communities lie inside one city, so the
-    city is summed from the communities."""
-    household = household_totals(appliance, cfg)
-    community = community_totals(household, metadata)
-    city = city_totals(community)
-    return {
-        "household": with_features(household, cfg),
-        "community": with_features(community.drop("city"), cfg),
-        "city": with_features(city, cfg),
-    }
+def household_table(appliance: DataFrame, cfg: Config) -> DataFrame:
+    """Household totals beside the time and features that the stored appliance rows have: read, not computed again."""
+    return appliance.select("dataid", cfg.time_column, "index", *FEATURES, signed_total(cfg).alias("total"))
+
+
+def cities_of_communities(community: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(city, index, total) from stored community totals. Communities lie inside one city, so each row finds its city."""
+    cities = metadata.select("community", "city").distinct()
+    return city_totals(community.select("community", "index", "total").join(cities, "community", "left"))

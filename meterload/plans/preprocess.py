@@ -18,7 +18,7 @@ from meterload.operators.profile import (
     display_profile,
     profile_readings,
 )
-from meterload.operators.rollup import level_tables
+from meterload.operators.rollup import cities_of_communities, community_totals, household_table, with_features
 from meterload.plans.actuals import store_actuals
 from meterload.sources.csv import read_readings, read_source_metadata, write_report
 from meterload.sources.tables import read_table, write_table
@@ -93,8 +93,9 @@ def build_levels(
     """Clean, roll up and normalise readings of known households into stored tables. `layout` is that of the
     tables below cities; cities get a directory each.
 
-    Readings are dealt to their buckets once, without the features that follow from the index. Household totals and
-    normalised copies are made row by row from stored tables of the same layout, so they are not shuffled again.
+    Readings and community totals are dealt to their buckets once, without the features that follow from the index.
+    Household totals and normalised copies are made row by row from stored tables of the same layout, so they are not
+    shuffled again. Each level is summed from the stored table below it.
     """
     layouts = {"appliance": layout, "household": layout, "community": layout, "city": "entity"}
     keys = {level: ENTITY_KEYS[level][0] for level in LEVELS}
@@ -107,9 +108,11 @@ def build_levels(
 
     tables["appliance"] = store_level(
         "appliance", clean_readings(readings, metadata, cfg), finish=lambda rows: add_time(rows, cfg))
-    rolled = level_tables(tables["appliance"], metadata, cfg)
-    for level in ("household", "community", "city"):
-        tables[level] = store_level(level, rolled[level], dealt=level == "household")
+    tables["household"] = store_level("household", household_table(tables["appliance"], cfg), dealt=True)
+    community = community_totals(tables["household"].select("dataid", "index", "total"), metadata).drop("city")
+    tables["community"] = store_level("community", community, finish=lambda rows: with_features(rows, cfg))
+    city = cities_of_communities(tables["community"], metadata)
+    tables["city"] = store_level("city", city, finish=lambda rows: with_features(rows, cfg))
     for level in LEVELS:
         scaled = normalize_level(tables[level], level, cfg, normalize_until)
         tables[f"normalized_{level}"] = store_level(level, scaled, normalized=True, dealt=True)

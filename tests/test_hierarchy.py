@@ -3,6 +3,7 @@ import pytest
 
 from meterload.config import Config
 from meterload.operators import hierarchy
+from meterload.operators.rollup import cities_of_communities
 
 
 def numbered_by_hand(rows, size):
@@ -55,3 +56,10 @@ def test_edges_lists_and_subtree(spark):
     assert [r.sensor for r in hierarchy.appliances_of(meta, 12, cfg).collect()] == ["solar"]
     part = hierarchy.subtree(meta, city="A", community=1, households=[11])
     assert [r.dataid for r in part.collect()] == [11]
+
+
+def test_cities_are_summed_from_stored_communities(spark):
+    community = spark.createDataFrame([(1, 1, 2.0), (2, 1, 3.0), (4, 1, 5.0), (4, 2, 7.0)], "community INT, index INT, total DOUBLE")
+    metadata = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (4, "B")], "community INT, city STRING")
+    got = {tuple(r) for r in cities_of_communities(community, metadata).select("city", "index", "total").collect()}
+    assert got == {("A", 1, 5.0), ("B", 1, 5.0), ("B", 2, 7.0)}
