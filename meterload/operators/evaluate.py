@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterload.config import Config
 from meterload.functions.arrays import absolute_sum, errors_of, square_sum
-from meterload.operators.bottomup import ENTITY_KEYS, bottom_up, tag
+from meterload.operators.bottomup import ENTITY_KEYS, PATH_KEYS, bottom_up, tag
+from meterload.operators.windows import block_length
 
 ENTITY = ["base_level", "level", "city", "community", "dataid", "sensor"]
 
@@ -28,6 +29,42 @@ def pair_actuals(forecasts: DataFrame, actuals: DataFrame, level: str) -> DataFr
     return both.withColumn("y", checked).drop("_forecast", "_actual")
 
 
+def block_errors(forecasts: DataFrame, actuals: DataFrame, level: str, cfg: Config) -> DataFrame:
+    """(path keys, win, mae, rmse_window, sse): `window_errors(pair_actuals(...))` for actuals that are stored as blocks,
+    (entity keys, _first, _last, values).
+
+    Forecasts meet the blocks of their entity, and a window's actual is a slice there, so both sides are shuffled by
+    entity alone, actuals without the overlap of windows, and `with_entity_rmse` finds its rows in place. Windows of
+    a block without a forecast are found as steps between those that have one, blocks without any by their keys.
+    """
+    path, win, length = PATH_KEYS[level], F.col("win"), block_length(cfg.output_size)
+    several = cfg.last_window - cfg.test_start >= length
+    keys = [*ENTITY_KEYS[level], *(["_block"] if several else [])]
+
+    def numbered(rows: DataFrame, at: str) -> DataFrame:
+        return rows.withColumn("_block", F.floor((F.col(at) - cfg.test_start) / length)) if several else rows
+
+    def failed(text: str, at: Column) -> Column:
+        where = F.concat_ws("/", *[F.col(k).cast("string") for k in ENTITY_KEYS[level]], at.cast("string"))
+        return F.raise_error(F.concat(F.lit(f"{level}: {text} "), where)).cast("double")
+
+    own, known = numbered(forecasts.select(*path, "win", "y_hat"), "win"), numbered(actuals, "_first")
+    both = own.join(known, keys, "left")
+    y = F.slice("values", win - F.col("_first") + 1, F.lit(cfg.output_size))
+    errors = window_errors(both.select(*path, "win", "_first", "_last", y.alias("y"), "y_hat"), cfg)
+    order = Window.partitionBy(*path, *(["_first"] if several else [])).orderBy("win")
+    steps = errors.withColumns({"_before": F.lag("win").over(order), "_after": F.lead("win").over(order)})
+    inside = F.coalesce(win.between(F.col("_first"), F.col("_last")), F.lit(False))
+    hole = (F.when(win - F.coalesce("_before", F.col("_first") - 1) > 1, win - 1)
+            .when(F.col("_after").isNull() & (win < F.col("_last")), win + 1))
+    whole = (F.when(~inside, failed("no actual for the forecast of", win))
+             .when(hole.isNotNull(), failed("no forecast for the actual of", hole)).otherwise(F.col("sse")))
+    found = steps.select(*path, "win", "mae", "rmse_window", whole.alias("sse"))
+    bare = known.join(own.select(*keys).distinct(), keys, "left_anti")
+    lost = [F.lit(None).cast(t).alias(c) for c, t in found.dtypes if c != "sse"]
+    return found.unionByName(bare.select(*lost, failed("no forecast for the actual of", F.col("_first")).alias("sse")))
+
+
 def window_errors(paired: DataFrame, cfg: Config) -> DataFrame:
     """Replaces y and y_hat by `mae`, `rmse_window` and the sum of squares `sse` of each window."""
     n = F.lit(float(cfg.output_size))

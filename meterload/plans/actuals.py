@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from meterload.config import LEVELS, Config
 from meterload.operators.bottomup import ENTITY_KEYS, PATH_KEYS, tag
 from meterload.operators.hierarchy import household_map
-from meterload.operators.windows import appliance_windows, output_windows
-from meterload.sources.tables import spread
+from meterload.operators.windows import appliance_blocks, output_blocks, unshifted
 
 
 def place(df: DataFrame, level: str, metadata: DataFrame) -> DataFrame:
@@ -24,28 +23,29 @@ def place(df: DataFrame, level: str, metadata: DataFrame) -> DataFrame:
 def level_actuals(
     tables: dict[str, DataFrame], metadata: DataFrame, level: str, cfg: Config
 ) -> DataFrame:
-    """(path keys, win, y): expected outputs over the test windows."""
+    """(path keys, _first, _last, values): expected outputs of the test windows _first.._last, a row for each entity and
+    block. A window's outputs are a slice of the values, so none is kept as often as windows overlap."""
     first, last = cfg.test_start, cfg.last_window
     if level == "appliance":
-        homes = household_map(metadata, cfg)
-        return appliance_windows(tables[level], homes, cfg, first, last, with_input=False)
-    cut = output_windows(tables[level], ENTITY_KEYS[level], "total", cfg, first, last)
-    return place(cut, level, metadata).select(*PATH_KEYS[level], "win", "y")
+        homes, start = household_map(metadata, cfg), cfg.input_size
+        return unshifted(appliance_blocks(tables[level], homes, cfg, first + start, last + start, cfg.output_size), start)
+    blocks = output_blocks(tables[level], ENTITY_KEYS[level], "total", cfg, first, last)
+    return place(blocks, level, metadata).select(*PATH_KEYS[level], "_first", "_last", "values")
 
 
 def store_actuals(
     tables: dict[str, DataFrame], metadata: DataFrame, path: str, cfg: Config
 ) -> None:
-    """Expected outputs of all levels, shared by every aggregation path and every run."""
+    """Expected outputs of all levels, shared by every aggregation path and every run. Rows are written by the tasks that
+    gather them."""
     for level in LEVELS:
         rows = tag(level_actuals(tables, metadata, level, cfg), level, level).drop("base_level")
-        (spread(rows, "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("level").parquet(path))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level").parquet(path)
 
 
 def actuals_of(stored: DataFrame, level: str, metadata: DataFrame, cfg: Config) -> DataFrame:
-    """(entity keys, win, y) of the stored actuals of a level, for the entities that `metadata` knows."""
-    rows = stored.where(F.col("level") == level).select(*ENTITY_KEYS[level], "win", "y")
+    """(entity keys, _first, _last, values) of the stored actuals of a level, for the entities that `metadata` knows."""
+    rows = stored.where(F.col("level") == level).select(*ENTITY_KEYS[level], "_first", "_last", "values")
     if level == "appliance":
         owned = household_map(metadata, cfg).select(F.col("dataid").cast("bigint").alias("dataid"), F.explode("sensors").alias("sensor"))
         return rows.join(owned, ["dataid", "sensor"], "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterload.config import FEATURES, LEVELS, Config
 from meterload.operators.bottomup import ENTITY_KEYS, PATH_KEYS, bottom_up, stack_levels, tag
-from meterload.operators.evaluate import evaluation_table, level_report, pair_actuals, summarize_table, window_errors
+from meterload.operators.evaluate import block_errors, evaluation_table, level_report, summarize_table
 from meterload.operators.forecast import (
     EntityRegression,
     Forecaster,
@@ -41,7 +41,6 @@ from meterload.plans.actuals import actuals_of, place
 from meterload.plans.preprocess import Store
 from meterload.sources.csv import write_report
 from meterload.sources.forecasts import read_forecasts, write_forecasts
-from meterload.sources.tables import spread
 
 
 def level_windows(
@@ -167,17 +166,17 @@ def evaluate_stored(
 ) -> dict[str, DataFrame]:
     """Errors, summaries and the level report of stored forecasts; predicts nothing.
 
-    Every forecast must have its actual and every actual of the entities in `metadata` its forecast.
+    Every forecast must have its actual and every actual of the entities in `metadata` its forecast. Each path is paired,
+    measured and written where the forecasts of an entity meet, after one shuffle.
     """
-    actuals, errors = spark.read.parquet(store.actuals), None
+    actuals, table = spark.read.parquet(store.actuals), None
     for base in levels:
         for level in LEVELS[LEVELS.index(base):]:
             forecasts = read_forecasts(spark, store.run(run, "forecasts"), base, level)
-            paired = pair_actuals(forecasts, actuals_of(actuals, level, metadata, cfg), level)
-            part = tag(window_errors(paired.select(*PATH_KEYS[level], "win", "y", "y_hat"), cfg), base, level)
-            errors = part if errors is None else errors.unionByName(part)
+            errors = block_errors(forecasts, actuals_of(actuals, level, metadata, cfg), level, cfg)
+            part = evaluation_table(tag(errors, base, level), cfg)
+            table = part if table is None else table.unionByName(part)
     path = store.run(run, "evaluation")
-    table = spread(evaluation_table(errors, cfg), "base_level", "level")
     table.write.mode("overwrite").partitionBy("base_level", "level").parquet(path)
     evaluation = spark.read.parquet(path)
     summarize_table(evaluation).write.mode("overwrite").parquet(store.run(run, "summary"))

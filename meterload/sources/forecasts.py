@@ -12,12 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterload.sources.tables import spread
-
 
 def write_forecasts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    out = spread(df, "base_level", "level")
-    (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    """Written by the tasks that make the rows: those come out of a shuffle by entity, which sized the tasks."""
+    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("base_level", "level").parquet(path))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterload.config import FEATURES
 from meterload.fixtures import HOURLY
-from meterload.operators import windows
+from meterload.operators import bottomup, evaluate, windows
 from meterload.operators.forecast import apply_regression, lags_part, user_model, user_model_by_sensor
 from meterload.sources.csv import write_tree
 from meterload.sources.tables import read_entities, read_table, write_table
@@ -99,3 +99,62 @@ def test_a_regression_reads_only_the_lagged_part_of_a_window(spark):
     narrow = windows.value_windows(series, ["city"], "total", CFG, 1, 20, part=part)
     want = apply_regression(whole, ["city"], fits, (2, 4), CFG).collect()
     assert sorted(apply_regression(narrow, ["city"], fits, (2, 4), CFG, start).collect()) == sorted(want)
+
+
+def paired_blocks(spark, wins, ids=(1, 2)):
+    series = spark.range(1, 41).selectExpr("CAST(id AS INT) AS index", "CAST(id * id % 13 AS DOUBLE) AS total")
+    series = series.selectExpr("explode(array(1L, 2L)) AS dataid", "index", "total + 1D AS total")
+    cut = windows.output_windows(series, ["dataid"], "total", CFG, 5, 20)
+    blocks = windows.output_blocks(series, ["dataid"], "total", CFG, 5, 20)
+    kept = cut.where(F.col("dataid").isin(list(ids)) & F.col("win").isin(list(wins)))
+    made = kept.selectExpr("'X' AS city", "3 AS community", "dataid", "win", "transform(y, v -> v * 2 + 1) AS y_hat")
+    return made, cut, blocks
+
+
+def test_stored_outputs_hold_each_value_once(spark):
+    _, cut, blocks = paired_blocks(spark, range(5, 21))
+    rows = {r["dataid"]: r for r in blocks.collect()}
+    assert all((r["_first"], r["_last"], len(r["values"])) == (5, 20, 17) for r in rows.values()) and len(rows) == 2
+    for r in cut.collect():
+        values = rows[r["dataid"]]["values"]
+        assert values[r["win"] - 5:r["win"] - 5 + CFG.output_size] == r["y"]
+
+
+def test_errors_against_blocks_equal_those_against_windows(spark):
+    cfg = CFG.with_(test_fraction=0.2)
+    made, cut, blocks = paired_blocks(spark, range(5, 21))
+    copies = made.unionByName(made.where("dataid = 2").withColumn("community", F.lit(4)))
+    both = evaluate.pair_actuals(copies, cut, "household").select("city", "community", "dataid", "win", "y", "y_hat")
+    want = evaluate.window_errors(both, cfg)
+    got = evaluate.block_errors(copies, blocks, "household", cfg)
+    assert got.count() == 48 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("wins, ids, text", [
+    ([*range(5, 9), *range(10, 21)], (1, 2), "no forecast for the actual of 1/9|no forecast for the actual of 2/9"),
+    (range(6, 21), (1, 2), "no forecast for the actual of [12]/5"), (range(5, 20), (1, 2), "no forecast for the actual of [12]/20"),
+    (range(5, 21), (1,), "no forecast for the actual of 2/5"),
+])
+def test_windows_and_entities_without_a_forecast_fail(spark, wins, ids, text):
+    made, _, blocks = paired_blocks(spark, wins, ids)
+    with pytest.raises(Exception, match=text):
+        evaluate.block_errors(made, blocks, "household", CFG).collect()
+
+
+def test_forecasts_without_an_actual_fail(spark):
+    made, _, blocks = paired_blocks(spark, range(5, 21))
+    for rest in (blocks.where("dataid = 1"), blocks.withColumn("_last", F.lit(19))):
+        with pytest.raises(Exception, match="no actual for the forecast of"):
+            evaluate.block_errors(made, rest, "household", CFG).collect()
+
+
+def test_errors_of_entities_are_not_shuffled_again(spark):
+    made, _, blocks = paired_blocks(spark, range(5, 21))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = evaluate.evaluation_table(bottomup.tag(
+            evaluate.block_errors(made, blocks, "household", CFG).where("win > 0"), "household", "household"), CFG)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32MB")
+    assert "Window" in plan and "mae" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
