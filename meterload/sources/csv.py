@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from meterload.config import Config
 from meterload.functions.time import parse_utc, utc_ntz
+from meterload.sources.local import NO_KEY, list_files, local_path, read_lines, write_lines
 from meterload.sources.schema import (
     EVALUATION,
     TRAINING_LOG,
@@ -122,17 +124,25 @@ def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:
 def write_tree(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """CSV files in a tree of one folder per entity. Small files cost by their number, not by their bytes, so as many tasks
     write them as shuffles have; AQE would join them by bytes into few."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(tasks, *keys).write.partitionBy(*keys).option("header", True).csv(path)
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = local_path(spark, path)
+    if root is None or os.path.lexists(root):  # Spark refuses a path that exists
+        df.repartition(tasks, *keys).write.partitionBy(*keys).option("header", True).csv(path)
+        return
+    named = {k: F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit(NO_KEY)) for k in keys}
+    write_lines(df.withColumns(named).repartition(tasks, *keys).sortWithinPartitions(*keys), root, keys)
 
 
 def read_training_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Training logs of many entities, with the file path of every row."""
-    df = spark.read.option("header", True).schema(TRAINING_LOG).csv(path)
-    return df.select(
-        "epoch", F.col("loss").alias("mae"), F.col("root_mean_squared_error").alias("rmse"),
-        F.col("_metadata.file_path").alias("path"),
-    )
+    files = list_files(spark, path) if isinstance(path, str) else None
+    if files is None:
+        df = spark.read.option("header", True).schema(TRAINING_LOG).csv(path).withColumn("path", F.col("_metadata.file_path"))
+    else:
+        df = read_lines(files).select("path", F.from_csv("value", TRAINING_LOG.toDDL()).alias("_row"))
+        df = df.select("_row.*", "path")
+    return df.select("epoch", F.col("loss").alias("mae"), F.col("root_mean_squared_error").alias("rmse"), "path")
 
 
 def read_evaluations(spark: SparkSession, root: str, name: str = "evaluation.csv") -> DataFrame:
